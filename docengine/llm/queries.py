@@ -11,6 +11,7 @@ from docengine.llm.chat_format import format_turns, read_loss, read_turns, turns
 from docengine.llm.common import load
 from docengine.llm.exact_dedup import content_sort_dedup
 from docengine.llm.mixing import cycle_weights, mix
+from docengine.llm.ngram_join import ngram_jaccard_join
 from docengine.llm.url_filters import match_urls, parse_rule
 
 #: The rule set of the URL query.
@@ -29,6 +30,10 @@ MIX_WEIGHTS = (5, 2, 1)
 CONTROL_RECORD = '{"prompt": "</s>[INST] ok [/INST]", "response": "</s>[INST] ok [/INST]"}'
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns_from_frame(load(spark, sf_dir, "conversations"))
     extra = spark.sql("select -7L as conv_id").withColumn("record", F.lit(CONTROL_RECORD))
@@ -59,6 +64,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_url_filters": op7_url_filters,
     "op8_mixing_sources": op8_mixing_sources,
@@ -66,6 +72,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+            from documents
+        ), s as (
+            select doc_id, list_distinct(case
+                when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh
+            from w
+        ), t as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+        p as (
+            select x.doc_id as a, y.doc_id as b from t x join t y on x.g = y.g and x.doc_id <> y.doc_id
+            group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), r(doc_id, seen) as (
+            select doc_id, doc_id from s
+            union select p.b, r.seen from r join p on p.a = r.doc_id
+        ), c as (select doc_id, min(seen) as component_id from r group by doc_id)
+        select s.doc_id, cast(len(sh) as bigint) as n_shingles, c.component_id from s join c using (doc_id)""",
     "op4_chat_formatting": r"""
         with t as (
             select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as body from conversations
