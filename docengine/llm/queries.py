@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.chat_format import format_turns, read_loss, read_turns, turns_from_frame, turns_from_json
 from docengine.llm.common import load
+from docengine.llm.decontaminate import find_leaks
 from docengine.llm.exact_dedup import content_sort_dedup
 from docengine.llm.mixing import cycle_weights, mix
 from docengine.llm.ngram_join import ngram_jaccard_join
@@ -50,6 +51,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_urls(load(spark, sf_dir, "pages"), [parse_rule(r) for r in URL_RULES])
 
@@ -66,6 +71,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_dedup": op9_exact_dedup,
