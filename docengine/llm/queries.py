@@ -13,6 +13,7 @@ from docengine.llm.decontaminate import find_leaks
 from docengine.llm.exact_dedup import content_sort_dedup
 from docengine.llm.mixing import cycle_weights, mix
 from docengine.llm.ngram_join import ngram_jaccard_join
+from docengine.llm.quality import cotrain_and_score
 from docengine.llm.url_filters import match_urls, parse_rule
 
 #: The rule set of the URL query.
@@ -68,6 +69,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(load(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain_and_score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
