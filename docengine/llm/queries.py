@@ -14,6 +14,7 @@ from docengine.llm.exact_dedup import content_sort_dedup
 from docengine.llm.mixing import cycle_weights, mix
 from docengine.llm.ngram_join import ngram_jaccard_join
 from docengine.llm.quality import cotrain_and_score
+from docengine.llm.suffix_dedup import repeated_substring_cut
 from docengine.llm.url_filters import match_urls, parse_rule
 
 #: The rule set of the URL query.
@@ -52,6 +53,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substring_cut(load(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -76,6 +81,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_mixing_sources": op8_mixing_sources,
