@@ -11,6 +11,7 @@ from docengine.llm.chat_format import format_turns, read_loss, read_turns, turns
 from docengine.llm.common import load
 from docengine.llm.decontaminate import find_leaks
 from docengine.llm.exact_dedup import content_sort_dedup
+from docengine.llm.lm_score import lm_score
 from docengine.llm.mixing import cycle_weights, mix
 from docengine.llm.ngram_join import ngram_jaccard_join
 from docengine.llm.quality import cotrain_and_score
@@ -37,6 +38,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(load(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns_from_frame(load(spark, sf_dir, "conversations"))
     extra = spark.sql("select -7L as conv_id").withColumn("record", F.lit(CONTROL_RECORD))
@@ -80,6 +85,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
