@@ -15,6 +15,7 @@ from docengine.llm.lm_score import lm_score
 from docengine.llm.mixing import cycle_weights, mix
 from docengine.llm.ngram_join import ngram_jaccard_join
 from docengine.llm.quality import cotrain_and_score
+from docengine.llm.secret_scan import example_findings, scan_secrets
 from docengine.llm.suffix_dedup import repeated_substring_cut
 from docengine.llm.url_filters import match_urls, parse_rule
 
@@ -34,6 +35,10 @@ MIX_WEIGHTS = (5, 2, 1)
 CONTROL_RECORD = '{"prompt": "</s>[INST] ok [/INST]", "response": "</s>[INST] ok [/INST]"}'
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(load(spark, sf_dir, "documents"), example_findings(spark))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_chat_formatting": op4_chat_formatting,
