@@ -1,20 +1,77 @@
-"""A corpus pipeline: stages over the documents table, each calling one operator."""
+"""A corpus pipeline over the documents table.
+
+Five stages, each of which calls one operator and works on all that the stage
+before it kept: quality, exact copies, near copies, benchmark leaks and the mix
+of sources.  All but the last return the columns of ``documents``; the last
+returns the mixed documents with the words that the mix takes from each.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docengine.llm.decontaminate import find_leaks
+from docengine.llm.exact_dedup import content_sort_dedup
+from docengine.llm.mixing import cycle_weights, mix
+from docengine.llm.ngram_join import ngram_jaccard_join
+from docengine.llm.quality import cotrain_and_score
+
+#: Weights of the ordered sources, repeating.
+WEIGHTS = (5, 2, 1)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = cotrain_and_score(docs, labels).where("not keep").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is equal but for white space."""
+    kept = content_sort_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of similar documents."""
+    gone = ngram_jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
-#: Learned and seeded stages cannot be written in SQL; tests hold the stages against brute force.
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item, verbatim or with other values."""
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes: ``doc_id, source, size, target, taken``."""
+    mixed = mix(docs, cycle_weights(WEIGHTS), F.array("source")).where("taken > 0")
+    return mixed.select("doc_id", F.col("pattern")[0].alias("source"), "size", "target", "taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("benchmark_leaks", benchmark_leaks),
+    ("source_mix", source_mix),
+]
+
+#: A trained and a seeded stage cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages, each read back from the shared folder as the next one's documents."""
+    from docengine.llm.common import Scratch
+
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
