@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's collector find what finished jobs left behind.
+
+    The context cleaner deletes shuffle files and broadcasts of finished jobs
+    only once the driver has collected their garbage, which an idle driver may
+    not do for half an hour.
+    """
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -39,6 +49,7 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n:02d}-{name}"
         df.write.parquet(path)
+        release(self.spark)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
         return table
