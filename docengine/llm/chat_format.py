@@ -8,6 +8,7 @@ The template is built from those rows, with running offsets for the loss mask.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,6 +129,16 @@ def _present(record: Column, path: str) -> Column:
     return F.when(F.try_variant_get(record, at, "variant").isNotNull(), F.lit(path))
 
 
+def _item_reader(m: Mapping) -> Callable[[Column], Column]:
+    """Reads one element of a list layout; null elements become empty turns."""
+
+    def read(item: Column) -> Column:
+        said = F.coalesce(F.try_variant_get(item, f"$.{m.text}", "string"), F.lit(""))
+        return F.struct(_role(F.try_variant_get(item, f"$.{m.role}", "string")).alias("role"), said.alias("text"))
+
+    return read
+
+
 def turns_from_json(df: DataFrame, id_col: str = "conv_id", json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Canonical turns of JSON records, each by the fingerprint of its own fields.
 
@@ -146,13 +157,7 @@ def turns_from_json(df: DataFrame, id_col: str = "conv_id", json_col: str = "rec
         fits = fingerprint(F.array_intersect(F.col("paths"), wanted)) == fingerprint(wanted)
         if m.kind == "list":
             items = F.try_variant_get("record", f"$.{m.items}", "array<variant>")
-            said = F.transform(
-                items,
-                lambda x, m=m: F.struct(
-                    _role(F.try_variant_get(x, f"$.{m.role}", "string")).alias("role"),
-                    F.coalesce(F.try_variant_get(x, f"$.{m.text}", "string"), F.lit("")).alias("text"),
-                ),
-            )
+            said = F.transform(items, _item_reader(m))
         else:
             said = F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[F.try_variant_get("record", f"$.{p}", "string") for p in parts]).alias("text")) for role, parts in m.turns])
         found = F.when(fits, said.cast(turn)).otherwise(found)
