@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import Scratch
+from docengine.llm.common import Scratch, release
 
 #: Words, and runs of symbols, of lower-cased text.
 TOKEN = r"\p{L}+|[^\p{L}\s]+"
@@ -28,7 +28,7 @@ TOKEN = r"\p{L}+|[^\p{L}\s]+"
 STEMS = (5, 7)
 
 #: Dimensions of the hashed content features and of the hashed source and language.
-CONTENT_DIMS, PAGE_DIMS = 1 << 17, 32
+CONTENT_DIMS, PAGE_DIMS = 1 << 16, 32
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def cotrain_and_score(docs: DataFrame, labels: DataFrame, settings: Settings = S
     pool = fresh.withColumn("key", key).orderBy("key", "doc_id").limit(settings.pool).select("doc_id", F.lit(None).cast("double").alias("good"))
     # Both parts are bounded, so the union of ids may be sent to every task.
     wanted = F.broadcast(some.unionByName(pool).dropDuplicates(["doc_id"]))
-    fitted = scratch.save(with_views(docs.join(wanted.select("doc_id"), "doc_id")), "views").join(wanted, "doc_id").coalesce(8).persist()
+    fitted = scratch.save(with_views(docs.join(wanted.select("doc_id"), "doc_id")), "views").join(wanted, "doc_id").coalesce(4).persist()
 
     held = (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0) & F.col("good").isNotNull()
     train, held_out, unlabelled = fitted.where(~held & F.col("good").isNotNull()), fitted.where(held), fitted.where("good is null")
@@ -152,12 +152,13 @@ def cotrain_and_score(docs: DataFrame, labels: DataFrame, settings: Settings = S
         nothing = F.lit(None).cast("double")
         return docs.select("doc_id", nothing.alias("content_score"), nothing.alias("page_score"), nothing.alias("score"), F.lit(True).alias("keep"))
 
-    content = View("content", LogisticRegression(labelCol="good", regParam=0.001, maxIter=25, standardization=False))
-    page = View("page", RandomForestClassifier(labelCol="good", numTrees=30, maxDepth=7, seed=settings.seed))
+    content = View("content", LogisticRegression(labelCol="good", regParam=0.001, maxIter=20, standardization=False))
+    page = View("page", RandomForestClassifier(labelCol="good", numTrees=20, maxDepth=6, seed=settings.seed))
     lessons = {content.name: train, page.name: train}
     for turn in range(settings.rounds + 1):
         for view in (content, page):
             view.fit(lessons[view.name].withColumnRenamed(view.name, "features"))
+            release(spark)
         if turn == settings.rounds:
             break
         for teacher, pupil in ((content, page), (page, content)):
