@@ -10,6 +10,7 @@ scored in one pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +57,11 @@ def _share(pattern: str, text: Column, size: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / size
 
 
+def _stem(size: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """A test for words longer than ``size`` and the feature of their beginning."""
+    return (lambda w: F.char_length(w) > size), (lambda w: F.concat(F.lit("^"), F.substring(w, 1, size)))
+
+
 def with_views(docs: DataFrame) -> DataFrame:
     """``doc_id, content, page``: the two feature vectors of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -77,7 +83,7 @@ def with_views(docs: DataFrame) -> DataFrame:
     count = F.greatest(F.size("tokens"), F.lit(1))
     distinct = F.array_distinct("tokens")
     rows = rows.select("*", (F.size(distinct) / count).alias("distinct_share"), F.log1p(F.col("size") / count).alias("mean_word"), distinct.alias("terms")).drop("tokens", "size")
-    stems = [F.transform(F.filter("terms", lambda w, k=k: F.char_length(w) > k), lambda w, k=k: F.concat(F.lit("^"), F.substring(w, 1, k))) for k in STEMS]
+    stems = [F.transform(F.filter("terms", longer), begin) for longer, begin in map(_stem, STEMS)]
     rows = rows.withColumn("terms", F.concat("terms", *stems))
     rows = HashingTF(inputCol="terms", outputCol="content", numFeatures=CONTENT_DIMS, binary=True).transform(rows)
     rows = HashingTF(inputCol="places", outputCol="place", numFeatures=PAGE_DIMS, binary=True).transform(rows)
