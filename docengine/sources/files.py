@@ -23,7 +23,7 @@ MOST_BYTES = 100 * 1024 * 1024
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, length, modificationTime, content, extension`` of all files below a folder."""
+    """``path, length, modificationTime, content, extension`` of all files below a folder (the source leaves out empty ones)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
 
