@@ -5,10 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (single-machine tests).
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
+#: Spark's switch to delete the shuffle files of a finished execution at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folder names of one scratch table.
 _PREFIX = "docengine"
 
@@ -48,7 +52,13 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:02d}-{name}"
-        df.write.parquet(path)
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         release(self.spark)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
@@ -71,3 +81,22 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """
     rows = df.limit(limit + 1).collect()
     return None if len(rows) > limit else rows
+
+
+def most_frequent(counts: DataFrame, token: str, n: str, limit: int):
+    """The most frequent tokens as a pandas table, most frequent first: at most ``limit`` rows.
+
+    Where the limit falls is found from a histogram of the counts' logarithms, a
+    few hundred rows, so that no task sends more than its part of the result.
+    Tokens of the level at which the limit would be passed are left out.
+    """
+    level = F.floor(F.log2(F.col(n)) * 8)
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()
+    cut, total = None, 0
+    for row in sorted(levels, key=lambda r: -r["level"]):
+        total += row["tokens"]
+        if total > limit:
+            break
+        cut = row["level"]
+    rows = counts.select(token, n).where(level >= cut if cut is not None else F.lit(False)).toPandas()
+    return rows.sort_values([n, token], ascending=[False, True], ignore_index=True)

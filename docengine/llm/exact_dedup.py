@@ -24,6 +24,9 @@ from docengine.llm.common import Scratch
 
 _RUNS = "doc_id long, run_id long, run_leader long, run_size long, leads boolean, edge int, part int, text_sha256 string"
 
+#: Characters of a text in the splitters.
+HEAD = 64
+
 #: Edge flags of a run: it opens or closes its partition, so that it may continue in another.
 _OPENS, _CLOSES = 1, 2
 
@@ -105,9 +108,12 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "exact")
     norm = strip_space(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
-    order = [F.col("norm"), F.col("size").desc(), F.col("doc_id").asc_nulls_last()]
-    in_order = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    compared = in_order.select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"))
+    rows = rows.withColumns({"head": F.left("norm", F.lit(HEAD)), "text_sha256": F.sha2("norm", 256)})
+    # Equal texts have equal heads and digests, so both may stand in front of the whole text;
+    # the samples from which Spark takes its splitters then stay short.
+    keeping = [F.col("size").desc(), F.col("doc_id").asc_nulls_last()]
+    in_order = rows.repartitionByRange("head", "text_sha256", *keeping).sortWithinPartitions("head", "text_sha256", "norm", *keeping)
+    compared = in_order.select("doc_id", "norm", "text_sha256")
     runs = scratch.save(compared.mapInArrow(_compare_neighbours, _RUNS), "runs")
 
     # At most two runs of a partition touch its edges; equal ones in a row are one group.

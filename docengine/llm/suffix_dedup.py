@@ -125,8 +125,8 @@ def _collapse(block: dict[str, np.ndarray], settle: str) -> pa.RecordBatch:
 
     ``settle='shared'``: of a rank that two documents here share, one row of
     each of two documents stands for all.  ``settle='smaller'``: a row whose
-    rank a smaller document here has is covered.  ``deal`` is what the shuffle
-    deals by: the rank of an open row, anything for a settled one.
+    rank a smaller document here has is covered.  A settled row needs its rank
+    and its other contexts no more; a random rank deals it out evenly.
     """
     by = np.lexsort((block["doc"], block["key"]))
     block = {c: v[by] for c, v in block.items()}
@@ -145,8 +145,11 @@ def _collapse(block: dict[str, np.ndarray], settle: str) -> pa.RecordBatch:
         settled = shared & ~told
     else:
         settled = other
-    deal = np.where(settled, splitmix(np.arange(len(key), dtype=_U) + key.view(_U)).view(np.int64), key)
-    return _batch(block | {"deal": deal, "state": np.where(settled, SETTLED, OPEN).astype(np.int32)})
+    block["key"] = np.where(settled, splitmix(np.arange(len(key), dtype=_U) + key.view(_U)).view(np.int64), key)
+    for c in ("right", "left"):
+        if c in block:
+            block[c] = np.where(settled, 0, block[c])
+    return _batch(block | {"state": np.where(settled, SETTLED, OPEN).astype(np.int32)})
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,14 +341,14 @@ def _cut(length: int) -> Callable[[Batches], Batches]:
     return run
 
 
-_RANKED = "key long, doc long, at long, deal long, state int"
+_RANKED = "key long, doc long, at long, state int"
 
 
 def _ranked(rows: DataFrame, keep: str, extra: list[str]) -> DataFrame:
     """Sort by rank and judge; equal open ranks meet in one task, one row of each per task before it."""
     judge = _mark_covered if keep == "smaller" else _keep_shared
     schema = "doc long, " + ", ".join(f"{c} long" for c in extra) + (", covered boolean" if keep == "smaller" else "")
-    return rows.repartition("deal").sortWithinPartitions("state", "key", "doc").drop("deal").mapInArrow(judge(extra), schema)
+    return rows.repartition("key").sortWithinPartitions("state", "key", "doc").mapInArrow(judge(extra), schema)
 
 
 def repeated_substring_cut(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +374,7 @@ def repeated_substring_cut(docs: DataFrame, length: int = 50, id_col: str = "doc
 
     anchors = _ranked(known.mapInArrow(_anchor_rows(length), _RANKED), "shared", ["at"])
     anchors = scratch.save(anchors, "anchors")
-    rows = known.join(pack(anchors), "doc_id").mapInArrow(_block_rows(length), "key long, doc long, at long, right long, left long, deal long, state int")
+    rows = known.join(pack(anchors), "doc_id").mapInArrow(_block_rows(length), "key long, doc long, at long, right long, left long, state int")
     blocks = scratch.save(_ranked(rows, "smaller", ["at", "right", "left"]), "blocks")
     scratch.drop(anchors)
 
