@@ -40,8 +40,8 @@ _U = np.uint64
 #: Most entries of the frequency table that is sent to the executors (16 bytes each).
 FREQUENT = 200_000
 
-#: Bucket rows from which a token's bucket is dealt over SALTS tasks.
-HOT_ROWS, SALTS = 50_000, 32
+#: Bucket rows from which a token's bucket is dealt over SALTS tasks; COLD is the salt of all other buckets.
+HOT_ROWS, SALTS, COLD = 50_000, 32, -1
 
 #: Bits of the largest id filter that is sent to the executors (16 MB).
 MAX_BITS = 1 << 27
@@ -49,7 +49,7 @@ MAX_BITS = 1 << 27
 #: Tokens that are counted together before rare ones are dropped.
 COUNT_BLOCK = 4_000_000
 
-_SETS = "doc_id long, n long, sig1 long, sig2 long, rare long, hot_from int, prefix array<long>"
+_SETS = "doc_id long, n long, sig1 long, sig2 long, rare long, prefix array<long>"
 _TOKENS = "doc long, tokens array<long>"
 #: 64-bit words of the parity sketch by which buckets are joined.
 SKETCH = 8
@@ -173,13 +173,11 @@ def _sets(width: int, orders: Orders) -> Callable[[Iterator[pa.RecordBatch]], It
                 _, _, wdoc, word = words(chunk)
                 token, doc, n = shingles(word, wdoc, chunk.n_docs, width)
                 sums = _signatures(token, n)
-                prefix, rows, offsets, size = orders.prefixes(token, doc, n, 1)
-                hot = np.concatenate(([0], np.cumsum(rows >= HOT_ROWS)))
-                hot = size - (hot[offsets[1:]] - hot[offsets[:-1]])
+                prefix, _, offsets, _ = orders.prefixes(token, doc, n, 1)
                 rare = np.bincount(doc[orders.frequency(token)[1] == 0], minlength=chunk.n_docs)
                 ids = batch.column("doc_id")[chunk.first : chunk.first + chunk.n_docs]
-                cols = [ids, pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare), pa.array(hot.astype(np.int32)), _lists(prefix, offsets)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig1", "sig2", "rare", "hot_from", "prefix"])
+                cols = [ids, pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare), _lists(prefix, offsets)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig1", "sig2", "rare", "prefix"])
 
     return run
 
@@ -204,7 +202,8 @@ def _bucket_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     """Drop tokens with one row; name for each row the one before it and the bucket's first.
 
     Rows come sorted by token and salt.  A row is kept if a neighbour has the
-    same token, so one row is carried from batch to batch.
+    same token, so one row is carried from batch to batch.  A row of a salted
+    token is always kept: its neighbours may all have other salts.
     """
     names = ["token", "salt", "doc", "n", "pos"]
     carry, first = None, None  # the last row, not yet decided; the first row of its bucket
@@ -232,7 +231,7 @@ def _bucket_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         prev_rows = np.concatenate((rows[:1] if before is None else before[None, :], rows[:-1]))
         prev, lead = candidates(rows, prev_rows), candidates(rows, lead_rows)
         prev[~joins] = lead[~joins] = np.ma.masked
-        keep = joins.copy()
+        keep = joins | (rows[:, 1] != COLD)
         keep[:-1] |= same
         return keep, prev, lead, lead_rows
 
@@ -337,6 +336,28 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return x.where(F.expr("5 * xn >= 4 * yn and 5 * yn >= 4 * xn")).where(9 * differ <= F.col("xn") + F.col("yn")).select("a", "b")
 
 
+def _dealt(tokens: DataFrame, orders: Orders, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """The prefix tokens with the salt of their bucket, and the scratch tables they are read from.
+
+    Only tokens that HOT_ROWS representatives hold are salted.  The row that
+    leads such a bucket is passed to every salt, so each row meets it.
+    """
+    tokens = tokens.select("token", "rare", "doc", "n", F.col("pos").cast("long").alias("pos"))
+    cold = F.lit(COLD).cast("long").alias("salt")
+    often = orders.tokens[orders.rows >= HOT_ROWS].view(np.int64).tolist()
+    if not often:
+        return tokens.select("token", cold, "rare", "doc", "n", "pos"), []
+    spark = tokens.sparkSession
+    tokens = scratch.save(tokens, "prefixes")
+    some = tokens.join(F.broadcast(spark.createDataFrame([(t,) for t in often], "token long")), "token", "left_semi")
+    hot = some.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("rare", "n", "doc", "pos")).alias("lead")).where(F.col("rows") >= max(HOT_ROWS, 2))
+    hot = scratch.save(hot, "hot")
+    own = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("long")
+    dealt = tokens.join(F.broadcast(hot.select("token", "rows")), "token", "left").select("token", F.when(F.col("rows").isNull(), cold).otherwise(own).alias("salt"), "rare", "doc", "n", "pos")
+    leads = hot.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "lead.rare", "lead.doc", "lead.n", "lead.pos")
+    return dealt.unionByName(leads.where(F.col("salt") != own)), [tokens, hot]
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Components of the documents whose shingle sets are at least 0.8 similar.
 
@@ -364,13 +385,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # One representative of each set goes on, with its prefix.
     prefixes = texts.where("doc_id is not null").mapInArrow(_sets(width, orders), _SETS).where("n > 0")
-    classes = prefixes.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "hot_from", "rare", "prefix")).alias("rep"))
-    tokens = classes.select(F.col("rep.doc_id").alias("doc"), "n", "rep.hot_from", "rep.rare", F.posexplode("rep.prefix").alias("pos", "token"))
-    salt = F.when(F.col("pos") >= F.col("hot_from"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0)).cast("long")
-    tokens = tokens.select("token", salt.alias("salt"), "rare", "doc", "n", F.col("pos").cast("long").alias("pos"))
+    classes = prefixes.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "rare", "prefix")).alias("rep"))
+    tokens, held = _dealt(classes.select(F.col("rep.doc_id").alias("doc"), "n", "rep.rare", F.posexplode("rep.prefix").alias("pos", "token")), orders, scratch)
     # The document with the fewest tokens of its own leads a bucket: of a group of edited copies, the one nearest to all.
     buckets = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "n", "doc").drop("rare")
-    shared = scratch.save(buckets.mapInArrow(_bucket_neighbours, "token long, salt long, doc long, n long, pos long, prev long, lead long"), "shared")
+    shared = buckets.mapInArrow(_bucket_neighbours, "token long, salt long, doc long, n long, pos long, prev long, lead long")
+    # without the leads' copies in other salts than their own, which are in `shared` once already
+    shared = scratch.save(shared.where((F.col("salt") == COLD) | (F.col("salt") == F.pmod(F.xxhash64("doc"), F.lit(SALTS)))), "shared")
+    scratch.drop(*held)
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     near = shared.select("doc", F.explode(F.array("prev", "lead")).alias("other")).where("other is not null").select(*pair(F.col("doc"), F.col("other"))).distinct()

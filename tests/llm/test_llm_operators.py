@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.llm import lm_score
+from docengine.llm import lm_score, ngram_join
 from docengine.llm.chat_format import format_turns, read_loss, read_turns, turns_from_frame, turns_from_json
 from docengine.llm.common import Scratch
 from docengine.llm.components import connected_components
@@ -145,6 +145,34 @@ def test_ngram_join_of_many_near_copies(spark):
     assert [got[i]["component_id"] for i in range(len(data))] == [find(i) for i in range(len(data))]
 
 
+@pytest.mark.parametrize("hot_rows", [3, 6])
+def test_ngram_join_at_hot_tokens(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot_rows)
+    rng = random.Random(8)
+    data = []
+    for _ in range(4):
+        base = prose(rng, 120, 9_000).split()
+        data += [" ".join(base)] * 30
+        for k in range(8):  # near copies, the last ones beyond the threshold
+            w = list(base)
+            for at in rng.sample(range(len(w)), 1 + k // 2):
+                w[at] = f"y{rng.randrange(10**6)}"
+            data.append(" ".join(w))
+    sets = [shingle_set(t) for t in data]
+    parent = list(range(len(data)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for a in range(len(data)):
+        for b in range(a + 1, len(data)):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = table(ngram_jaccard_join(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)))
+    assert [got[i]["component_id"] for i in range(len(data))] == [find(i) for i in range(len(data))]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r["id"]: r["label"] for r in connected_components(edges, Scratch(spark, "test")).collect()}
