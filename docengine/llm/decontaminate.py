@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders, so a question whose values
 were changed keeps its template.  Windows of template tokens of the benchmark
 items are hashed into a table that every task holds; the windows of all texts
-are looked up in it while they are scanned, so no text is shuffled.  Where
-windows of an item line up in a document, the values in their slots are
-compared: the same value of the item must stand for one value of the document
+are looked up in it while they are scanned, so no text is shuffled.  A whole
+number and a run of capitalised words are one placeholder each.  Where windows
+of an item line up in a document, on one diagonal or in order over neighbouring
+ones (a word is added or left out), the values in their slots are compared: the same value of the item must stand for one value of the document
 everywhere, which tells a re-parameterised copy from a chance likeness.
 """
 
@@ -35,6 +36,9 @@ BLOCK_ITEMS = 20_000
 #: Share of an item's windows that must line up in a document.
 COVERAGE = 0.5
 
+#: Most tokens by which two windows of an item that follow each other may be nearer or farther in a document.
+DRIFT = 4
+
 #: Units that follow a number.
 UNITS = (
     "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l ms s sec min h hr hour hours day days week weeks month months year years "
@@ -55,6 +59,11 @@ _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3A, 0x3F, 0x0A]] = True  # ! . : ? and line feed end a sentence
+_MARK, _SIGN, _LINK, _BEFORE = (np.zeros(256, bool) for _ in range(4))
+_MARK[[0x2C, 0x2E]] = True  # , . inside a number
+_SIGN[[0x2B, 0x2D]] = True  # + -
+_LINK[[0x20, 0x27, 0x2D]] = True  # space ' - inside a name
+_BEFORE[[0x09, 0x0A, 0x0D, 0x20, 0x28, 0x3D]] = True  # white space ( = before a sign
 
 _PLACEHOLDER = splitmix(np.arange(1, 5, dtype=_U))
 _STEP = _U(0xA0761D6478BD642F)
@@ -67,11 +76,31 @@ def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Template:
-    """Template tokens of a chunk: kind, hash, value span and document of each."""
+    """Template tokens of a chunk: kind, hash, value span and document of each.
+
+    There are two forms.  In form 0 a run of names is one token; in form 1 names
+    are words.  ``base[0]`` has the form-1 index at which a form-0 token begins,
+    ``run`` the form-0 index of a form-1 token.
+    """
 
     def __init__(self, chunk):
         data = chunk.data
-        self.start, self.end, self.doc = spans(_WORD_BYTE[data], chunk)
+        start, end, doc = spans(_WORD_BYTE[data], chunk)
+        self.n_words = np.bincount(doc, minlength=chunk.n_docs)
+        # U+2212, a minus of three bytes, is part of the span
+        ahead = np.concatenate((data, np.zeros(3, np.uint8)))
+        minus = (ahead[start] == 0xE2) & (ahead[start + 1] == 0x88) & (ahead[start + 2] == 0x92) & _DIGIT[ahead[start + 3]]
+        first = np.ones(len(start), bool)
+        if len(start):
+            digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
+            whole = digits[end] - digits[start] == end - start - 3 * minus
+            first[1:] = ~(whole[:-1] & _DIGIT[data[start[1:]]] & (start[1:] == end[:-1] + 1) & _MARK[data[end[:-1]]] & (doc[1:] == doc[:-1]))
+        self.start, self.end, self.doc = start[first], end[np.append(first[1:], True)] if len(end) else end, doc[first]
+        number = _DIGIT[data[self.start]] | minus[first]
+        at = self.start - 1
+        signed = number & (at >= chunk.doc_start[self.doc])
+        signed[signed] = _SIGN[data[at[signed]]] & ((at[signed] == chunk.doc_start[self.doc[signed]]) | _BEFORE[data[at[signed] - 1]])
+        self.start = self.start - signed
         n = len(self.start)
         # A-Z and the two-byte capitals of Latin-1
         two = np.zeros(len(data), bool)
@@ -82,7 +111,6 @@ class Template:
         self.value = span_hash(self.data, self.start, self.end)
         self.kind = np.zeros(n, np.int8)
         if n:
-            number = _DIGIT[data[self.start]]
             stops = np.concatenate(([0], np.cumsum(_STOP[data])))
             opens = np.ones(n, bool)  # begins a sentence, where a capital says nothing
             opens[1:] = (stops[self.start[1:]] > stops[self.end[:-1]]) | (self.doc[1:] != self.doc[:-1])
@@ -98,7 +126,15 @@ class Template:
         typed = np.where(self.kind > 0, _PLACEHOLDER[self.kind], self.value) if n else np.zeros(0, _U)
         # Where a copy changed its capitals, names are not told from words: the second form keeps them as words.
         plain = np.where(self.kind == NAME, self.value, typed)
-        self.forms = (typed, plain)
+        begins = np.ones(n, bool)
+        if n:
+            name = self.kind == NAME
+            begins[1:] = ~(name[1:] & name[:-1] & (self.doc[1:] == self.doc[:-1]) & (self.start[1:] == self.end[:-1] + 1) & _LINK[data[self.end[:-1]]])
+        self.base = (np.flatnonzero(begins), np.arange(n))
+        self.run = np.cumsum(begins) - 1
+        self.run_end = self.end[np.append(begins[1:], True)] if n else self.end
+        self.forms = (typed[begins], plain)
+        self.docs = (self.doc[begins], self.doc)
 
     def windows(self, width: int, form: int) -> np.ndarray:
         """Hash of each window of ``width`` tokens; windows over a document's end are dropped by the caller."""
@@ -112,8 +148,27 @@ class Template:
             acc += token[k : n + k]
         return splitmix(acc + _U(width))
 
-    def text(self, i: int) -> str:
-        return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
+    def text(self, i: int, form: int) -> str:
+        start, end = (self.start[self.base[0][i]], self.run_end[i]) if form == 0 else (self.start[i], self.end[i])
+        return self.data[start:end].tobytes().decode("utf-8", "replace")
+
+
+class Item:
+    """The slots of a benchmark item and where its tokens of each form begin."""
+
+    def __init__(self, t: Template, bounds: list[tuple[int, int]]):
+        (lo, hi), (lo1, hi1) = bounds
+        self.widths = [min(hi - lo, WINDOW), min(hi1 - lo1, WINDOW)]
+        self.n_windows = [hi - lo - self.widths[0] + 1, hi1 - lo1 - self.widths[1] + 1]
+        self.base = (t.base[0][lo:hi] - lo1, np.arange(hi1 - lo1))
+        self.run = t.run[lo1:hi1] - lo
+        self.kind = t.kind[t.base[0][lo:hi]]
+        self.values = [t.text(j, 0) for j in range(lo, hi)]
+        self.plain = {j - lo1: t.text(j, 1) for j in range(lo1, hi1) if t.kind[j]}
+
+    def share(self, windows: list[set[int]]) -> float:
+        """Share of the windows, by the form that has more of them; ``windows``: their begin by form."""
+        return min(1.0, max(len(windows[0]) / self.n_windows[0], len(windows[0] | windows[1]) / self.n_windows[1]))
 
 
 class WindowTable:
@@ -121,22 +176,21 @@ class WindowTable:
 
     def __init__(self, ids: list[int], texts: list[str]):
         found = defaultdict(list)
-        self.kinds, self.values, self.n_windows = {}, {}, {}
+        self.items: dict[int, Item] = {}
         at = 0
         for chunk in chunks(pa.array(texts, pa.string())):
             t = Template(chunk)
-            lo = np.searchsorted(t.doc, np.arange(chunk.n_docs), side="left")
-            hi = np.searchsorted(t.doc, np.arange(chunk.n_docs), side="right")
+            lo = [np.searchsorted(d, np.arange(chunk.n_docs), side="left") for d in t.docs]
+            hi = [np.searchsorted(d, np.arange(chunk.n_docs), side="right") for d in t.docs]
             for i in range(chunk.n_docs):
-                n, item = int(hi[i] - lo[i]), at + i
-                if n < SHORTEST:
+                if t.n_words[i] < SHORTEST:
                     continue
-                width = min(n, WINDOW)
-                self.kinds[item], self.values[item] = t.kind[lo[i] : hi[i]], [t.text(j) for j in range(lo[i], hi[i])]
-                self.n_windows[item] = n - width + 1
-                for form in (0, 1):
-                    hashes = t.windows(width, form)[lo[i] : hi[i] - width + 1]
-                    found[width, form].append((hashes, np.full(len(hashes), item), np.arange(len(hashes))))
+                bounds = [(int(lo[form][i]), int(hi[form][i])) for form in (0, 1)]
+                self.items[at + i] = item = Item(t, bounds)
+                for form, (begin, end) in enumerate(bounds):
+                    width = item.widths[form]
+                    hashes = t.windows(width, form)[begin : end - width + 1]
+                    found[width, form].append((hashes, np.full(len(hashes), at + i), np.arange(len(hashes))))
             at += chunk.n_docs
         self.ids = ids
         self.by_form = {}
@@ -149,7 +203,35 @@ class WindowTable:
         return bool(self.by_form)
 
 
-def _same_slots(kind: np.ndarray, item_values: list[str], doc_values: list[str]) -> tuple[int, int, int]:
+def _chains(hits: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs of hits (window in item, token in document) in order: each diagonal, and the longest over neighbouring ones.
+
+    The second kind ends at the last hit of each diagonal; its steps go from
+    diagonal to diagonal by DRIFT at most.
+    """
+    ends: dict[int, list[tuple[int, int, int, tuple | None]]] = defaultdict(list)
+    for pos, token in sorted(hits):
+        shift, best = token - pos, None
+        for near in range(shift - DRIFT, shift + DRIFT + 1):
+            # the longest is the last in front of both; at most DRIFT + 1 hits of a diagonal are not
+            for end in reversed(ends.get(near, ())):
+                if end[1] < pos and end[2] < token:
+                    if best is None or end[0] > best[0] or (end[0] == best[0] and near == shift):
+                        best = end
+                    break
+        ends[shift].append((1 if best is None else best[0] + 1, pos, token, best))
+    for line in ends.values():
+        own = [(pos, token) for _, pos, token, _ in line]
+        yield own
+        chain, end = [], line[-1]
+        while end is not None:
+            chain.append((end[1], end[2]))
+            end = end[3]
+        if chain[::-1] != own:
+            yield chain[::-1]
+
+
+def _same_slots(kind: list[int], item_values: list[str], doc_values: list[str]) -> tuple[int, int, int]:
     """Slots, slots whose value changed, and slots that contradict the commonest reading of their value."""
     seen: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
     slots = changed = 0
@@ -163,26 +245,46 @@ def _same_slots(kind: np.ndarray, item_values: list[str], doc_values: list[str])
 
 
 def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def judge(t: Template, doc: int, hits: list[tuple[int, int, int, int]], lo: int, hi: int):
-        """hits: (item, window in item, first token in chunk, width) of one document."""
-        lines: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for item, pos, token, _ in hits:
-            lines[item, token - pos].add(pos)
+    def aligned(t: Template, item: Item, windows: list[tuple[int, int, int]]):
+        """Kind, the item's value and the document's value of each slot under ``windows`` (form, window in item, token in chunk)."""
+        slots: dict[int, tuple[int, str, str]] = {}
+        for form, pos, token in sorted(windows):
+            for k in range(item.widths[form]):
+                j = pos + k
+                own = j if form == 0 else int(item.run[j])
+                kind = int(item.kind[own])
+                if not kind or own in slots:
+                    continue
+                # names are words in form 1, where they are equal
+                value = item.values[own] if form == 0 or kind == NAME else item.plain[j]
+                slots[own] = (kind, value, value if form == 1 and kind == NAME else t.text(token + k, form))
+        return list(zip(*slots.values(), strict=True)) or [(), (), ()]
+
+    def judge(t: Template, hits: list[tuple[int, int, int, int]]):
+        """hits: (item, form, window in item, first token in chunk) of one document."""
+        by_item: dict[int, dict[tuple[int, int], list]] = defaultdict(lambda: defaultdict(list))
+        for item, form, pos, token in hits:
+            at = int(table.items[item].base[form][pos]), int(t.base[form][token])
+            by_item[item][at].append((form, pos, token))
         best: dict[int, tuple] = {}
-        for (item, shift), windows in lines.items():
-            share = len(windows) / table.n_windows[item]
-            if share < coverage:
-                continue
-            kind, values = table.kinds[item], table.values[item]
-            width = min(len(kind), WINDOW)
-            inside = sorted({p + k for p in windows for k in range(width)})
-            inside = [j for j in inside if lo <= shift + j < hi]
-            slots, changed, against = _same_slots(kind[inside], [values[j] for j in inside], [t.text(shift + j) for j in inside])
-            if 4 * against > slots:  # values that do not follow from one another
+        for number, at in by_item.items():
+            item = table.items[number]
+
+            def share(places):
+                return item.share([{p for p, q in places if any(w[0] == form for w in at[p, q])} for form in (0, 1)])
+
+            if share(at) < coverage:
                 continue
-            found = (share, -changed, item, slots, changed)
-            if item not in best or found[:2] > best[item][:2]:
-                best[item] = found
+            for chain in _chains(list(at)):
+                part = share(chain)
+                if part < coverage:
+                    continue
+                slots, changed, against = _same_slots(*aligned(t, item, [w for place in chain for w in at[place]]))
+                if 4 * against > slots:  # values that do not follow from one another
+                    continue
+                found = (part, -changed, number, slots, changed)
+                if number not in best or found[:2] > best[number][:2]:
+                    best[number] = found
         return best.values()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +299,13 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
                     if not len(own):
                         continue
                     hit = np.flatnonzero(_isin(own, h))
-                    hit = hit[t.doc[hit] == t.doc[hit + width - 1]]
+                    hit = hit[t.docs[form][hit] == t.docs[form][hit + width - 1]]
                     left, right = np.searchsorted(h, own[hit], side="left"), np.searchsorted(h, own[hit], side="right")
                     for token, lo, hi in zip(hit.tolist(), left.tolist(), right.tolist(), strict=True):
                         for j in range(lo, hi):
-                            by_doc[int(t.doc[token])].append((int(item[j]), int(pos[j]), token, width))
+                            by_doc[int(t.docs[form][token])].append((int(item[j]), form, int(pos[j]), token))
                 for doc, hits in by_doc.items():
-                    lo, hi = np.searchsorted(t.doc, doc, side="left"), np.searchsorted(t.doc, doc, side="right")
-                    rows += [(ids[chunk.first + doc].as_py(), table.ids[item], share, slots, changed) for share, _, item, slots, changed in judge(t, doc, hits, int(lo), int(hi))]
+                    rows += [(ids[chunk.first + doc].as_py(), table.ids[item], share, slots, changed) for share, _, item, slots, changed in judge(t, hits)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -217,13 +318,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """The benchmark items that documents contain, verbatim or with other values.
 
     One row per document and item: ``doc_id, item_id, coverage`` (share of the
-    item's windows that line up), ``slots, slots_changed, kind`` (``verbatim`` or
+    item's windows that line up in order), ``slots, slots_changed, kind`` (``verbatim`` or
     ``reparameterised``).  A document without a row is clean.
 
     The benchmark is read to the driver block by block, and each block is
     looked up by one scan of the texts, so a task never holds more than
     ``block_items`` items.  Null and empty texts contain nothing; items of fewer
-    than SHORTEST tokens are not looked for.  Repeated rows are reported once
+    than SHORTEST words are not looked for.  Repeated rows are reported once
     per id.  A null id is reported as null.  Other columns are not read; an
     empty table on either side gives an empty result.
     """

@@ -288,6 +288,32 @@ def test_decontamination(spark):
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_with_values_of_other_lengths(spark):
+    number = "we know that every worker in this large factory packs 40 boxes during one long shift before lunch is served"
+    names = "yesterday the old baker sold Anna twelve fresh rolls and then went to Paris with all the money that he had"
+    words = "seven quiet wizards counted the golden apples while nobody in the small village was looking at them or at their hats"
+    bench = spark.createDataFrame([(1, number), (2, names), (3, words), (4, "It costs 1,200 or 42.5")], "item_id long, text string")
+    data = [
+        (1, number.replace("40", "42.5"), 1),
+        (2, number.replace("40", "-1,200,000.75"), 1),
+        (3, names.replace("Anna", "Mary Ann").replace("Paris", "New York"), 2),
+        (4, names.replace("Anna", "Mary Ann").replace("Paris", "New York").lower(), None),
+        (5, words.replace("nobody", "nobody else"), 3),
+        (6, words.replace("golden apples while", "apples while"), 3),
+        (7, " ".join(reversed(words.split())), None),
+        (8, "\u2212", None),
+        (9, "now: It costs 1,200 or 42.5", 4),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in find_leaks(docs, bench).collect()}
+    assert set(got) == {(d, i) for d, _, i in data if i}
+    assert [got[k]["kind"] for k in ((1, 1), (3, 2), (5, 3), (9, 4))] == ["reparameterised", "reparameterised", "verbatim", "verbatim"]
+    assert (got[3, 2]["slots"], got[3, 2]["slots_changed"], got[3, 2]["coverage"]) == (2, 2, 1.0)
+    # a run of names in lower case is told by its words
+    whole = spark.createDataFrame([(1, names.replace("Paris", "New York"))], "item_id long, text string")
+    assert find_leaks(spark.createDataFrame([(1, names.replace("Paris", "New York").lower())], "doc_id long, text string"), whole).count() == 1
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Add 5 to 5 and then take 5 from the sum of 5 and 5 to get the final result of 5."
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
