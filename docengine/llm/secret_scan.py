@@ -1,6 +1,6 @@
 """Secret scan with a random forest against false positives; DataFrame functions only.
 
-Candidates are long runs of key characters.  Each is described by its length,
+Candidates are long runs of key characters, shorter ones behind a key word.  Each is described by its length,
 the transitions between its character classes, the share that a dictionary
 covers, and its surroundings: path-like context and the words in front of it.
 A random forest that was trained on labelled findings decides which candidates
@@ -18,15 +18,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: A run of key characters with at least one digit or change of case is looked at.
-RUN = r"[A-Za-z0-9_\-+/=.~]{16,}"
-
 #: Characters kept in front of and behind a candidate.
 CONTEXT = 48
 
 #: Words that announce a credential.  Fixed values.
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private", "key")
 
+_KEY_CHAR = r"[A-Za-z0-9_\-+/=.~]"
+
+#: A run of key characters with at least one digit or change of case is looked at; it is shorter behind a key word.
+#: A leading ``name=`` is not part of it.
+RUN = (
+    rf"(?=[A-Za-z0-9_\-+/.~]{_KEY_CHAR}{{7}})(?![A-Za-z0-9_.\-]{{1,40}}=[A-Za-z0-9_\-+/.~])"
+    rf"(?:{_KEY_CHAR}{{16,}}|(?<=[\s\"'`=:])(?<=(?i:{'|'.join(KEY_WORDS)})[\"'`]?\s{{0,2}}[=:]{{0,2}}\s{{0,2}}[\"'`]?){_KEY_CHAR}{{8,}})"
+)
+
 #: Words that announce something else of the same look.  Fixed values.
 PLAIN_WORDS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "etag", "hash", "integrity", "revision", "version", "file", "path")
 
@@ -110,13 +116,15 @@ class Settings:
     seed: int = 5
 
 
-def example_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
-    """Labelled findings made from seeded hashes: ``candidate, before, after, secret``.
+def example_texts(spark: SparkSession, n: int = 6_000) -> DataFrame:
+    """Texts of one finding each, made from seeded hashes: ``doc_id, text, secret``.
 
-    Secrets are random keys in usual formats and places; the others are
-    digests, identifiers, paths, links and joined words of the same lengths.
+    Secrets are random keys in usual formats; the others are digests,
+    identifiers, paths, links and joined words of the same lengths.  Both stand
+    in every mix of key word, assignment and quotes, and bare.  Only plain hex
+    needs its surroundings: it is a secret behind a key word alone.
     """
-    rows = spark.range(n).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)).alias(f"h{k}") for k in range(4)])
+    rows = spark.range(n).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)).alias(f"h{k}") for k in range(9)])
     hexes = F.sha2(F.concat(F.lit("s"), "id"), 256)
     mixed = F.translate(F.base64(F.unhex(hexes)), "+/=", "xY0")
     pick = lambda words, h: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.col(h), F.lit(len(words))) + 1).cast("int"))
@@ -137,8 +145,19 @@ def example_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         .when(kind == 10, F.concat(word("h0"), F.initcap(word("h1")), F.initcap(word("h2")), F.initcap(word("h3")), F.pmod("h1", F.lit(100))))
         .otherwise(F.concat(F.pmod("h0", F.lit(9000)) + 1000, F.lpad(F.col("h1").cast("string"), 7, "0"), F.lpad(F.col("h2").cast("string"), 7, "1")))
     )
-    before = F.when(kind < 5, F.concat(word("h2"), F.lit(" "), key, sign, quote)).when(kind < 8, F.concat(word("h2"), F.lit(" "), plain, sign)).otherwise(F.concat(word("h1"), F.lit(" "), word("h3"), F.lit(" ")))
-    return rows.select(candidate.alias("candidate"), before.alias("before"), F.when(kind < 5, quote).otherwise(F.lit(" ")).alias("after"), (kind < 5).cast("double").alias("secret"))
+    odd = lambda h: F.pmod(F.col(h), F.lit(2)) == 1
+    none = F.lit("")
+    keyed, marked = F.when((kind < 2) | odd("h4"), F.concat(F.lit(" "), key)).otherwise(none), odd("h5")
+    named = F.when(kind.isin(5, 6) & ((keyed != "") | odd("h6")) | (kind.between(7, 11) & odd("h6")), F.concat(F.lit(" "), plain)).otherwise(none)
+    quote = F.when(odd("h7"), quote).otherwise(none)
+    before = F.concat(word("h8"), keyed, named, F.when(marked, sign).otherwise(F.lit(" ")), quote)
+    return rows.select(F.col("id").alias("doc_id"), F.concat(before, candidate, quote, F.lit(" "), word("h2")).alias("text"), (kind < 5).cast("double").alias("secret"))
+
+
+def example_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
+    """Labelled findings, as ``candidates`` cuts them from ``example_texts``: ``candidate, before, after, secret``."""
+    texts = example_texts(spark, n)
+    return candidates(texts).join(texts.select("doc_id", "secret"), "doc_id").select("candidate", "before", "after", "secret")
 
 
 def train_filter(findings: DataFrame, settings: Settings = Settings()) -> RandomForestClassificationModel:

@@ -409,6 +409,25 @@ def test_quality_classifier(spark, empty):
     assert cotrain_and_score(empty, lab).count() == 0
 
 
+def test_secret_scan_in_other_surroundings(spark):
+    key = "q7RzT2mKx9LwV4bNc8YpH3sGd6FjA1uEoZ5iXvB0"
+    digest = hashlib.sha256(b"d").hexdigest()
+    data = [
+        (1, f"set password: {key} and go", key, True),
+        (2, f"pasted ghp_{key[:30]} here", f"ghp_{key[:30]}", True),
+        (3, f"export token={key}", key, True),
+        (4, f'the checksum: "{digest}" of it', digest, False),
+        (5, "login with pwd = 'aB3dE5gH9k' now", "aB3dE5gH9k", None),
+        (6, "private key = 'docs/index2/service/main.html' there", "docs/index2/service/main.html", False),
+    ]
+    df = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    assert {r["doc_id"]: r["candidate"] for r in candidates(df).collect()} == {r[0]: r[2] for r in data}
+    got = {r["doc_id"]: r["secret"] for r in scan_secrets(df, example_findings(spark)).collect()}
+    assert {i: got[i] for i, _, _, secret in data if secret is not None} == {i: secret for i, _, _, secret in data if secret is not None}
+    shown = example_findings(spark, 1200).select("secret", F.col("before").rlike("[\"'`]$"), F.col("before").rlike("[=:][ \"'`]*$"))
+    assert shown.distinct().count() == 8
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     data = [
