@@ -125,14 +125,10 @@ ORACLES: dict[str, str] = {
             select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as body from conversations
             union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
             union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-        ), r as (
-            select conv_id, turn, body,
-                   case role when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant' when 'model' then 'assistant' else role end as role
-            from t
         ), e as (
             select *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') as e_role,
                    replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') as e_body
-            from r
+            from t
         )
         select conv_id, count(*) as n_turns,
                sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn, role, body)) as turns_sha256,

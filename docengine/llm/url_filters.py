@@ -39,6 +39,11 @@ class Rule:
     def key(self) -> str:
         return reversed_host(self.host)
 
+    @property
+    def priority(self) -> int:
+        """Of fitting rules the one with the highest priority wins: longest text, block before allow, longest host."""
+        return (2 * len(self.text) + (self.verdict == "block") << 20) + len(self.host)
+
 
 def reversed_host(host: str) -> str:
     return "".join(f"{x}." for x in reversed(host.split("."))) if host else ""
@@ -65,8 +70,18 @@ def reversed_host_column(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def _sweep(rules: list[tuple[str, str, str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """rules: (key, path, text, verdict), sorted."""
+def _priorities(rule: pa.Array, verdict: pa.Array) -> np.ndarray:
+    """The priority of each row's rule so far; -1 for none."""
+    length, slash = pc.utf8_length(rule), pc.find_substring(rule, "/")
+    host = pc.if_else(pc.less(slash, 0), length, slash)
+    blocks = pc.cast(pc.equal(verdict, "block"), pa.int64())
+    length, host = pc.cast(length, pa.int64()), pc.cast(host, pa.int64())
+    priority = pc.add(pc.multiply(pc.add(pc.multiply(length, 2), blocks), 1 << 20), host)
+    return np.array(pc.fill_null(priority, -1))
+
+
+def _sweep(rules: list[tuple[str, str, str, str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rules: (key, path, text, verdict, priority), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stack = 0, []  # stack: rules whose host interval holds the current key, outer first
@@ -79,7 +94,7 @@ def _sweep(rules: list[tuple[str, str, str, str]]) -> Callable[[Iterator[pa.Reco
             new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
             starts = np.append(np.flatnonzero(new), n)
             best = np.full(n, -1, np.int64)
-            size = np.full(n, -1, np.int64)
+            rank = _priorities(batch.column("rule"), batch.column("verdict"))
             active = []
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 k = key[int(lo)].as_py()
@@ -100,12 +115,10 @@ def _sweep(rules: list[tuple[str, str, str, str]]) -> Callable[[Iterator[pa.Reco
                 paths = path.take(pa.array(rows))
                 for r in rule_set:
                     fits = pc.starts_with(paths, pattern=rules[r][1]).to_numpy(zero_copy_only=False)
-                    length = len(rules[r][2])
-                    hit = rows[fits & (size[rows] <= length)]
-                    best[hit], size[hit] = r, length
-            before = pc.fill_null(pc.utf8_length(batch.column("rule")), -1).to_numpy(zero_copy_only=False)
-            better = pa.array((best >= 0) & (size > before))
-            found = [rules[r] if r >= 0 else (None,) * 4 for r in best.tolist()]
+                    hit = rows[fits & (rank[rows] < rules[r][4])]
+                    best[hit], rank[hit] = r, rules[r][4]
+            better = pa.array(best >= 0)
+            found = [rules[r] if r >= 0 else (None,) * 5 for r in best.tolist()]
             rule = pc.if_else(better, pa.array([f[2] for f in found], pa.string()), batch.column("rule"))
             verdict = pc.if_else(better, pa.array([f[3] for f in found], pa.string()), batch.column("verdict"))
             kept = [batch.column(c) for c in ("page_id", "host", "path", "key")]
@@ -119,7 +132,8 @@ def match_urls(pages: DataFrame, rules: Iterable[Rule], id_col: str = "page_id",
 
     A rule fits its host and all subdomains if the URL's path starts with the
     rule's.  Of fitting rules the one with the longest text wins; of equal
-    length, ``block`` before ``allow``.  Returns one row per input row:
+    length, ``block`` before ``allow``, then the longer host; the order and the
+    blocks of the rules do not matter.  Returns one row per input row:
     ``page_id, host, path, rule, verdict``.
 
     A null URL, or one without ``://``, has an empty host and path and fits
@@ -128,7 +142,7 @@ def match_urls(pages: DataFrame, rules: Iterable[Rule], id_col: str = "page_id",
     A rule list longer than ``block`` is swept block by block over all rows,
     each sweep improving on the one before, so none holds more rules than that.
     """
-    ranked = sorted({(r.key, r.path, r.text, r.verdict) for r in rules}, key=lambda r: (r[0], r[1], r[2], r[3] == "block"))
+    ranked = sorted({(r.key, r.path, r.text, r.verdict, r.priority) for r in rules})
     url = F.col(url_col)
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = urls.withColumn("key", reversed_host_column(F.col("host")))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docengine.llm import lm_score, ngram_join
-from docengine.llm.chat_format import format_turns, read_loss, read_turns, turns_from_frame, turns_from_json
+from docengine.llm.chat_format import field_paths, fingerprint, fingerprint_of, format_turns, pick, read_loss, read_turns, turns_from_frame, turns_from_json, unmapped
 from docengine.llm.common import Scratch
 from docengine.llm.components import connected_components
 from docengine.llm.decontaminate import find_leaks
@@ -257,14 +257,25 @@ def test_chat_layouts(spark):
         5: {"prompt": "q", "response": "a", "messages": 3},
         6: {"system": "s", "question": "q", "answer": "a"},
         7: {"nothing": 1},
+        10: {"messages": [{"role": "assistant"}, {"role": "user", "content": "hi"}]},
+        11: {"instruction": "do", "input": "", "output": "done", "system": "stray"},
+        12: {"messages": []},
     }
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records.items()] + [(8, "no json"), (9, None)], "conv_id long, record string")
     got = defaultdict(list)
     for r in turns_from_json(df).orderBy("conv_id", "pos").collect():
         got[r["conv_id"]].append((r["role"], r["text"]))
     qa = [("user", "q"), ("assistant", "a")]
-    assert dict(got) == {1: qa, 2: qa, 3: [("user", "do\n\nthis"), ("assistant", "done")], 4: [("user", "do"), ("assistant", "done")], 5: qa, 6: [("system", "s"), *qa]}
+    assert dict(got) == {1: qa, 2: qa, 3: [("user", "do\n\nthis"), ("assistant", "done")], 4: [("user", "do"), ("assistant", "done")], 5: qa, 6: [("system", "s"), *qa], 10: [("assistant", ""), ("user", "hi")], 11: [("user", "do"), ("assistant", "done")]}
+    assert {r["conv_id"]: r["reason"] for r in unmapped(df).collect()} == {7: "unknown layout", 12: "unknown layout", 8: "no json", 9: "no json"}
+    assert turns_from_json(df.limit(0)).count() == 0 and unmapped(df.limit(0)).count() == 0
+    assert turns_from_json(df.unionByName(df)).count() == 2 * turns_from_json(df).count()
+    hashed = spark.range(1).select(fingerprint(F.array(F.lit("b"), F.lit("a"), F.lit("b")))).first()[0]
+    assert hashed == fingerprint_of(["a", "b"])
     typed = spark.createDataFrame([(1, [("user", "q"), ("assistant", None)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert pick(field_paths(typed.schema)).name == "messages"
+    rows_ = spark.createDataFrame([(None, 1, "human", "a"), (None, 0, "gpt", "b"), (3, None, "x", "c")], "conv_id long, turn int, role string, text string")
+    assert sorted((str(r["conv_id"]), r["pos"], r["role"]) for r in turns_from_frame(rows_).collect()) == [("3", 1, "x"), ("None", 1, "gpt"), ("None", 2, "human")]
     assert [(r["role"], r["text"]) for r in turns_from_frame(typed).orderBy("pos").collect()] == [("user", "q"), ("assistant", "")]
 
 
@@ -330,7 +341,7 @@ def url_brute(rules, url):
         path = re.match("[^?#]*", rest[len(host) :]).group()
         host = host.translate(LOWER)
     fits = [r for r in rules if (r.host == host or host.endswith("." + r.host) or r.host == "") and path.startswith(r.path)]
-    best = max(fits, key=lambda r: (len(r.text), r.verdict == "block"), default=None)
+    best = max(fits, key=lambda r: (len(r.text), r.verdict == "block", len(r.host)), default=None)
     return host, path, best.text if best else None, best.verdict if best else "allow"
 
 
@@ -348,6 +359,18 @@ def test_url_filters(spark):
     assert Rule("block", "a.b", "/c").key == "b.a."
 
 
+def test_url_rules_of_equal_length(spark):
+    sets = [["block com/abcde", "allow x.com/abc"], ["allow com/a", "block com/a"], ["allow x.com/ab", "allow com/abcd"], ["block x.com/", "block com/abc", "allow com/abc"]]
+    urls = ["http://x.com/abcde", "http://y.com/abcde", "http://x.com/ab", "http://x.com/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for lines in sets:
+        for order in (lines, lines[::-1]):
+            rules = [parse_rule(x) for x in order]
+            for block in (1, 2, 100):
+                got = {r["page_id"]: tuple(r)[1:] for r in match_urls(pages, rules, block=block).collect()}
+                assert got == {i: url_brute(rules, u) for i, u in enumerate(urls)}
+
+
 def test_water_fill_and_targets():
     assert water_fill(100, [5, 2, 1], [1000, 1000, 1000]) == [62.5, 25.0, 12.5]
     assert water_fill(80, [5, 2, 1], [10, 100, 100]) == [10.0, pytest.approx(140 / 3), pytest.approx(70 / 3)]
