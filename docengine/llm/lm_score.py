@@ -1,18 +1,20 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The model predicts a token in two steps, its class and then the token within
-the class; both are softmaxes over hashed features of the context: the previous
-word, the two previous words together, and the word before the previous one
-(a skip).  The most frequent tokens are dealt to classes by frequency; all
-other tokens share one more class, inside which they follow their counts.
-
-Weights are fitted by distributed gradient steps: in every round each task runs
-through its share of the training documents of that round in small batches and
-returns how far its weights have moved, and the moves are averaged.  Over the
-rounds every training document is used once.  The model has a fixed size; the
-token counts grow with the corpus and stay distributed: counts of the most
-frequent tokens, a bounded number, go to every task, and those of all other
-tokens are joined to the documents.
+Every token belongs to a cell and every cell to a class.  The most frequent
+tokens have a cell each; all other tokens, unseen ones too, are dealt to cells
+by hash, within which they follow their counts.  The model predicts the class,
+then the cell within the class; both are softmaxes over hashed features of the
+context: the previous word, the word before it (a skip), and the two together.
+
+Weights are fitted by distributed gradient updates.  In step t the training
+documents whose hashed id falls to t are read with fixed weights, and the
+features' observed and expected counts, whose difference is the gradient, are
+summed over all tasks before any weight moves.  The result does not depend on
+how rows are dealt to tasks or batches.  Over the steps every training document
+is used once.  The hash rows grow with the square root of the counted tokens,
+and so does the number of partial sums.  Token counts grow with the corpus and
+stay distributed: counts of the most frequent tokens, a bounded number, go to
+every task, and those of all other tokens are joined to the documents.
 """
 
 from __future__ import annotations
@@ -25,33 +27,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import Scratch, most_frequent
+from docengine.llm.common import Scratch, most_frequent, release
 from docengine.llm.textnp import chunks, splitmix, words
 
 _U = np.uint64
 _NO_WORD = splitmix(np.array([0x5EED], _U))[0]
 
+#: Bound of a weight.
+MOST_WEIGHT = 9.0
+
 #: The token that ends every document.
 END = splitmix(np.array([0xE0D], _U))[0]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the model, all fixed, and of its training."""
+    """Sizes of the model and of its training.
+
+    ``classes * cells`` cells, of which the last ``rare_classes * cells`` are
+    dealt by hash.  The hash rows are the power of two nearest to the square root
+    of the training tokens, between ``least_rows`` and ``most_rows``; at the most,
+    each task holds two tables of 64 MB.
+    """
 
-    classes: int = 24
-    words: int = 24
-    class_buckets: int = 1 << 12
-    word_buckets: int = 1 << 13
+    classes: int = 128
+    cells: int = 128
+    rare_classes: int = 32
+    least_rows: int = 1 << 12
+    most_rows: int = 1 << 17
     frequent: int = 200_000
-    rounds: int = 3
-    batch: int = 8_192
-    rate: float = 0.5
-    slices: int = 16
+    steps: int = 6
+    batch: int = 4_096
+    rate: float = 0.4
+    damp: float = 8.0
+    slices: int = 32
+    tokens_per_partial: int = 100_000
 
     @property
-    def vocabulary(self) -> int:
-        return self.classes * self.words
+    def own(self) -> int:
+        """Tokens with a cell of their own."""
+        return (self.classes - self.rare_classes) * self.cells
+
+    def rows(self, tokens: int) -> int:
+        return min(self.most_rows, max(self.least_rows, 1 << round(np.log2(max(tokens, 1)) / 2)))
+
+    def partials(self, tokens: int) -> int:
+        """Tasks of a step, each of which sends one partial sum."""
+        return max(8, round((tokens / self.tokens_per_partial) ** 0.5))
 
 
 def fold(doc_id: Column) -> Column:
@@ -84,87 +106,104 @@ class Stream:
         self.skip[first | second] = _NO_WORD
 
 
+def _sum_equal(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows with equal keys, which stand together: neighbours are added until no key occurs twice."""
+    while True:
+        at = np.arange(len(key))
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        odd = ((at - np.maximum.accumulate(np.where(start, at, 0))) & 1) == 1
+        second = np.flatnonzero(odd)
+        if not len(second):
+            return key, rows
+        rows[second - 1] += rows[second]
+        key, rows = key[~odd], rows[~odd]
+
+
 class Model:
-    """Vocabulary, hashed weights and the counts behind the rare class."""
+    """Cells, hashed weights and the counts behind the cells."""
 
-    def __init__(self, s: Settings, token: np.ndarray, count: np.ndarray, total: int, distinct: int):
-        """``token, count``: the frequent tokens, most frequent first."""
+    def __init__(self, s: Settings, token: np.ndarray, count: np.ndarray, total: int, distinct: int, rare_total: np.ndarray, rare_distinct: np.ndarray):
+        """``token, count``: the frequent tokens, most frequent first; ``rare_*``: sums over each cell that is dealt by hash."""
         self.s, self.total, self.distinct = s, total, distinct
         by = np.argsort(token)
         self.token, self.count = token[by], count[by]
-        place = np.full(len(token), -1, np.int32)
-        known = min(s.vocabulary, len(token))
+        place = np.arange(len(token))
+        place[s.own :] = -1
         # Neighbours in frequency share a class, so classes differ in frequency.
-        place[:known] = np.arange(known)
         self.place = place[by]
-        self.rare = s.classes
-        self.rare_total = total - int(count[:known].sum())
-        self.rare_distinct = distinct - known
-        self.by_class = np.zeros((s.class_buckets, s.classes + 1), np.float32)
-        self.by_word = np.zeros((s.word_buckets, s.words), np.float32)
-        class_mass = np.full(s.classes + 1, 0.5)
-        word_mass = np.full((s.classes, s.words), 1e-9)
-        np.add.at(class_mass, np.arange(known) // s.words, count[:known])
-        word_mass.reshape(-1)[:known] = count[:known]
-        class_mass[self.rare] += self.rare_total + 0.5 * (self.rare_distinct + 1)
-        self.class_bias = np.log(class_mass / class_mass.sum()).astype(np.float32)
-        self.word_bias = np.log(word_mass / word_mass.sum(1, keepdims=True)).astype(np.float32)
+        self.rare_mass = rare_total + 0.5 * (rare_distinct + 1)
+        mass = np.full(s.classes * s.cells, 1e-6)
+        known = min(s.own, len(token))
+        mass[:known] = count[:known]
+        mass[s.own :] = self.rare_mass
+        mass = mass.reshape(s.classes, s.cells)
+        self.class_bias = np.log(mass.sum(1) / mass.sum()).astype(np.float32)
+        self.cell_bias = np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32)
+        self.n_rows = s.rows(total)
+        self.by_class = np.zeros((self.n_rows, s.classes), np.float32)
+        self.by_cell = np.zeros((self.n_rows, s.cells), np.float32)
 
     def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the vocabulary (-1: rare) and count (0: not frequent)."""
+        """Cell of each token and its count (0: not frequent)."""
+        s = self.s
+        rare = (s.own + (token >> _U(20)) % _U(s.rare_classes * s.cells)).astype(np.int64)
         if not len(self.token):
-            return np.full(len(token), -1, np.int32), np.zeros(len(token), np.int64)
+            return rare, np.zeros(len(token), np.int64)
         at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
         hit = self.token[at] == token
-        return np.where(hit, self.place[at], -1), np.where(hit, self.count[at], 0)
+        own = np.where(hit, self.place[at], -1)
+        return np.where(own >= 0, own, rare), np.where(hit, self.count[at], 0)
 
-    def contexts(self, stream: Stream) -> np.ndarray:
-        """Three feature hashes per token."""
+    @staticmethod
+    def contexts(stream: Stream) -> np.ndarray:
+        """Three feature hashes per token, one row for each feature."""
         b, k = stream.before, stream.skip
-        return np.stack((splitmix(b + _U(1)), splitmix(k + _U(2)), splitmix(b * _U(3) + splitmix(k + _U(4)))), 1)
-
-    def _softmax(self, logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits, np.log(logits[np.arange(len(target)), target])
-
-    def step(self, context: np.ndarray, place: np.ndarray, rate: float = 0.0) -> np.ndarray:
-        """Natural log of P(class) P(word in class) per token, P(word) of the rare class left out.
-
-        With a rate the weights take a gradient step, averaged over the batch
-        per feature.
-        """
-        s = self.s
-        cls = np.where(place >= 0, place // s.words, self.rare)
-        rows = (context % _U(s.class_buckets)).astype(np.int64)
-        p, log_p = self._softmax(self.by_class[rows].sum(1) + self.class_bias, cls)
-        if rate:
-            p[np.arange(len(cls)), cls] -= 1
-            self._descend(self.by_class, rows, p, rate)
-        inside = np.flatnonzero(place >= 0)
-        c, w = cls[inside], place[inside] % s.words
-        rows = (splitmix(context[inside] + c[:, None].astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(s.word_buckets)).astype(np.int64)
-        p, log_w = self._softmax(self.by_word[rows].sum(1) + self.word_bias[c], w)
-        if rate:
-            p[np.arange(len(w)), w] -= 1
-            self._descend(self.by_word, rows, p, rate)
-        log_p[inside] += log_w
-        return log_p
+        return np.stack((splitmix(b + _U(1)), splitmix(k + _U(2)), splitmix(b * _U(3) + splitmix(k + _U(4)))))
 
     @staticmethod
-    def _descend(weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        """Each feature moves by its mean gradient, damped where it is seldom seen."""
-        n_features = rows.shape[1]
-        flat = rows.reshape(-1)
-        by = np.argsort(flat, kind="stable")
-        flat = flat[by]
-        start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        if not len(flat):
-            return
-        sums = np.add.reduceat(gradient[by // n_features], start, axis=0)
-        seen = np.diff(np.append(start, len(flat)))[:, None]
-        weights[flat[start]] -= (rate * sums / (seen + 8.0)).astype(np.float32)
+    def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all outcomes and the natural log of the target's; weights are bounded, so no exponent overflows."""
+        p = weights[rows[0]]
+        own = np.empty_like(p)
+        for feature in rows[1:]:
+            p += np.take(weights, feature, axis=0, out=own, mode="clip")
+        p += bias
+        said = p[np.arange(len(target)), target]
+        np.exp(p, out=p)
+        sums = p @ np.ones(p.shape[1], np.float32)
+        p /= sums[:, None]
+        return p, said - np.log(sums)
+
+    def _levels(self, context: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Weights, hash rows, bias and target of the two softmaxes."""
+        s, n = self.s, _U(self.n_rows)
+        cls, inside = cell // s.cells, cell % s.cells
+        yield self.by_class, (context % n).astype(np.int64), self.class_bias, cls
+        own = splitmix(context + cls.astype(_U) * _U(0x9E3779B97F4A7C15))
+        yield self.by_cell, (own % n).astype(np.int64), self.cell_bias[cls], inside
+
+    def log_p(self, context: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Natural log of P(class) P(cell in class) of each token."""
+        out = np.zeros(len(cell))
+        for lo in range(0, len(cell), self.s.batch):
+            part = slice(lo, lo + self.s.batch)
+            for level in self._levels(context[:, part], cell[part]):
+                out[part] += self._softmax(*level)[1]
+        return out
+
+    def add_counts(self, context: np.ndarray, cell: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Adds each feature's observed and expected counts to ``sums``: observed, expected of the classes, then of the cells."""
+        for lo in range(0, len(cell), self.s.batch):
+            part = slice(lo, lo + self.s.batch)
+            for i, (weights, rows, bias, target) in enumerate(self._levels(context[:, part], cell[part])):
+                p, _ = self._softmax(weights, rows, bias, target)
+                observed, expected = sums[2 * i], sums[2 * i + 1]
+                for own in rows:
+                    np.add.at(observed.reshape(-1), own * p.shape[1] + target, 1.0)
+                    by = np.argsort(own, kind="stable")
+                    at, total = _sum_equal(own[by], p[by])
+                    expected[at] += total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,62 +226,67 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _gradient(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Run through a task's documents and return the move of the weights, in slices."""
+def _counts_of_features(shipped, s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The observed and expected counts of a task's documents, in slices; ``shipped`` is the broadcast model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = model.s
-        at_class, at_word = model.by_class.copy(), model.by_word.copy()
-        seen = 0
+        model: Model = shipped.value
+        sums = [np.zeros(w.shape) for w in (model.by_class, model.by_class, model.by_cell, model.by_cell)]
+        seen = False
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 stream = Stream(chunk)
-                context, (place, _) = model.contexts(stream), model.look_up(stream.token)
-                for lo in range(0, len(place), s.batch):
-                    model.step(context[lo : lo + s.batch], place[lo : lo + s.batch], s.rate)
-                seen += len(place)
-        if not seen:
-            return
-        moved = np.concatenate(((model.by_class - at_class).reshape(-1), (model.by_word - at_word).reshape(-1)))
-        parts = np.array_split(moved.astype(np.float16), s.slices)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.slices)), pa.array(np.full(s.slices, seen)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "seen", "moved"])
+                model.add_counts(model.contexts(stream), model.look_up(stream.token)[0], sums)
+                seen = True
+        if seen:
+            parts = zip(*[np.array_split(x.astype(np.float32).reshape(-1), s.slices) for x in sums], strict=True)
+            for i, part in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), *[pa.array([x.tobytes()], pa.binary()) for x in part]], names=["slice", "o1", "e1", "o2", "e2"])
 
     return run
 
 
-def _average(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean of one slice of the moves, weighted by the tokens behind them; reads them batch by batch."""
-    total, weight = None, 0
-    for batch in batches:
-        for seen, moved in zip(batch.column("seen").to_pylist(), batch.column("moved").to_pylist(), strict=True):
-            own = np.frombuffer(moved, np.float16).astype(np.float64) * seen
-            total = own if total is None else total + own
-            weight += seen
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["slice", "moved"])
+def _move(s: Settings) -> Callable[[tuple[pa.Scalar, ...], Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The gradient step of one slice of the weights, from the partial sums read batch by batch.
+
+    A weight moves along its gradient, observed minus expected count, over the
+    logarithmic mean of the two, both damped: by the logarithm of their ratio.
+    """
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[np.ndarray] | None = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = [np.frombuffer(batch.column(c)[row].as_buffer(), np.float32).astype(np.float64) for c in ("o1", "e1", "o2", "e2")]
+                total = own if total is None else [x + y for x, y in zip(total, own, strict=True)]
+        assert total is not None
+        steps = [s.rate * np.log((total[i] + s.damp) / (total[i + 1] + s.damp)) for i in (0, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), *[pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in steps]], names=["slice", "by_class", "by_cell"])
 
-def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return run
+
+
+def _score(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per document: sizes, sums over frequent tokens, and its other tokens with how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = model.s
+        model: Model = shipped.value
+        own_cells = model.s.own
         scale = np.log10(model.total + 0.5 * (model.distinct + 1))
-        rare_scale = np.log10(max(model.rare_total + 0.5 * (model.rare_distinct + 1), 0.5))
+        rare_scale = np.log10(model.rare_mass)
         for batch in batches:
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
                 stream = Stream(chunk)
                 n_docs = chunk.n_docs
-                context, (place, count) = model.contexts(stream), model.look_up(stream.token)
-                log_p = np.concatenate([model.step(context[lo : lo + s.batch], place[lo : lo + s.batch]) for lo in range(0, len(place), s.batch)] or [np.zeros(0)])
-                log_p = log_p.astype(np.float64) / np.log(10)
-                frequent = count > 0
-                log_c = np.log10(count + 0.5)
+                cell, count = model.look_up(stream.token)
+                log_p = model.log_p(model.contexts(stream), cell) / np.log(10)
+                frequent, rare = count > 0, cell >= own_cells
+                log_c = np.where(frequent, np.log10(count + 0.5), 0.0)
                 # base: every token pays the scale; tokens that are not frequent add their count's part later
-                base = np.bincount(stream.doc, np.where(frequent, log_c, 0.0), n_docs) - scale * stream.size
-                rare = place < 0
-                inside = np.where(rare, np.where(frequent, log_c, 0.0) - rare_scale, 0.0)
-                score = np.bincount(stream.doc, log_p + inside, n_docs)
+                base = np.bincount(stream.doc, log_c, n_docs) - scale * stream.size
+                log_p[rare] += log_c[rare] - rare_scale[cell[rare] - own_cells]
+                score = np.bincount(stream.doc, log_p, n_docs)
                 known = np.bincount(stream.doc, frequent, n_docs).astype(np.int64)
                 token, doc = stream.token[~frequent], stream.doc[~frequent]
                 by = np.lexsort((token, doc))
@@ -266,22 +310,37 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tokens array<long>, times array<long>"
 
 
+def _row_block(s: Settings) -> Column:
+    """The cell that is dealt to a token by hash, counted from the first such cell."""
+    return F.pmod(F.shiftrightunsigned("token", 20), F.lit(s.rare_classes * s.cells))
+
+
 def train_model(texts: DataFrame, counts: DataFrame, settings: Settings, weighed: bool = True) -> Model:
     """Fit the model to the training texts, whose token counts are given."""
-    s = settings
+    s, spark = settings, texts.sparkSession
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     top = most_frequent(counts, "token", "n", s.frequent)
-    model = Model(s, top["token"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64), int(sums["total"]), int(sums["distinct"]))
-    split = model.by_class.size
-    for turn in range(s.rounds if weighed else 0):
-        share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(s.rounds)) == turn)
-        moves = share.mapInArrow(_gradient(model), "slice long, seen long, moved binary")
-        mean = moves.groupBy("slice").applyInArrow(_average, "slice long, moved binary").collect()  # fixed size
-        if not mean:
-            continue
-        moved = np.concatenate([np.frombuffer(bytes(r["moved"]), np.float32) for r in sorted(mean, key=lambda r: r["slice"])])
-        model.by_class += moved[:split].reshape(model.by_class.shape)
-        model.by_word += moved[split:].reshape(model.by_word.shape)
+    token, count = top["token"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64)
+    # Sums over the cells that are dealt by hash, less the tokens that have a cell of their own.
+    n_rare = s.rare_classes * s.cells
+    rare_total, rare_distinct = np.zeros(n_rare), np.zeros(n_rare)
+    for r in counts.groupBy(_row_block(s).alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():  # at most n_rare rows
+        rare_total[r["cell"]], rare_distinct[r["cell"]] = r["n"], r["d"]
+    cell = ((token[: s.own] >> _U(20)) % _U(n_rare)).astype(np.int64)
+    np.subtract.at(rare_total, cell, count[: s.own])
+    np.subtract.at(rare_distinct, cell, 1)
+    model = Model(s, token, count, int(sums["total"]), int(sums["distinct"]), rare_total, rare_distinct)
+    for turn in range(s.steps if weighed else 0):
+        share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(s.steps)) == turn).select("text").coalesce(s.partials(model.total))
+        shipped = spark.sparkContext.broadcast(model)
+        moves = share.mapInArrow(_counts_of_features(shipped, s), "slice long, o1 binary, e1 binary, o2 binary, e2 binary")
+        moves = moves.groupBy("slice").applyInArrow(_move(s), "slice long, by_class binary, by_cell binary").collect()  # the size of the weights
+        shipped.destroy()
+        for name in ("by_class", "by_cell") if moves else ():
+            weights = getattr(model, name)
+            weights += np.concatenate([np.frombuffer(bytes(r[name]), np.float32) for r in sorted(moves, key=lambda r: r["slice"])]).reshape(weights.shape)
+            np.clip(weights, -MOST_WEIGHT, MOST_WEIGHT, out=weights)
+        release(spark)
     return model
 
 
@@ -294,7 +353,8 @@ def lm_score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     train_tokens, base_score, score``.
 
     A null text is empty and has the end token alone.  A null id is an empty
-    string to the fold.  Repeated rows count and are scored one by one.  Other
+    string to the fold.  Repeated rows count and are scored one by one; how rows
+    are dealt to partitions changes no score beyond rounding.  Other
     columns are not read; an empty table gives an empty result.  Without any
     training document every token is unknown and base_score is 0.
     """
@@ -307,7 +367,7 @@ def lm_score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     counts = scratch.save(counts, "counts")
     model = train_model(training, counts, s)
 
-    scored = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model), _SCORED)
+    scored = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), _SCORED)
     scored = scratch.save(scored, "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("row", "t.tokens", "t.times")
     found = rest.join(counts.select(F.col("token").alias("tokens"), "n"), "tokens", "left")

@@ -208,7 +208,7 @@ def test_suffix_dedup_of_short_and_touching_repeats(spark):
 
 
 def test_lm_score(docs, empty):
-    small = lm_score.Settings(classes=4, words=4, class_buckets=64, word_buckets=64, frequent=50, rounds=2, batch=512)
+    small = lm_score.Settings(classes=4, cells=4, rare_classes=2, least_rows=64, most_rows=64, frequent=50, steps=2, batch=512)
     got = table(lm_score.lm_score(docs, small))
     tokens = {r[0]: WORD.findall((r[1] or "").translate(LOWER)) + ["\0end"] for r in rows()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
@@ -225,16 +225,37 @@ def test_lm_score(docs, empty):
 def test_lm_model_is_a_distribution_and_learns_order(spark):
     import numpy as np
 
-    s = lm_score.Settings(classes=3, words=3, class_buckets=128, word_buckets=128, frequent=100, rounds=2, batch=256)
+    s = lm_score.Settings(classes=3, cells=3, rare_classes=1, least_rows=128, most_rows=128, frequent=100, steps=3, batch=256, damp=1.0)
     data = [(i, "red blue green " * 40) for i in range(60)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = lm_score.lm_score(df, s).where("held_out")
-    assert got.where("score > base_score").count() == got.count() > 0
-    token = np.arange(1, 9, dtype=np.uint64)
-    model = lm_score.Model(s, token, np.array([9, 8, 7, 6, 5, 4, 3, 2]), 50, 10)
-    context = np.full((10, 3), 5, np.uint64)
-    place = np.concatenate((np.arange(8), [-1])).astype(np.int32)
-    assert np.exp(model.step(context[:9], place)).sum() == pytest.approx(1, abs=1e-3)
+    assert got.where("score > base_score + 5").count() == got.count() > 0
+    token = np.arange(1, 9, dtype=np.uint64) << np.uint64(20)
+    model = lm_score.Model(s, token, np.array([9, 8, 7, 6, 5, 4, 3, 2]), 50, 10, np.array([5.0, 1.0, 0.0]), np.array([2.0, 1.0, 0.0]))
+    model.by_class += np.random.default_rng(1).normal(size=model.by_class.shape).astype(np.float32)
+    cell, count = model.look_up(np.concatenate((token, np.array([1 << 40], np.uint64))))
+    assert cell[:6].tolist() == list(range(6)) and (cell[6:] >= 6).all() and count.tolist() == [9, 8, 7, 6, 5, 4, 3, 2, 0]
+    context = np.full((3, 9), 5, np.uint64)
+    assert np.exp(model.log_p(context, np.arange(9))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_scores_do_not_depend_on_partitions_and_beat_counts(spark):
+    rng = random.Random(12)
+    follow = {f"w{k}": [f"w{rng.randrange(60)}" for _ in range(3)] for k in range(60)}  # each word is followed by one of three
+    data = []
+    for i in range(400):
+        w = ["w0"]
+        while len(w) < 60:
+            w.append(rng.choice(follow[w[-1]]))
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame([*data, (None, None)], "doc_id long, text string")
+    s = lm_score.Settings(classes=8, cells=8, rare_classes=2, least_rows=256, most_rows=256, frequent=1000, batch=300)
+    one, many = (table(lm_score.lm_score(df.repartition(n), s)) for n in (1, 16))
+    for i, r in one.items():
+        assert r["score"] == pytest.approx(many[i]["score"], rel=1e-6)
+    held = [r for r in one.values() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.3  # log10 units a token
 
 
 def test_chat_formats(spark):
