@@ -10,11 +10,17 @@ round, and the contexts grow from 16 over 33 to all ``length`` bytes:
   same anchor, so no shared window is lost, and one position in about
   seventeen stands for all.  Anchors of one document alone are dropped.
 * Round 1 ranks the block of an anchor, the bytes of all windows that chose
-  it.  A block that a document with a smaller id also has is removed whole;
-  that settles the inside of every long repeat.
+  it, as the pair of the ranks of its halves.  A block that a document with a
+  smaller id also has is removed whole; that settles the inside of every long
+  repeat.
 * Round 2 ranks the 33 bytes right and left of each anchor that is left; one
   of them lies inside every window of the anchor.
-* Round 3 ranks the single windows of the few anchors at the ends of repeats.
+* Round 3 ranks the single windows of the few anchors at the ends of repeats,
+  as pairs of the ranks at the two positions half a window apart.
+
+Rounds 0 and 2 only choose what is ranked further, so an accidental match of
+their 64-bit ranks costs a row and nothing else.  Rounds 1 and 3 decide what
+is removed; they compare pairs of 64 and 31 bits.
 
 Before each shuffle a task collapses equal ranks among its own rows, so a
 string that a third of all documents hold costs a row per task and not per
@@ -42,8 +48,11 @@ GRAM = 16
 #: Rows that a task collapses at a time.
 BLOCK = 2_000_000
 
-#: States of a row: to be ranked with the others, or settled by its own task.
-OPEN, SETTLED = 0, 1
+#: The second rank of a row that its own task has settled; second ranks of open rows are not negative.
+SETTLED = -1
+
+#: Bits of the second rank of a pair.
+_SECOND = _U(0x7FFFFFFF)
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -128,11 +137,12 @@ def _collapse(block: dict[str, np.ndarray], settle: str) -> pa.RecordBatch:
     rank a smaller document here has is covered.  A settled row needs its rank
     and its other contexts no more; a random rank deals it out evenly.
     """
-    by = np.lexsort((block["doc"], block["key"]))
+    block.setdefault("second", np.zeros(len(block["key"]), np.int32))
+    by = np.lexsort((block["doc"], block["second"], block["key"]))
     block = {c: v[by] for c, v in block.items()}
-    key, doc = block["key"], block["doc"]
+    key, second, doc = block["key"], block["second"], block["doc"]
     start = np.ones(len(key), bool)
-    start[1:] = key[1:] != key[:-1]
+    start[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
     first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
     other = doc != doc[first]
     if settle == "shared":
@@ -149,34 +159,40 @@ def _collapse(block: dict[str, np.ndarray], settle: str) -> pa.RecordBatch:
     for c in ("right", "left"):
         if c in block:
             block[c] = np.where(settled, 0, block[c])
-    return _batch(block | {"state": np.where(settled, SETTLED, OPEN).astype(np.int32)})
+    block["second"] = np.where(settled, SETTLED, second).astype(np.int32)
+    return _batch({c: block[c] for c in ("key", "second", "doc", "twin", *[c for c in block if c not in ("key", "second", "doc", "twin")])})
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First row of each run of equal keys, and the run of each row."""
+def _runs(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each run of equal pairs of ranks, and the run of each row."""
+    key, second = block["key"], block["second"]
     start = np.ones(len(key), bool)
-    start[1:] = key[1:] != key[:-1]
+    start[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
     return np.flatnonzero(start), np.cumsum(start) - 1
 
 
+def _pair_at(block: dict[str, np.ndarray], i: int) -> tuple[int, int]:
+    return int(block["key"][i]), int(block["second"][i])
+
+
 def _open_rows(batches: Batches, columns: list[str]) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]]:
     """Each batch as its settled and its open rows."""
     for batch in batches:
-        block = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "state", *columns)}
-        settled = block["state"] == SETTLED
+        block = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "second", "doc", "twin", *columns)}
+        settled = block["second"] == SETTLED
         yield {c: v[settled] for c, v in block.items()}, {c: v[~settled] for c, v in block.items()}
 
 
 def _keep_shared(extra: list[str]) -> Callable[[Batches], Batches]:
-    """Of rows sorted by (state, key, doc), those of ranks that two documents have.
+    """Of rows sorted by (key, second, doc), those of ranks that two documents have.
 
     Only the run that is still open is held: at most two rows per document and
     task that saw the rank.
     """
-    names = ("doc", *extra)
+    names = ("doc", "twin", *extra)
 
     def shared(block: dict[str, np.ndarray]) -> pa.RecordBatch:
-        first, run = _runs(block["key"])
+        first, run = _runs(block)
         last = np.append(first[1:], len(run)) - 1
         yes = (block["doc"][first] != block["doc"][last])[run]
         return _batch({c: block[c][yes] for c in names})
@@ -188,8 +204,8 @@ def _keep_shared(extra: list[str]) -> Callable[[Batches], Batches]:
                 yield _batch({c: settled[c] for c in names})
             if not len(block["key"]):
                 continue
-            last_run = int(_runs(block["key"])[0][-1])
-            if last_run == 0 and held and held[0]["key"][0] == block["key"][0]:
+            last_run = int(_runs(block)[0][-1])
+            if last_run == 0 and held and _pair_at(held[0], 0) == _pair_at(block, 0):
                 held.append(block)
                 continue
             whole = {c: np.concatenate([h[c] for h in held] + [block[c][:last_run]]) for c in block}
@@ -203,8 +219,8 @@ def _keep_shared(extra: list[str]) -> Callable[[Batches], Batches]:
 
 
 def _mark_covered(extra: list[str]) -> Callable[[Batches], Batches]:
-    """All rows, sorted by (state, key, doc), and whether a smaller document has their rank."""
-    names = ("doc", *extra)
+    """All rows, sorted by (key, second, doc), and whether a smaller document has their rank."""
+    names = ("doc", "twin", *extra)
 
     def run(batches: Batches) -> Batches:
         last, low = None, None
@@ -213,12 +229,12 @@ def _mark_covered(extra: list[str]) -> Callable[[Batches], Batches]:
                 yield _batch({c: settled[c] for c in names} | {"covered": np.ones(len(settled["key"]), bool)})
             if not len(block["key"]):
                 continue
-            first, of = _runs(block["key"])
+            first, of = _runs(block)
             smallest = block["doc"][first]
-            if block["key"][0] == last:
+            if _pair_at(block, 0) == last:
                 smallest[0] = low
             yield _batch({c: block[c] for c in names} | {"covered": block["doc"] > smallest[of]})
-            last, low = block["key"][-1], smallest[-1]
+            last, low = _pair_at(block, -1), smallest[-1]
 
     return run
 
@@ -226,11 +242,11 @@ def _mark_covered(extra: list[str]) -> Callable[[Batches], Batches]:
 def _anchor_rows(length: int) -> Callable[[Batches], Batches]:
     def parts(batches: Batches) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
             for chunk in chunks(batch.column("text")):
                 doc, anchor, first, last, key = find_anchors(chunk, length)
                 begin = chunk.doc_start[doc]
-                yield {"key": key.view(np.int64), "doc": ids[chunk.first + doc], "at": _pack(anchor - begin, first - begin, last - begin)}
+                yield {"key": key.view(np.int64), "doc": ids[chunk.first + doc], "twin": twins[chunk.first + doc], "at": _pack(anchor - begin, first - begin, last - begin)}
 
     def run(batches: Batches) -> Batches:
         for block in _in_blocks(parts(batches)):
@@ -240,9 +256,9 @@ def _anchor_rows(length: int) -> Callable[[Batches], Batches]:
 
 
 def _with_positions(batches: Batches) -> Iterator[tuple]:
-    """Chunks with the buffer offset, document id and value of each position listed for them."""
+    """Chunks with the buffer offset, document id, twin and value of each position listed for them."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
         lists = batch.column("at")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy()
@@ -250,22 +266,23 @@ def _with_positions(batches: Batches) -> Iterator[tuple]:
             lo, hi = offsets[chunk.first], offsets[chunk.first + chunk.n_docs]
             n = np.diff(offsets[chunk.first : chunk.first + chunk.n_docs + 1])
             doc = np.repeat(np.arange(chunk.n_docs), n)
-            yield chunk, chunk.doc_start[doc], ids[chunk.first + doc], values[lo:hi]
+            yield chunk, chunk.doc_start[doc], ids[chunk.first + doc], twins[chunk.first + doc], values[lo:hi]
 
 
 def _block_rows(length: int) -> Callable[[Batches], Batches]:
     half = (length - GRAM) // 2
 
     def parts(batches: Batches) -> Iterator[dict[str, np.ndarray]]:
-        for chunk, begin, ids, at in _with_positions(batches):
+        for chunk, begin, ids, twins, at in _with_positions(batches):
             anchor, first, last = _unpack(at)
             anchor, first, last = anchor + begin, first + begin, last + begin
             hashes = Hashes(chunk.data)
-            key = hashes(first, last + length, anchor - first)
+            middle = (first + last + length) // 2
+            key, second = hashes(first, middle, anchor - first), hashes(middle, last + length, anchor - first)
             # Windows that begin at most ``half`` bytes before the anchor hold the bytes right of it, the others those left of it.
             right = hashes(anchor, np.minimum(anchor + length - half, len(chunk.data)), 1)
             left = hashes(np.maximum(anchor - half - 1, 0), anchor + GRAM, 2)
-            yield {"key": key.view(np.int64), "doc": ids, "at": at, "right": right.view(np.int64), "left": left.view(np.int64)}
+            yield {"key": key.view(np.int64), "second": (second & _SECOND).astype(np.int32), "doc": ids, "twin": twins, "at": at, "right": right.view(np.int64), "left": left.view(np.int64)}
 
     def run(batches: Batches) -> Batches:
         for block in _in_blocks(parts(batches)):
@@ -279,11 +296,11 @@ def _half_rows(length: int) -> Callable[[Batches], Batches]:
 
     def parts(batches: Batches) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
-            doc, at, right, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at", "right", "left"))
+            doc, twin, at, right, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "twin", "at", "right", "left"))
             anchor, first, last = _unpack(at)
             for key, lo, hi in ((right, np.maximum(first, anchor - half), last), (left, first, np.minimum(last, anchor - half - 1))):
                 ok = lo <= hi
-                yield {"key": key[ok], "doc": doc[ok], "at": lo[ok] * 128 + (hi - lo)[ok]}
+                yield {"key": key[ok], "doc": doc[ok], "twin": twin[ok], "at": lo[ok] * 128 + (hi - lo)[ok]}
 
     def run(batches: Batches) -> Batches:
         for block in _in_blocks(parts(batches)):
@@ -294,12 +311,14 @@ def _half_rows(length: int) -> Callable[[Batches], Batches]:
 
 def _window_rows(length: int) -> Callable[[Batches], Batches]:
     def parts(batches: Batches) -> Iterator[dict[str, np.ndarray]]:
-        for chunk, begin, ids, at in _with_positions(batches):
+        half = length // 2
+        for chunk, begin, ids, twins, at in _with_positions(batches):
             lo, n = at >> 7, (at & 127) + 1
             p = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            b, i = np.repeat(begin, n), np.repeat(ids, n)
+            b = np.repeat(begin, n) + p
             hashes = Hashes(chunk.data)
-            yield {"key": hashes(p + b, p + b + length).view(np.int64), "doc": i, "at": p}
+            key, second = hashes(b, b + half), hashes(b + half, b + length)
+            yield {"key": key.view(np.int64), "second": (second & _SECOND).astype(np.int32), "doc": np.repeat(ids, n), "twin": np.repeat(twins, n), "at": p}
 
     def run(batches: Batches) -> Batches:
         for block in _in_blocks(parts(batches)):
@@ -341,14 +360,14 @@ def _cut(length: int) -> Callable[[Batches], Batches]:
     return run
 
 
-_RANKED = "key long, doc long, at long, state int"
+_RANKED = "key long, second int, doc long, twin long, at long"
 
 
 def _ranked(rows: DataFrame, keep: str, extra: list[str]) -> DataFrame:
     """Sort by rank and judge; equal open ranks meet in one task, one row of each per task before it."""
     judge = _mark_covered if keep == "smaller" else _keep_shared
-    schema = "doc long, " + ", ".join(f"{c} long" for c in extra) + (", covered boolean" if keep == "smaller" else "")
-    return rows.repartition("key").sortWithinPartitions("state", "key", "doc").mapInArrow(judge(extra), schema)
+    schema = "doc long, twin long, " + ", ".join(f"{c} long" for c in extra) + (", covered boolean" if keep == "smaller" else "")
+    return rows.repartition("key").sortWithinPartitions("key", "second", "doc").mapInArrow(judge(extra), schema)
 
 
 def repeated_substring_cut(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,8 +379,7 @@ def repeated_substring_cut(docs: DataFrame, length: int = 50, id_col: str = "doc
     remaining bytes one after the other).
 
     Null texts count as empty.  Rows that share an id are one document, whose
-    own repeats do not count; such rows with different texts may lose a byte
-    where their positions coincide, so ids should be unique.  A row with a null
+    own repeats do not count; each of them is cut by itself.  A row with a null
     id loses nothing and gives no reason for others to lose.  Other columns are
     not read; an empty table gives an empty result.
     """
@@ -369,24 +387,29 @@ def repeated_substring_cut(docs: DataFrame, length: int = 50, id_col: str = "doc
         raise ValueError(f"length must lie between {2 * GRAM + 1} and {64 + GRAM}")
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Where rows share an id, the hash of a row's text tells it from its twins; equal rows have equal positions.
+    twins = texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    texts = texts.withColumn("twin", F.xxhash64("text") if twins else F.lit(0).cast("long"))
+    gather = F.collect_set if twins else F.collect_list
     known = texts.where("doc_id is not null and octet_length(text) >= " + str(length))
-    pack = lambda rows: rows.groupBy("doc").agg(F.collect_list("at").alias("at")).withColumnRenamed("doc", "doc_id")
+    row = ["doc_id", "twin"]
+    pack = lambda rows: rows.groupBy(F.col("doc").alias("doc_id"), "twin").agg(gather("at").alias("at"))
 
     anchors = _ranked(known.mapInArrow(_anchor_rows(length), _RANKED), "shared", ["at"])
     anchors = scratch.save(anchors, "anchors")
-    rows = known.join(pack(anchors), "doc_id").mapInArrow(_block_rows(length), "key long, doc long, at long, right long, left long, state int")
+    rows = known.join(pack(anchors), row).mapInArrow(_block_rows(length), _RANKED + ", right long, left long")
     blocks = scratch.save(_ranked(rows, "smaller", ["at", "right", "left"]), "blocks")
     scratch.drop(anchors)
 
     halves = blocks.where("not covered").mapInArrow(_half_rows(length), _RANKED)
     halves = scratch.save(_ranked(halves, "shared", ["at"]), "halves")
-    windows = _ranked(known.join(pack(halves), "doc_id").mapInArrow(_window_rows(length), _RANKED), "smaller", ["at"])
+    windows = _ranked(known.join(pack(halves), row).mapInArrow(_window_rows(length), _RANKED), "smaller", ["at"])
 
     # A removed interval as start * 256 + size.
     anchor = F.shiftright("at", 14)
     begin = anchor - F.shiftright("at", 7).bitwiseAND(127)
     size = anchor - F.col("at").bitwiseAND(127) - begin + length
-    inside = blocks.where("covered").select("doc", (begin * 256 + size).alias("at"))
-    gone = scratch.save(inside.unionByName(windows.where("covered").select("doc", (F.col("at") * 256 + length).alias("at"))), "gone")
+    inside = blocks.where("covered").select("doc", "twin", (begin * 256 + size).alias("at"))
+    gone = scratch.save(inside.unionByName(windows.where("covered").select("doc", "twin", (F.col("at") * 256 + length).alias("at"))), "gone")
     scratch.drop(blocks, halves)
-    return texts.join(pack(gone), "doc_id", "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(pack(gone), row, "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

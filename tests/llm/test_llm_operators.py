@@ -207,6 +207,28 @@ def test_suffix_dedup_of_short_and_touching_repeats(spark):
     assert got == brute_cut(data)
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    rng = random.Random(10)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long, other = letters(9_000), letters(300)
+    data = [(1, long), (2, long), (2, letters(70)), (2, other), (2, other), (3, letters(20) + other[:120]), (None, long), (None, long), (4, None), (4, ""), (4, long[:49]), (1, long)]
+    first: dict[bytes, int] = {}
+    for i, t in data:
+        b = (t or "").encode()
+        for p in range(len(b) - 49) if i is not None else ():
+            first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    want = []
+    for i, t in data:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49) if i is not None else ():
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    got = [tuple(r) for r in repeated_substring_cut(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_lm_score(docs, empty):
     small = lm_score.Settings(classes=4, cells=4, rare_classes=2, least_rows=64, most_rows=64, frequent=50, steps=2, batch=512)
     got = table(lm_score.lm_score(docs, small))
