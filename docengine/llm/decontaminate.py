@@ -27,11 +27,11 @@ _U = np.uint64
 #: Template tokens in a window; a shorter item is one window of its whole length.
 WINDOW = 8
 
-#: Fewest template tokens of an item that is looked for at all.
+#: Fewest words of an item that is looked for by its template; a shorter one must be a whole sentence with the same values.
 SHORTEST = 5
 
-#: Benchmark items in one block: a block's windows are held by every task.
-BLOCK_ITEMS = 20_000
+#: Benchmark items and bytes in one block, on average: a block's windows are held by every task.
+BLOCK_ITEMS, BLOCK_BYTES = 10_000, 4 << 20
 
 #: Share of an item's windows that must line up in a document.
 COVERAGE = 0.5
@@ -110,9 +110,10 @@ class Template:
         self.data[1:][two[:-1]] += 0x20
         self.value = span_hash(self.data, self.start, self.end)
         self.kind = np.zeros(n, np.int8)
+        opens = np.ones(n, bool)
         if n:
             stops = np.concatenate(([0], np.cumsum(_STOP[data])))
-            opens = np.ones(n, bool)  # begins a sentence, where a capital says nothing
+            # begins a sentence, where a capital says nothing
             opens[1:] = (stops[self.start[1:]] > stops[self.end[:-1]]) | (self.doc[1:] != self.doc[:-1])
             capitals = np.concatenate(([0], np.cumsum(upper)))
             one = (capitals[self.end] - capitals[self.start] == 1) & upper[self.start]
@@ -135,6 +136,11 @@ class Template:
         self.run_end = self.end[np.append(begins[1:], True)] if n else self.end
         self.forms = (typed[begins], plain)
         self.docs = (self.doc[begins], self.doc)
+        self.opens = tuple(np.append(x, True) for x in (opens[begins], opens))
+
+    def whole_sentence(self, form: int, token: int, width: int) -> bool:
+        """Whether the window is no part of a longer sentence."""
+        return bool(self.opens[form][token] and self.opens[form][token + width])
 
     def windows(self, width: int, form: int) -> np.ndarray:
         """Hash of each window of ``width`` tokens; windows over a document's end are dropped by the caller."""
@@ -165,6 +171,7 @@ class Item:
         self.kind = t.kind[t.base[0][lo:hi]]
         self.values = [t.text(j, 0) for j in range(lo, hi)]
         self.plain = {j - lo1: t.text(j, 1) for j in range(lo1, hi1) if t.kind[j]}
+        self.short = hi1 - lo1 < SHORTEST
 
     def share(self, windows: list[set[int]]) -> float:
         """Share of the windows, by the form that has more of them; ``windows``: their begin by form."""
@@ -183,7 +190,7 @@ class WindowTable:
             lo = [np.searchsorted(d, np.arange(chunk.n_docs), side="left") for d in t.docs]
             hi = [np.searchsorted(d, np.arange(chunk.n_docs), side="right") for d in t.docs]
             for i in range(chunk.n_docs):
-                if t.n_words[i] < SHORTEST:
+                if not t.n_words[i]:
                     continue
                 bounds = [(int(lo[form][i]), int(hi[form][i])) for form in (0, 1)]
                 self.items[at + i] = item = Item(t, bounds)
@@ -282,6 +289,8 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
                 slots, changed, against = _same_slots(*aligned(t, item, [w for place in chain for w in at[place]]))
                 if 4 * against > slots:  # values that do not follow from one another
                     continue
+                if item.short and changed:  # so few words say nothing without their values
+                    continue
                 found = (part, -changed, number, slots, changed)
                 if number not in best or found[:2] > best[number][:2]:
                     best[number] = found
@@ -302,7 +311,10 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
                     hit = hit[t.docs[form][hit] == t.docs[form][hit + width - 1]]
                     left, right = np.searchsorted(h, own[hit], side="left"), np.searchsorted(h, own[hit], side="right")
                     for token, lo, hi in zip(hit.tolist(), left.tolist(), right.tolist(), strict=True):
+                        whole = t.whole_sentence(form, token, width)
                         for j in range(lo, hi):
+                            if table.items[int(item[j])].short and not whole:
+                                continue
                             by_doc[int(t.docs[form][token])].append((int(item[j]), form, int(pos[j]), token))
                 for doc, hits in by_doc.items():
                     rows += [(ids[chunk.first + doc].as_py(), table.ids[item], share, slots, changed) for share, _, item, slots, changed in judge(t, hits)]
@@ -314,7 +326,7 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The benchmark items that documents contain, verbatim or with other values.
 
     One row per document and item: ``doc_id, item_id, coverage`` (share of the
@@ -322,9 +334,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ``reparameterised``).  A document without a row is clean.
 
     The benchmark is read to the driver block by block, and each block is
-    looked up by one scan of the texts, so a task never holds more than
-    ``block_items`` items.  Null and empty texts contain nothing; items of fewer
-    than SHORTEST words are not looked for.  Repeated rows are reported once
+    looked up by one scan of the texts, so a task holds about ``block_items``
+    items and ``block_bytes`` bytes of them.  An item of fewer than SHORTEST words is
+    found where it is a whole sentence with the same values; items without a
+    word are in no document.  Null and empty texts contain nothing.  Repeated rows are reported once
     per id.  A null id is reported as null.  Other columns are not read; an
     empty table on either side gives an empty result.
     """
@@ -332,10 +345,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     schema = "doc_id long, item_id long, coverage double, slots long, slots_changed long"
-    n, out = items.count(), None
-    blocks = max(1, -(-n // block_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n, out = size["n"], None
+    blocks = max(1, -(-n // block_items), -(-size["bytes"] // block_bytes))
     for b in range(blocks if n else 0):
-        # a hash block may be larger than the mean; half as many again are allowed for in the block size
+        # a hash block may be larger than the mean, which the limits leave room for
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).orderBy("item_id").collect()
         table = WindowTable([r["item_id"] for r in rows], [r["text"] for r in rows])
         if table:

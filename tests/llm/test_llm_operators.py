@@ -368,6 +368,15 @@ def test_decontamination_with_values_of_other_lengths(spark):
     assert find_leaks(spark.createDataFrame([(1, names.replace("Paris", "New York").lower())], "doc_id long, text string"), whole).count() == 1
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "x = 5"), (3, "!?"), (4, "")], "item_id long, text string")
+    data = [(1, "Quiz. Who wrote Hamlet? Nobody knows."), (2, "I know who wrote Hamlet and when."), (3, "who wrote hamlet"), (4, "so:\nx = 5\nis it"), (5, "so:\nx = 7\nis it"), (6, "!?"), (7, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = {(1, 1), (3, 1), (4, 2)}
+    for limits in ({}, {"block_items": 1}, {"block_bytes": 3}):
+        assert {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench, **limits).collect()} == want
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Add 5 to 5 and then take 5 from the sum of 5 and 5 to get the final result of 5."
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
