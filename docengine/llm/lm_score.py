@@ -9,8 +9,10 @@ context: the previous word, the word before it (a skip), and the two together.
 Weights are fitted by distributed gradient updates.  In step t the training
 documents whose hashed id falls to t are read with fixed weights, and the
 features' observed and expected counts, whose difference is the gradient, are
-summed over all tasks before any weight moves.  The result does not depend on
-how rows are dealt to tasks or batches.  Over the steps every training document
+summed over all tasks before any weight moves.  Each token adds its own outcome
+to the observed counts and one drawn from the model to the expected ones; both
+are whole numbers, so the result does not depend on how rows are dealt to tasks
+or batches.  Over the steps every training document
 is used once.  The hash rows grow with the square root of the counted tokens,
 and so does the number of partial sums.  Token counts grow with the corpus and
 stay distributed: counts of the most frequent tokens, a bounded number, go to
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +50,12 @@ class Settings:
     ``classes * cells`` cells, of which the last ``rare_classes * cells`` are
     dealt by hash.  The hash rows are the power of two nearest to the square root
     of the training tokens, between ``least_rows`` and ``most_rows``; at the most,
-    each task holds two tables of 64 MB.
+    each task holds two tables of 50 MB.
     """
 
-    classes: int = 128
-    cells: int = 128
-    rare_classes: int = 32
+    classes: int = 96
+    cells: int = 96
+    rare_classes: int = 24
     least_rows: int = 1 << 12
     most_rows: int = 1 << 17
     frequent: int = 200_000
@@ -104,20 +107,12 @@ class Stream:
         second = np.concatenate(([False], first[:-1]))
         self.skip = np.concatenate(([_NO_WORD], self.before[:-1]))
         self.skip[first | second] = _NO_WORD
+        self.ends = ends
 
-
-def _sum_equal(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the rows with equal keys, which stand together: neighbours are added until no key occurs twice."""
-    while True:
-        at = np.arange(len(key))
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        odd = ((at - np.maximum.accumulate(np.where(start, at, 0))) & 1) == 1
-        second = np.flatnonzero(odd)
-        if not len(second):
-            return key, rows
-        rows[second - 1] += rows[second]
-        key, rows = key[~odd], rows[~odd]
+    def draws(self, ids: np.ndarray) -> np.ndarray:
+        """Random bits of each token, by document id and place."""
+        place = np.arange(len(self.token)) - np.repeat(self.ends - self.size + 1, self.size)
+        return splitmix(np.repeat(splitmix(ids + _U(0xD1CE)), self.size) + place.astype(_U))
 
 
 class Model:
@@ -192,18 +187,25 @@ class Model:
                 out[part] += self._softmax(*level)[1]
         return out
 
-    def add_counts(self, context: np.ndarray, cell: np.ndarray, sums: list[np.ndarray]) -> None:
-        """Adds each feature's observed and expected counts to ``sums``: observed, expected of the classes, then of the cells."""
+    def add_counts(self, context: np.ndarray, cell: np.ndarray, draw: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Adds each feature's observed and expected counts to ``sums``: observed, expected of the classes, then of the cells.
+
+        The expected counts of a token are one outcome drawn from the model at
+        its context, at random bits ``draw`` that do not depend on the token:
+        over many tokens their sum is the expectation.
+        """
+        one = np.int32(1)
         for lo in range(0, len(cell), self.s.batch):
             part = slice(lo, lo + self.s.batch)
             for i, (weights, rows, bias, target) in enumerate(self._levels(context[:, part], cell[part])):
                 p, _ = self._softmax(weights, rows, bias, target)
-                observed, expected = sums[2 * i], sums[2 * i + 1]
+                at = (splitmix(draw[part] + _U(i)) >> _U(40)).astype(np.float32) / np.float32(1 << 24)
+                np.cumsum(p, axis=1, out=p)
+                p[:, -1] = 2
+                drawn = np.argmax(p >= at[:, None], axis=1)
                 for own in rows:
-                    np.add.at(observed.reshape(-1), own * p.shape[1] + target, 1.0)
-                    by = np.argsort(own, kind="stable")
-                    at, total = _sum_equal(own[by], p[by])
-                    expected[at] += total
+                    np.add.at(sums[2 * i].reshape(-1), own * p.shape[1] + target, one)
+                    np.add.at(sums[2 * i + 1].reshape(-1), own * p.shape[1] + drawn, one)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +233,17 @@ def _counts_of_features(shipped, s: Settings) -> Callable[[Iterator[pa.RecordBat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shipped.value
-        sums = [np.zeros(w.shape) for w in (model.by_class, model.by_class, model.by_cell, model.by_cell)]
+        sums = [np.zeros(w.shape, np.int32) for w in (model.by_class, model.by_class, model.by_cell, model.by_cell)]
         seen = False
         for batch in batches:
+            ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
                 stream = Stream(chunk)
-                model.add_counts(model.contexts(stream), model.look_up(stream.token)[0], sums)
+                own = ids[chunk.first : chunk.first + chunk.n_docs].view(_U)
+                model.add_counts(model.contexts(stream), model.look_up(stream.token)[0], stream.draws(own), sums)
                 seen = True
         if seen:
-            parts = zip(*[np.array_split(x.astype(np.float32).reshape(-1), s.slices) for x in sums], strict=True)
+            parts = zip(*[np.array_split(x.reshape(-1), s.slices) for x in sums], strict=True)
             for i, part in enumerate(parts):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), *[pa.array([x.tobytes()], pa.binary()) for x in part]], names=["slice", "o1", "e1", "o2", "e2"])
 
@@ -257,7 +261,7 @@ def _move(s: Settings) -> Callable[[tuple[pa.Scalar, ...], Iterator[pa.RecordBat
         total: list[np.ndarray] | None = None
         for batch in batches:
             for row in range(batch.num_rows):
-                own = [np.frombuffer(batch.column(c)[row].as_buffer(), np.float32).astype(np.float64) for c in ("o1", "e1", "o2", "e2")]
+                own = [np.frombuffer(batch.column(c)[row].as_buffer(), np.int32).astype(np.int64) for c in ("o1", "e1", "o2", "e2")]
                 total = own if total is None else [x + y for x, y in zip(total, own, strict=True)]
         assert total is not None
         steps = [s.rate * np.log((total[i] + s.damp) / (total[i + 1] + s.damp)) for i in (0, 2)]
@@ -331,7 +335,7 @@ def train_model(texts: DataFrame, counts: DataFrame, settings: Settings, weighed
     np.subtract.at(rare_distinct, cell, 1)
     model = Model(s, token, count, int(sums["total"]), int(sums["distinct"]), rare_total, rare_distinct)
     for turn in range(s.steps if weighed else 0):
-        share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(s.steps)) == turn).select("text").coalesce(s.partials(model.total))
+        share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(s.steps)) == turn).select("doc_id", "text").coalesce(s.partials(model.total))
         shipped = spark.sparkContext.broadcast(model)
         moves = share.mapInArrow(_counts_of_features(shipped, s), "slice long, o1 binary, e1 binary, o2 binary, e2 binary")
         moves = moves.groupBy("slice").applyInArrow(_move(s), "slice long, by_class binary, by_cell binary").collect()  # the size of the weights

@@ -22,7 +22,7 @@ from docengine.llm.common import Scratch, bounded_rows
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most patterns that the network may have; it is solved on the driver.
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 2_000
 
 #: Cost of the first, second and third pass over a document: convex.
 PASS_COSTS = (0, 1, 3)

@@ -56,3 +56,28 @@ def test_run_is_the_stages_in_order(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "size", "taken"} <= set(out.columns) and out.count() > 100
     assert out.groupBy("source").agg(F.sum("taken")).count() == 3
+
+
+def test_stages_on_repeated_and_missing_ids(spark, corpus, tmp_path):
+    rng = random.Random(6)
+    text = prose(rng, 60)
+    near = " ".join([*text.split()[:-1], "tail"])
+    item = "Seven wizards counted the golden apples while nobody in the quiet village was looking at them."
+    rows = [(1, text), (1, text), (1, text), (1, prose(rng, 50)), (None, text + " "), (None, prose(rng, 50)), (2, near), (2, item), (2, prose(rng, 40)), (None, item), (3, None), (3, ""), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    df.write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+
+    def ids(stage):
+        out = dict(corpus_pipeline.STAGES)[stage](spark, df, corpus)
+        assert out.columns == df.columns
+        return sorted((str(r["doc_id"]), (r["text"] or "").strip()[-20:]) for r in out.select("doc_id", "text").collect())
+
+    tail = lambda n: (rows[n][1] or "").strip()[-20:]
+    # the longest of the equal texts is the one with a space more
+    assert ids("exact_copies") == sorted([("None", tail(0)), ("1", tail(3)), ("None", tail(5)), ("2", tail(6)), ("2", tail(7)), ("2", tail(8)), ("3", "")])
+    assert ids("near_copies") == sorted([("1", tail(0)), ("1", tail(3)), ("None", tail(5)), ("2", tail(7)), ("2", tail(8)), ("3", ""), ("3", ""), ("4", "")])
+    assert ids("benchmark_leaks") == sorted((str(i), (t or "").strip()[-20:]) for i, t in rows if t != item)
+    assert len(ids("quality")) >= 10
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), corpus).count() == 0, name
