@@ -18,35 +18,71 @@ from docengine.llm.decontaminate import find_leaks
 from docengine.llm.exact_dedup import content_sort_dedup
 from docengine.llm.mixing import cycle_weights, mix
 from docengine.llm.ngram_join import ngram_jaccard_join
-from docengine.llm.quality import cotrain_and_score
+from docengine.llm.quality import keep_good
 
 #: Weights of the ordered sources, repeating.
 WEIGHTS = (5, 2, 1)
 
 
+#: Column by which the stages tell rows apart; never in their results.
+_ROW = "_pipeline_row"
+
+
+def _with_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with an id for each row: the document's own where ids are unique, else its place in their order.
+
+    Rows without an id are last.  Places are written to the shared folder before
+    they are used, so they stay the same if an executor is lost.
+    """
+    repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
+    if not repeated:
+        return docs.withColumn(_ROW, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_ROW, F.monotonically_increasing_id())
+    return Scratch(spark, "rows").save(placed, "rows")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = cotrain_and_score(docs, labels).where("not keep").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Documents that the co-trained classifier keeps; each row is judged by itself, whatever its id.
+
+    Null texts are empty ones; an empty table stays empty; other columns are kept.
+    """
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for white space; rows that share an id stay together."""
-    kept = content_sort_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group whose texts are equal but for white space: the longest text, then the smallest id.
+
+    Repeated rows and rows without an id are members like all others; all empty
+    and null texts are one group.  An empty table stays empty; other columns are
+    kept.
+    """
+    rows = _with_rows(spark, docs)
+    kept = content_sort_dedup(rows, id_col=_ROW).where("kept").select(F.col("doc_id").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similar documents."""
-    gone = ngram_jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The row with the smallest id of each component of similar documents.
+
+    Repeated rows and rows without an id (the last ones) are members like all
+    others; empty and null texts are like nothing and stay.  An empty table stays
+    empty; other columns are kept.
+    """
+    rows = _with_rows(spark, docs)
+    gone = ngram_jaccard_join(rows, id_col=_ROW).where("component_id <> doc_id").select(F.col("doc_id").alias(_ROW))
+    return rows.join(gone, _ROW, "left_anti").drop(_ROW)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item, verbatim or with other values."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Rows without a benchmark item, verbatim or with other values; each is judged by itself, whatever its id.
+
+    Null and empty texts stay; an empty table stays empty; other columns are
+    kept.
+    """
+    rows = _with_rows(spark, docs)
+    leaks = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=_ROW).select(F.col("doc_id").alias(_ROW)).distinct()
+    return rows.join(leaks, _ROW, "left_anti").drop(_ROW)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
