@@ -90,6 +90,12 @@ def most_frequent(counts: DataFrame, token: str, n: str, limit: int):
     few hundred rows, so that no task sends more than its part of the result.
     Tokens of the level at which the limit would be passed are left out.
     """
+    rows = frequent_rows(counts, n, limit).select(token, n).toPandas()
+    return rows.sort_values([n, token], ascending=[False, True], ignore_index=True)
+
+
+def frequent_rows(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows of the largest counts, at most ``limit``; those of the level at which it would be passed are left out."""
     level = F.floor(F.log2(F.col(n)) * 8)
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()
     cut, total = None, 0
@@ -98,5 +104,4 @@ def most_frequent(counts: DataFrame, token: str, n: str, limit: int):
         if total > limit:
             break
         cut = row["level"]
-    rows = counts.select(token, n).where(level >= cut if cut is not None else F.lit(False)).toPandas()
-    return rows.sort_values([n, token], ascending=[False, True], ignore_index=True)
+    return counts.where(level >= cut if cut is not None else F.lit(False))

@@ -3,16 +3,17 @@
 Every document is the set of its distinct word shingles.  Two sets of Jaccard
 similarity t or more share a token among the first ``n - ceil(t n) + 1`` tokens
 under *any* global order of the tokens.  One order generates candidates in a
-shuffle of prefix tokens; the others filter them, and only pairs that pass all
-orders are verified on the full sets.
+shuffle of prefix tokens; a candidate must also share a token in its prefixes
+under each of the other orders.  Only pairs that pass the intersection of all
+filters are verified on the full sets, which are shipped for them alone.
 
 All orders put tokens that are frequent somewhere last, so boilerplate leaves
 the prefixes; within a frequency class each order permutes tokens by its own
 hash.  Any order gives the same links, so the frequencies may be approximate.
 
 A parity sketch of each set, a few words of bits, bounds the size of the
-difference of two sets from below; it drops pairs in the join itself whose
-shared boilerplate would pass every prefix.
+difference of two sets from below; it drops pairs whose shared boilerplate
+passes every prefix.
 
 Equal sets collapse to one representative first.  Candidates come in two
 rounds: each member of a token's bucket with the one before it and with the
@@ -43,13 +44,16 @@ FREQUENT = 200_000
 #: Bucket rows from which a token's bucket is dealt over SALTS tasks; COLD is the salt of all other buckets.
 HOT_ROWS, SALTS, COLD = 50_000, 32, -1
 
+#: Rows of a bucket on one side of the second round's join that one task takes; groups above this share of all rows are salted.
+OPEN_ROWS, HOT_SHARE = 2_000, 0.001
+
 #: Bits of the largest id filter that is sent to the executors (16 MB).
 MAX_BITS = 1 << 27
 
 #: Tokens that are counted together before rare ones are dropped.
 COUNT_BLOCK = 4_000_000
 
-_SETS = "doc_id long, n long, sig1 long, sig2 long, rare long, prefix array<long>"
+_SETS = "doc_id long, n long, sig1 long, sig2 long, rare long, prefix array<long>, second array<int>, third array<int>"
 _TOKENS = "doc long, tokens array<long>"
 #: 64-bit words of the parity sketch by which buckets are joined.
 SKETCH = 8
@@ -165,7 +169,15 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 
 
 def _sets(width: int, orders: Orders) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Size, signature and first-order prefix of each document."""
+    """Size, signature and prefixes of each document: of the first order its tokens, of the others 32 bits of each.
+
+    Two different tokens of equal bits let a candidate pass a filter and never
+    stop one.
+    """
+
+    def filter_list(token, doc, n, order):
+        prefix, _, offsets, _ = orders.prefixes(token, doc, n, order)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((splitmix(prefix) >> _U(32)).astype(np.uint32).view(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +188,8 @@ def _sets(width: int, orders: Orders) -> Callable[[Iterator[pa.RecordBatch]], It
                 prefix, _, offsets, _ = orders.prefixes(token, doc, n, 1)
                 rare = np.bincount(doc[orders.frequency(token)[1] == 0], minlength=chunk.n_docs)
                 ids = batch.column("doc_id")[chunk.first : chunk.first + chunk.n_docs]
-                cols = [ids, pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare), _lists(prefix, offsets)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig1", "sig2", "rare", "prefix"])
+                cols = [ids, pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare), _lists(prefix, offsets), *[filter_list(token, doc, n, order) for order in (2, 3)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig1", "sig2", "rare", "prefix", "second", "third"])
 
     return run
 
@@ -257,8 +269,8 @@ def _bucket_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield out(carry[None, :], prev, lead)
 
 
-def _verify(orders: Orders) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs that share a token in the prefixes of the other orders, then are similar enough in full."""
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets are similar enough in full."""
 
     def sets(batch, name):
         """Tokens, pair of each token, and sizes; a list column may be a slice of a larger one."""
@@ -267,31 +279,17 @@ def _verify(orders: Orders) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         n = np.diff(offsets)
         return col.values.to_numpy()[offsets[0] : offsets[-1]].view(_U), np.repeat(np.arange(len(n)), n), n
 
-    def common(x, xp, y, yp, n):
-        """How many tokens both sides of each pair hold."""
-        token, pair = np.concatenate((x, y)), np.concatenate((xp, yp))
-        by = np.lexsort((token, pair))
-        token, pair = token[by], pair[by]
-        return np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(lo, 2_000)
-                for order in (2, 3):
-                    side = []
-                    for name in ("a_tokens", "b_tokens"):
-                        token, pair, n = sets(batch, name)
-                        prefix, _, _, size = orders.prefixes(token, pair, n, order)
-                        side += [prefix, np.repeat(np.arange(len(n)), size)]
-                    batch = batch.filter(pa.array(common(*side, batch.num_rows) > 0))
-                x, xp, nx = sets(batch, "a_tokens")
-                y, yp, ny = sets(batch, "b_tokens")
-                both = common(x, xp, y, yp, batch.num_rows)
-                hit = pa.array(100 * both >= 80 * (nx + ny - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], names=["a", "b"])
-
-    return run
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2_000):
+            batch = whole.slice(lo, 2_000)
+            x, xp, nx = sets(batch, "a_tokens")
+            y, yp, ny = sets(batch, "b_tokens")
+            token, pair = np.concatenate((x, y)), np.concatenate((xp, yp))
+            by = np.lexsort((token, pair))
+            token, pair = token[by], pair[by]
+            both = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=batch.num_rows)
+            hit = pa.array(100 * both >= 80 * (nx + ny - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], names=["a", "b"])
 
 
 def _id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -309,17 +307,24 @@ def _id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
     return wanted, n_bits
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, orders: Orders, scratch: Scratch) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """Those of the saved pairs that are links."""
     wanted, n_bits = _id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     keyed = texts.where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
     sets = scratch.save(keyed.mapInArrow(_tokens(width, wanted, n_bits), _TOKENS), "tokens")
     side = lambda s: sets.select(F.col("doc").alias(s), F.col("tokens").alias(f"{s}_tokens"))
-    links = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(orders), "a long, b long").distinct(), "links")
+    links = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long").distinct(), "links")
     scratch.drop(sets)
     return links
 
 
+def _agreed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that share a token in their prefixes under each of the other orders."""
+    side = lambda s: reps.select(F.col("doc").alias(s), F.col("second").alias(f"{s}2"), F.col("third").alias(f"{s}3"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs whose wide sketches allow similarity 0.8: their sets differ in at most a ninth of their sizes' sum.
 
@@ -385,8 +390,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # One representative of each set goes on, with its prefix.
     prefixes = texts.where("doc_id is not null").mapInArrow(_sets(width, orders), _SETS).where("n > 0")
-    classes = prefixes.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "rare", "prefix")).alias("rep"))
-    tokens, held = _dealt(classes.select(F.col("rep.doc_id").alias("doc"), "n", "rep.rare", F.posexplode("rep.prefix").alias("pos", "token")), orders, scratch)
+    reps = prefixes.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "rare", "prefix", "second", "third")).alias("rep"))
+    reps = scratch.save(reps.select(F.col("rep.doc_id").alias("doc"), "n", "rep.rare", "rep.prefix", "rep.second", "rep.third"), "reps")
+    tokens, held = _dealt(reps.select("doc", "n", "rare", F.posexplode("prefix").alias("pos", "token")), orders, scratch)
     # The document with the fewest tokens of its own leads a bucket: of a group of edited copies, the one nearest to all.
     buckets = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "n", "doc").drop("rare")
     shared = buckets.mapInArrow(_bucket_neighbours, "token long, salt long, doc long, n long, pos long, prev long, lead long")
@@ -398,28 +404,38 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = shared.select("doc", F.explode(F.array("prev", "lead")).alias("other")).where("other is not null").select(*pair(F.col("doc"), F.col("other"))).distinct()
     sketches = passed.where("token is null and n > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "sketch", "wide")).alias("s"))
     wide = sketches.select("doc_id", "s.n", "s.wide")
-    near = scratch.save(_alike(near, wide), "near")
-    first = _links(near, texts, width, orders, scratch)
+    near = scratch.save(_alike(_agreed(near, reps), wide), "near")
+    first = _links(near, texts, width, scratch)
     merged = connected_components(first, scratch)
 
     # All pairs of a bucket that are still apart; buckets of one component are done.
     at = shared.select("token", "doc", "n", "pos").join(merged.select(F.col("id").alias("doc"), "label"), "doc", "left")
     at = apart_rows = scratch.save(at.select("token", "doc", "n", "pos", F.coalesce("label", "doc").alias("comp")), "apart")
-    open_ = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    at = at.join(open_, "token", "left_semi").join(sketches.select("doc_id", F.col("s.sketch").alias("s")), F.col("doc") == F.col("doc_id"))
-    at = at.select("token", "doc", "n", "pos", "comp", *[F.col("s")[k].alias(f"s{k}") for k in range(SKETCH)])
-    x, y = at.alias("x"), at.alias("y")
+    # A bucket of many rows is dealt over several tasks: one side is split, the other repeated in each.
+    salts = F.ceil(F.count("*") / OPEN_ROWS).cast("int")
+    open_ = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), salts.alias("salts")).where("x < y").select("token", "salts")
+    at = at.join(open_, "token").join(sketches.select("doc_id", F.col("s.sketch").alias("s")), F.col("doc") == F.col("doc_id"))
+    at = at.select("token", "salts", "doc", "n", "pos", "comp", *[F.col("s")[k].alias(f"s{k}") for k in range(SKETCH)])
+    x = at.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).alias("x")
+    y = at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     most = 1 + F.least(F.expr("x.n - 1 - x.pos"), F.expr("y.n - 1 - y.pos"))
     differ = F.expr(" + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(SKETCH)))
-    fits = F.expr("x.token = y.token and x.comp < y.comp and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n") & (9 * most >= 4 * F.expr("x.n + y.n"))
+    fits = F.expr("x.token = y.token and x.salt = y.salt and x.comp < y.comp and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n") & (9 * most >= 4 * F.expr("x.n + y.n"))
     # at similarity 0.8 the sets differ in at most a ninth of their sizes' sum
     fits = fits & (9 * differ <= F.expr("x.n + y.n"))
     apart = x.join(y, fits).select(*pair(F.col("x.doc"), F.col("y.doc"))).distinct()
-    second = _links(scratch.save(_alike(apart.join(near, ["a", "b"], "left_anti"), wide), "pairs"), texts, width, orders, scratch)
+    second = _links(scratch.save(_alike(_agreed(apart.join(near, ["a", "b"], "left_anti"), reps), wide), "pairs"), texts, width, scratch)
 
     comps = connected_components(first.unionByName(second), scratch)
-    scratch.drop(shared, apart_rows)
-    reps = some.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")).join(comps, F.col("rep") == F.col("id"), "left")
-    reps = reps.select("n", "sig1", "sig2", F.coalesce("label", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "sig1", "sig2").join(reps, ["n", "sig1", "sig2"], "left")
+    scratch.drop(shared, apart_rows, reps, near)
+    # Groups of copies above HOT_SHARE of all rows, fewer than its reciprocal, are dealt over SALTS tasks.
+    least = HOT_SHARE * sets.count()
+    key = ["n", "sig1", "sig2"]
+    groups = some.groupBy(*key).agg(F.min("doc_id").alias("rep"), (F.count("*") > least).alias("hot"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    dealt = sets.join(F.broadcast(groups.where("hot").select(*key, "hot")), key, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    found = groups.join(comps, F.col("rep") == F.col("id"), "left")
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.select(*key, F.coalesce("label", "rep").alias("component"), F.explode(every).alias("salt"))
+    out = dealt.join(found, [*key, "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -145,9 +145,10 @@ def test_ngram_join_of_many_near_copies(spark):
     assert [got[i]["component_id"] for i in range(len(data))] == [find(i) for i in range(len(data))]
 
 
-@pytest.mark.parametrize("hot_rows", [3, 6])
-def test_ngram_join_at_hot_tokens(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize(("hot_rows", "open_rows"), [(2, 1), (6, 3), (10, 2_000), (50_000, 2)])
+def test_ngram_join_at_hot_tokens(spark, monkeypatch, hot_rows, open_rows):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(ngram_join, "OPEN_ROWS", open_rows)
     rng = random.Random(8)
     data = []
     for _ in range(4):
@@ -158,6 +159,9 @@ def test_ngram_join_at_hot_tokens(spark, monkeypatch, hot_rows):
             for at in rng.sample(range(len(w)), 1 + k // 2):
                 w[at] = f"y{rng.randrange(10**6)}"
             data.append(" ".join(w))
+    boiler = prose(rng, 34, 9_000)  # in many long texts, and the most of some short ones
+    data += [f"{prose(rng, 90, 9_000)} {boiler} {prose(rng, 60, 9_000)}" for _ in range(30)]
+    data += [f"{boiler} {prose(rng, k, 9_000)}" for k in (1, 2, 2, 1, 3, 9)]
     sets = [shingle_set(t) for t in data]
     parent = list(range(len(data)))
 
@@ -503,6 +507,39 @@ def test_secret_scan_in_other_surroundings(spark):
     assert shown.distinct().count() == 8
 
 
+def test_secret_scan_recall_and_false_positives(spark):
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    data, want = [], {}
+    for i in range(160):
+        key = rng.choice(["", "ghp_", "AKIA", "sk_live_"]) + random_key(rng.choice([24, 32, 40]))
+        name = rng.choice(["API_KEY", "secret", "access_token", "password"])
+        text = [f"{name}={key}", f'{name} = "{key}"', f"https://host.example.org/v1?{name}={key}", f"service:\n  {name}: {key}\n"][i % 4]
+        data.append((i, f"some words before {text} and some after it"))
+        want[i] = key
+    for i in range(160, 320):
+        hexes = hashlib.sha256(str(i).encode()).hexdigest()
+        plain = [f"commit {hexes[:40]}", f"sha256: {hexes}", f"see docs/index{i}/server/module/page{i}.html", f"order id 4{rng.randrange(10**17):018d}", f"uuid {hexes[:8]}-{hexes[8:12]}-{hexes[12:16]}-{hexes[16:20]}-{hexes[20:32]}"][i % 5]
+        data.append((i, f"some words before {plain} and some after it"))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in scan_secrets(df, example_findings(spark)).collect():
+        if r["secret"]:
+            got[r["doc_id"]].append((r["start"], r["length"]))
+    found = sum(any(data[i][1][at - 1 : at - 1 + n].endswith(key) for at, n in got[i]) for i, key in want.items())
+    assert found / len(want) >= 0.9
+    assert sum(bool(got[i]) for i in range(160, 320)) / 160 <= 0.05
+
+
+def test_secret_candidates_of_a_text_full_of_keys(spark):
+    runs = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3_000)]
+    text = " é ".join(runs)
+    got = candidates(spark.createDataFrame([(None, text), (2, "")], "doc_id long, text string")).collect()
+    assert [text[r["start"] - 1 : r["start"] + 31] for r in got] == runs == [r["candidate"] for r in got]
+    assert got[0]["before"] == "" and got[1]["before"] == " é " == got[1]["after"] and got[-1]["after"] == ""
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     data = [

@@ -21,11 +21,12 @@ def corpus(spark, tmp_path_factory):
     item = "Seven wizards counted the golden apples while nobody in the quiet village was looking at them."
     clean = [prose(rng, 80) for _ in range(400)]
     data = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(clean)]
-    bad = [(1000 + i, f"{prose(rng, 40)} idiot {prose(rng, 40)}", "en", "s1", 300) for i in range(150)]
-    copies = [(2000 + i, clean[i].replace(" ", "  ", 3), "en", "s2", 300) for i in range(5)]
-    near = [(3000 + i, clean[10 + i] + " tail", "en", "s0", 300) for i in range(5)]
-    leaks = [(4000 + i, f"{prose(rng, 30)} {item} {prose(rng, 30)}", "en", "s1", 300) for i in range(5)]
-    spark.createDataFrame([*data, *bad, *copies, *near, *leaks], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    bad = [(1000 + i, f"{prose(rng, 40)} idiot {prose(rng, 40)}", "en", "s1") for i in range(150)]
+    copies = [(2000 + i, clean[i].replace(" ", "  ", 3), "en", "s2") for i in range(5)]
+    near = [(3000 + i, clean[10 + i] + " tail", "en", "s0") for i in range(5)]
+    leaks = [(4000 + i, f"{prose(rng, 30)} {item} {prose(rng, 30)}", "en", "s1") for i in range(5)]
+    others = [(*r, len(r[1])) for r in (*bad, *copies, *near, *leaks)]
+    spark.createDataFrame([*data, *others], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     labels = [(i, 1, 0) for i in range(0, 400, 2)] + [(1000 + i, 1, 1) for i in range(0, 150, 2)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
