@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import Scratch
 
-_RUNS = "doc_id long, run_id long, run_leader long, run_size long, leads boolean, edge int, part int, text_sha256 string"
+_RUNS = "doc_id long, run_id long, run_leader long, run_size long, leads boolean, edge int, part int, text_sha256 string, edge_text string"
 
 #: Characters of a text in the splitters.
 HEAD = 64
@@ -42,13 +42,16 @@ def strip_space(text: Column) -> Column:
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut a sorted partition into runs of equal texts."""
     part = TaskContext.get().partitionId()
-    run, last, held, sha, opens = 0, None, [], None, True
+    run, last, held, sha, text_of_run, opens = 0, None, [], None, None, True
 
-    def out(ids, sizes, run_ids, leaders, leads, edges, shas):
+    def out(ids, sizes, run_ids, leaders, leads, edges, shas, edge_text):
+        """``edge_text`` is the text of the first row's run, told where that run touches an edge."""
         n = len(ids)
+        told = pa.array([edge_text if edges[0] and leads[0] else None], pa.string())
+        told = pa.concat_arrays([told, pa.nulls(n - 1, pa.string())])
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(run_ids, pa.int64()), leaders, pa.array(sizes, pa.int64()), pa.array(leads, pa.bool_()), pa.array(edges, pa.int32()), pa.array(np.full(n, part, np.int32)), shas],
-            names=["doc_id", "run_id", "run_leader", "run_size", "leads", "edge", "part", "text_sha256"],
+            [ids, pa.array(run_ids, pa.int64()), leaders, pa.array(sizes, pa.int64()), pa.array(leads, pa.bool_()), pa.array(edges, pa.int32()), pa.array(np.full(n, part, np.int32)), shas, told],
+            names=["doc_id", "run_id", "run_leader", "run_size", "leads", "edge", "part", "text_sha256", "edge_text"],
         )
 
     def close(edge: int) -> Iterator[pa.RecordBatch]:
@@ -57,7 +60,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             n = len(ids)
             leads = np.zeros(n, bool)
             leads[0] = i == 0
-            yield out(ids, np.full(n, size), np.full(n, run), pa.array([leader.as_py()] * n, pa.int64()), leads, np.full(n, edge), pa.array([sha] * n, pa.string()))
+            yield out(ids, np.full(n, size), np.full(n, run), pa.array([leader.as_py()] * n, pa.int64()), leads, np.full(n, edge), pa.array([sha] * n, pa.string()), text_of_run)
 
     for batch in batches:
         n = batch.num_rows
@@ -85,9 +88,9 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if opens:
                 edges[: sizes[0]] = _OPENS
                 opens = False
-            yield out(ids[lo:hi], np.repeat(sizes, sizes), np.repeat(np.arange(run, run + len(sizes)), sizes), ids.take(pa.array(first)), first == np.arange(lo, hi), edges, shas[lo:hi])
+            yield out(ids[lo:hi], np.repeat(sizes, sizes), np.repeat(np.arange(run, run + len(sizes)), sizes), ids.take(pa.array(first)), first == np.arange(lo, hi), edges, shas[lo:hi], text[int(lo)].as_py() if edges[0] else None)
             run += len(sizes)
-        held, sha = [ids[hi:]], shas[hi].as_py()
+        held, sha, text_of_run = [ids[hi:]], shas[int(hi)].as_py(), last
     if held:
         yield from close(_CLOSES | (_OPENS if opens else 0))
 
@@ -116,10 +119,10 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared = in_order.select("doc_id", "norm", "text_sha256")
     runs = scratch.save(compared.mapInArrow(_compare_neighbours, _RUNS), "runs")
 
-    # At most two runs of a partition touch its edges; equal ones in a row are one group.
+    # At most two runs of a partition touch its edges; equal ones in a row, compared in full, are one group.
     edge = runs.where("edge > 0 and leads")
     in_turn = Window.orderBy("part", "run_id")
-    same = F.col("text_sha256") == F.lag("text_sha256").over(in_turn)
+    same = (F.col("text_sha256") == F.lag("text_sha256").over(in_turn)) & (F.col("edge_text") == F.lag("edge_text").over(in_turn))
     edge = edge.withColumn("group_no", F.sum(F.when(same, 0).otherwise(1)).over(in_turn))
     group = Window.partitionBy("group_no").orderBy("part", "run_id")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -130,7 +133,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.sum("run_size").over(whole).alias("whole_size"),
         (F.row_number().over(group) == 1).alias("group_leads"),
     )
-    joined = runs.join(F.broadcast(stitched), ["part", "run_id"], "left")
+    joined = runs.drop("edge_text").join(F.broadcast(stitched), ["part", "run_id"], "left")
     known = F.col("group_leads").isNotNull()
     return joined.select(
         "doc_id",
