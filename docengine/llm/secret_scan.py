@@ -1,10 +1,11 @@
 """Secret scan with a random forest against false positives; DataFrame functions only.
 
-Candidates are long runs of key characters, shorter ones behind a key word.  Each is described by its length,
-the transitions between its character classes, the share that a dictionary
-covers, and its surroundings: path-like context and the words in front of it.
-A random forest that was trained on labelled findings decides which candidates
-are secrets.
+Candidates are long runs of key characters, shorter ones behind a key word.
+Each is described by its length, the transitions between its character classes,
+the share that a dictionary covers, and its surroundings: paths and links that
+it stands in and the words in front of it.  The dictionary holds the corpus's
+own most frequent words.  A random forest that was trained on labelled findings
+decides which candidates are secrets.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.llm.common import Scratch, frequent_rows
 
 #: Characters kept in front of and behind a candidate.
 CONTEXT = 48
@@ -36,14 +38,17 @@ RUN = (
 #: Words that announce something else of the same look.  Fixed values.
 PLAIN_WORDS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "etag", "hash", "integrity", "revision", "version", "file", "path")
 
-#: Common letter groups; a candidate made of them is a word or name, not a key.  Fixed values.
+#: A whole word of a text, and a word inside a candidate, both in lower case later.
+WORD, PIECE = r"(?<![A-Za-z0-9])[A-Za-z]{4,20}(?![A-Za-z0-9])", r"[A-Z]?[a-z]{3,20}|[A-Z]{4,20}"
+
+#: Common letter groups and the words of the example findings.  Fixed values.
 DICTIONARY = (
     "the and ing ion tion ent her for tha nth int ere ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res ont test data name user file path config "
     "service server client module package index main example default value public static class function image document content style script page home account "
     "about search query result report index version update node list item type view model base core util common lib src build dist node_modules org com net www http https"
 ).split()
 
-FEATURES = ("length", "digit_share", "upper_share", "symbol_share", "transitions", "hex_only", "distinct_share", "dictionary_share", "longest_letters", "path_like", "quoted", "assigned", "key_word", "plain_word", "known_prefix", "separators")
+FEATURES = ("length", "digit_share", "upper_share", "symbol_share", "transitions", "hex_only", "distinct_share", "dictionary_share", "group_share", "longest_letters", "path_like", "in_path", "quoted", "assigned", "key_word", "plain_word", "known_prefix", "separators")
 
 #: Prefixes of well-known credential formats.  Fixed values.
 KNOWN_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|pk_live_|rk_live_|AIza|ya29\.|eyJ|SG\.|npm_|pypi-)"
@@ -59,14 +64,47 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(RUN))
     # Split at the runs themselves: the pieces between them give positions and context.
     cut = docs.select("doc_id", F.split("text", RUN, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"))
-    width = F.transform("gaps", lambda g: F.char_length(g))
-    own = F.transform("runs", lambda r: F.char_length(r))
-    rows = cut.select("doc_id", "gaps", F.posexplode(F.arrays_zip(F.col("runs"), own.alias("size"), width.alias("width"))).alias("n", "r"), width.alias("widths"), own.alias("sizes"))
-    rows = rows.where(F.col("r.runs").isNotNull() & F.col("r.runs").rlike(r"[0-9]|[a-z][A-Z]"))
-    add = lambda a, x: a + x
-    start = F.aggregate(F.slice("widths", 1, F.col("n") + 1), F.lit(0), add) + F.aggregate(F.slice("sizes", 1, F.col("n")), F.lit(0), add) + 1
-    gap_before, gap_after = F.element_at("gaps", F.col("n") + 1), F.element_at("gaps", F.col("n") + 2)
-    return rows.select("doc_id", start.cast("long").alias("start"), F.col("r.runs").alias("candidate"), F.right(gap_before, F.lit(CONTEXT)).alias("before"), F.left(gap_after, F.lit(CONTEXT)).alias("after"))
+    widths = F.transform("runs", lambda x, i: F.char_length(F.get("gaps", i)) + F.char_length(x))
+    cut = cut.select("doc_id", "gaps", "runs", _running_sums(widths).alias("ends"))
+    # Each row takes its own neighbourhood only.
+    rows = F.transform(
+        "runs",
+        lambda x, i: F.struct(
+            (F.get("ends", i) - F.char_length(x) + 1).cast("long").alias("start"),
+            x.alias("candidate"),
+            F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
+        ),
+    )
+    rows = F.filter(rows, lambda x: x["candidate"].rlike(r"[0-9]|[a-z][A-Z]"))
+    return cut.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+def _running_sums(sizes: Column) -> Column:
+    """Sums up to each element, its own included, by doubling: after step k each holds the sum of up to 2**k elements."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(2)))).cast("int"))
+
+    def step(sums: Column, k: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+
+    return F.aggregate(steps, sizes, step)
+
+
+def corpus_words(docs: DataFrame, most: int, text_col: str = "text") -> DataFrame:
+    """The most frequent words of all texts and those of DICTIONARY: ``word``, at most ``most`` and some 80 rows."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD), F.lit(0))).alias("word"))
+    counts = words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).where("n > 1")
+    counts = Scratch(docs.sparkSession, "words").save(counts, "counts")
+    fixed = docs.sparkSession.createDataFrame([(w,) for w in DICTIONARY if len(w) > 3], "word string")
+    return frequent_rows(counts, "n", most).select("word").unionByName(fixed).distinct()
+
+
+def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds ``covered``: how many characters of each candidate are words of the dictionary, which is small enough for every task."""
+    pieces = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit(PIECE), F.lit(0))).alias("piece"))
+    hits = pieces.join(F.broadcast(words), F.lower("piece") == F.col("word"))
+    covered = hits.groupBy("candidate").agg(F.sum(F.char_length("piece")).alias("covered"))
+    return found.join(covered, "candidate", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
 def _count(pattern: str, text: Column) -> Column:
@@ -74,11 +112,11 @@ def _count(pattern: str, text: Column) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds the vector ``features`` to rows of ``candidate, before, after``."""
+    """Adds the vector ``features`` to rows of ``candidate, before, after, covered``."""
     c, size = F.col("candidate"), F.char_length("candidate").cast("double")
     before = F.lower(F.coalesce("before", F.lit("")))
     near = F.regexp_extract(before, r"([^\n]{0,32})$", 1)
-    covered = F.regexp_replace(F.lower(c), "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")
+    rest = F.regexp_replace(F.lower(c), "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1"), "[^aB1]", "-")
     said = lambda words: F.when(near.rlike("(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)"), 1.0).otherwise(0.0)
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
@@ -91,9 +129,11 @@ def with_features(found: DataFrame) -> DataFrame:
             "transitions": (F.char_length(F.regexp_replace(classes, r"(.)\1+", "$1")).cast("double") - 1) / size,
             "hex_only": flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
             "distinct_share": F.size(F.array_distinct(F.split(c, ""))).cast("double") / F.least(size, F.lit(64.0)),
-            "dictionary_share": 1 - F.char_length(covered) / size,
+            "dictionary_share": F.col("covered") / size,
+            "group_share": 1 - F.char_length(rest) / size,
             "longest_letters": F.array_max(F.transform(F.split(c, "[^A-Za-z]+"), lambda w: F.char_length(w))).cast("double") / size,
             "path_like": flag(c.rlike(r"/.*/|\.[a-z]{2,4}($|/)|^www\.|//")),
+            "in_path": flag(F.coalesce("before", F.lit("")).rlike(r"://\S*$|[/\\]\S*$|[A-Za-z]:$|[?&%@]\S*$") | F.coalesce("after", F.lit("")).rlike(r"^[/\\?%&@]")),
             "quoted": flag(F.coalesce("before", F.lit("")).rlike("[\"'`]$")),
             "assigned": flag(before.rlike("[=:][ \"'`]*$")),
             "key_word": said(KEY_WORDS),
@@ -107,12 +147,13 @@ def with_features(found: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Settings:
-    """The forest, its decision threshold, and the bound on the labelled findings it is trained on."""
+    """The forest, its decision threshold, and the bounds on the labelled findings it is trained on and on the dictionary's words."""
 
     trees: int = 24
     depth: int = 6
     threshold: float = 0.5
     findings: int = 20_000
+    words: int = 50_000
     seed: int = 5
 
 
@@ -151,6 +192,11 @@ def example_texts(spark: SparkSession, n: int = 6_000) -> DataFrame:
     named = F.when(kind.isin(5, 6) & ((keyed != "") | odd("h6")) | (kind.between(7, 11) & odd("h6")), F.concat(F.lit(" "), plain)).otherwise(none)
     quote = F.when(odd("h7"), quote).otherwise(none)
     before = F.concat(word("h8"), keyed, named, F.when(marked, sign).otherwise(F.lit(" ")), quote)
+    # one in eight stands in a link, of either kind: behind a parameter's name, or as a part of the path
+    link = F.pmod(F.col("h8"), F.lit(8)) == 0
+    where = F.when(kind < 5, F.concat(F.lit("?"), key, F.lit("="))).otherwise(F.concat(F.lit("/"), word("h1"), F.lit("?"), pick(("id", "page", "ref", "rev", "q"), "h0"), F.lit("=")))
+    before = F.when(link, F.concat(F.lit("https://"), word("h3"), F.lit(".example.org"), where)).otherwise(before)
+    quote = F.when(link, none).otherwise(quote)
     return rows.select(F.col("id").alias("doc_id"), F.concat(before, candidate, quote, F.lit(" "), word("h2")).alias("text"), (kind < 5).cast("double").alias("secret"))
 
 
@@ -160,11 +206,11 @@ def example_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     return candidates(texts).join(texts.select("doc_id", "secret"), "doc_id").select("candidate", "before", "after", "secret")
 
 
-def train_filter(findings: DataFrame, settings: Settings = Settings()) -> RandomForestClassificationModel:
+def train_filter(findings: DataFrame, words: DataFrame, settings: Settings = Settings()) -> RandomForestClassificationModel:
     """A forest from at most ``settings.findings`` labelled findings, those with the smallest seeded hash."""
     rows = findings.where("candidate is not null and secret is not null")
     rows = rows.orderBy(F.xxhash64(F.lit(settings.seed), "candidate", "before"), "candidate").limit(settings.findings)
-    rows = with_features(rows).select("features", F.col("secret").cast("double").alias("secret")).coalesce(4)
+    rows = with_features(with_coverage(rows, words)).select("features", F.col("secret").cast("double").alias("secret")).coalesce(4)
     return RandomForestClassifier(labelCol="secret", numTrees=settings.trees, maxDepth=settings.depth, seed=settings.seed).fit(rows)
 
 
@@ -180,7 +226,9 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, settings: Settings = Sett
     empty table gives an empty result.  Findings that hold only one class
     give a forest that always says that class.
     """
-    model = train_filter(findings, settings)
-    judged = model.transform(with_features(candidates(docs, id_col, text_col)))
+    words = Scratch(docs.sparkSession, "secrets").save(corpus_words(docs, settings.words, text_col), "dictionary")
+    model = train_filter(findings, words, settings)
+    found = Scratch(docs.sparkSession, "secrets").save(candidates(docs, id_col, text_col), "found")
+    judged = model.transform(with_features(with_coverage(found, words)))
     score = vector_to_array("probability")[1] if model.numClasses > 1 else F.lit(0.0)
     return judged.select("doc_id", "start", F.char_length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), score.alias("score"), (score >= settings.threshold).alias("secret"))
