@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside delete their own shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -52,13 +65,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:02d}-{name}"
-        conf = self.spark.conf
-        before = conf.get(_CLEANUP, "false")
-        conf.set(_CLEANUP, "true")
-        try:
+        with shuffles_freed(self.spark):
             df.write.parquet(path)
-        finally:
-            conf.set(_CLEANUP, before)
         release(self.spark)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path

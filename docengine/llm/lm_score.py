@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import Scratch, most_frequent, release
+from docengine.llm.common import Scratch, most_frequent, release, shuffles_freed
 from docengine.llm.textnp import chunks, splitmix, words
 
 _U = np.uint64
@@ -63,7 +63,7 @@ class Settings:
     batch: int = 4_096
     rate: float = 0.4
     damp: float = 8.0
-    slices: int = 32
+    slices: int = 128
     tokens_per_partial: int = 100_000
 
     @property
@@ -338,7 +338,8 @@ def train_model(texts: DataFrame, counts: DataFrame, settings: Settings, weighed
         share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(s.steps)) == turn).select("doc_id", "text").coalesce(s.partials(model.total))
         shipped = spark.sparkContext.broadcast(model)
         moves = share.mapInArrow(_counts_of_features(shipped, s), "slice long, o1 binary, e1 binary, o2 binary, e2 binary")
-        moves = moves.groupBy("slice").applyInArrow(_move(s), "slice long, by_class binary, by_cell binary").collect()  # the size of the weights
+        with shuffles_freed(spark):
+            moves = moves.groupBy("slice").applyInArrow(_move(s), "slice long, by_class binary, by_cell binary").collect()  # the size of the weights
         shipped.destroy()
         for name in ("by_class", "by_cell") if moves else ():
             weights = getattr(model, name)
