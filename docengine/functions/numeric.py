@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docengine.functions.text import contains_any
+from docengine.functions.text import contains_any, running_sums
 
 NUMBER = r"\d+[\s,.]?\d*"
 
@@ -56,18 +56,36 @@ def numeric_question(text: Column) -> Column:
     )
 
 
-def _measurement(unit: str, contexts: Column) -> Callable[[Column, Column], Column]:
-    return lambda x, i: F.struct(parse_number(x).alias("value"), F.lit(unit).alias("unit"), F.trim(F.coalesce(F.get(contexts, i), F.lit(""))).alias("context"))
+def _found(text: Column, pattern: str, unit: str, around: int) -> Column:
+    """The matches of one unit with their values and up to ``around`` characters on both sides of each."""
+    gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    ends = running_sums(F.transform(hits, lambda x, i: F.char_length(F.get(gaps, i)) + F.char_length(x)))
 
+    def one(x: Column, i: Column) -> Column:
+        stop, size = F.get(ends, i), F.char_length(x)
+        first = F.greatest(stop - size - around, F.lit(0))
+        context = F.trim(text.substr(first + 1, stop + around - first))
+        return F.struct(parse_number(F.get(raw, i)).alias("value"), F.lit(unit).alias("unit"), context.alias("context"))
 
-def measurements(text: Column) -> Column:
-    """All numbers with units: array of struct(value, unit, context), unit by unit."""
+    return F.transform(hits, one)
+
+
+def _plain(unit: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(parse_number(x).alias("value"), F.lit(unit).alias("unit"), F.lit("").alias("context"))
+
+
+def measurements(text: Column, contexts: bool = False, around: int = 50) -> Column:
+    """All numbers with units: array of struct(value, unit, context), unit by unit; the context is empty unless asked for."""
     found = []
     for unit, spelling in UNITS:
-        raw = F.regexp_extract_all(text, F.lit(rf"(?is)(.{{0,50}}?{NUMBER}\s*(?:{spelling}).{{0,50}})"), F.lit(1))
-        # the context is cut around the match, so neighbours are found again by a plain pass
-        plain = F.regexp_extract_all(text, F.lit(rf"(?i)({NUMBER})\s*(?:{spelling})"), F.lit(1))
-        found.append(F.transform(plain, _measurement(unit, raw)))
+        pattern = rf"(?i)({NUMBER})\s*(?:{spelling})"
+        if contexts:
+            found.append(_found(text, pattern, unit, around))
+        else:
+            plain = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+            found.append(F.transform(plain, _plain(unit)))
     codes = F.regexp_extract_all(text, F.lit(r"(?i)IP\s*(\d{2})"), F.lit(1))
     found.append(F.transform(codes, lambda x: F.struct(x.cast("double").alias("value"), F.lit("IP").alias("unit"), F.lit("").alias("context"))))
     return F.concat(*found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon
@@ -22,10 +22,22 @@ def key_terms(text: Column) -> Column:
     return F.array_sort(F.filter(words_of(F.lower(text)), lambda w: (F.char_length(w) > 3) & ~F.array_contains(stop, w)))
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; two empty texts are equal."""
+def edit_similarity(a: Column, b: Column, likely: tuple[float, ...] = (0.95, 0.85)) -> Column:
+    """1 - edit distance / longer length; two empty texts are equal.
+
+    The distance is looked for among the few edits of similar texts first, which
+    costs the length times those edits; only texts farther apart pay for more,
+    and at last for the whole table.  A length difference bounds the distance
+    from below, so bands that cannot hold it are left out.
+    """
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    apart = F.abs(F.char_length(a) - F.char_length(b))
+    distance = F.levenshtein(a, b)
+    for share in reversed(likely):
+        most = F.floor(longer * (1 - share)).cast("int") + 1
+        within = F.when(apart <= most, F.call_function("levenshtein", a, b, most))
+        distance = F.coalesce(F.when(within >= 0, within), distance)
+    return F.when(longer == 0, 1.0).otherwise(1 - distance / longer)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -35,24 +47,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def validate(source: Column, cited: Column) -> dict[str, Column]:
-    """The ladder: exact, normalised, subset, small edits, same words, else invalid."""
-    source, cited = F.trim(source), F.trim(cited)
-    a, b = normalize_citation(source), normalize_citation(cited)
-    ratio = F.when(F.char_length(a) == 0, 0.0).otherwise(F.char_length(b) / F.char_length(a))
-    edits, words = edit_similarity(a, b), jaccard(source, cited)
-    rungs = [
-        (source == cited, "EXACT_MATCH", F.lit(100), F.lit(True)),
-        (a == b, "NORMALIZED_MATCH", F.lit(98), F.lit(True)),
-        (F.contains(a, b) & (ratio >= 0.8), "SUBSET_MATCH", js_round(90 + ratio * 10), F.lit(True)),
-        (F.contains(a, b), "SUBSET_MATCH", js_round(ratio * 100), F.lit(False)),
-        (edits >= 0.95, "LEVENSHTEIN_SIMILAR", js_round(edits * 100), F.lit(True)),
-        (words >= 0.9, "SEMANTIC_SIMILAR", js_round(words * 100), F.lit(True)),
-    ]
-    method, confidence, valid = F.lit("VALIDATION_FAILED"), js_round(edits * 100), F.lit(False)
-    for fits, name, how_sure, ok in reversed(rungs):
-        method, confidence, valid = F.when(fits, name).otherwise(method), F.when(fits, how_sure).otherwise(confidence), F.when(fits, ok).otherwise(valid)
-    return {"method": method, "confidence": confidence.cast("long"), "is_valid": valid}
+def validate(df: DataFrame, source: str, cited: str) -> DataFrame:
+    """Adds ``method, confidence, is_valid``, the ladder: exact, normalised, subset, small edits, same words, else invalid.
+
+    The texts are normalised once; edit distance and word overlap are computed
+    once, and only for rows that no earlier rung settles.
+    """
+    df = df.withColumns({"_s": F.trim(source), "_c": F.trim(cited)})
+    df = df.withColumns({"_a": normalize_citation(F.col("_s")), "_b": normalize_citation(F.col("_c"))})
+    a, b = F.col("_a"), F.col("_b")
+    inside = F.contains(a, b)
+    df = df.withColumn("_open", ~((F.col("_s") == F.col("_c")) | (a == b) | inside))
+    df = df.withColumn("_ratio", F.when(F.char_length(a) == 0, 0.0).otherwise(F.char_length(b) / F.char_length(a)))
+    df = df.withColumn("_edits", F.when(F.col("_open"), edit_similarity(a, b)))
+    df = df.withColumn("_words", F.when(F.col("_open") & (F.col("_edits") < 0.95), jaccard(F.col("_s"), F.col("_c"))))
+    ratio, edits, words = F.col("_ratio"), F.col("_edits"), F.col("_words")
+    say = lambda method, confidence, ok: F.struct(F.lit(method).alias("method"), confidence.cast("long").alias("confidence"), F.lit(ok).alias("is_valid"))
+    found = (
+        F.when(F.col("_s") == F.col("_c"), say("EXACT_MATCH", F.lit(100), True))
+        .when(a == b, say("NORMALIZED_MATCH", F.lit(98), True))
+        .when(~F.col("_open") & (ratio >= 0.8), say("SUBSET_MATCH", js_round(90 + ratio * 10), True))
+        .when(~F.col("_open"), say("SUBSET_MATCH", js_round(ratio * 100), False))
+        .when(edits >= 0.95, say("LEVENSHTEIN_SIMILAR", js_round(edits * 100), True))
+        .when(words >= 0.9, say("SEMANTIC_SIMILAR", js_round(words * 100), True))
+        .otherwise(say("VALIDATION_FAILED", js_round(edits * 100), False))
+    )
+    df = df.withColumn("_v", found)
+    names = ("method", "confidence", "is_valid")
+    return df.withColumns({n: F.col(f"_v.{n}") for n in names}).drop("_s", "_c", "_a", "_b", "_open", "_ratio", "_edits", "_words", "_v")
 
 
 def factual_accuracy(extract_terms: Column, original_terms: Column) -> dict[str, Column]:
@@ -72,14 +94,19 @@ def factual_accuracy(extract_terms: Column, original_terms: Column) -> dict[str,
     }
 
 
+def _held(terms: Column, body: Column) -> Column:
+    return F.size(F.filter(terms, lambda t: F.contains(body, t)))
+
+
 def related_concepts(query: Column, content: Column) -> Column:
     """Best overlap of the two texts within one concept group, as the ratio of the smaller count to the larger."""
-    scores = [F.lit(0.0)]
-    for group in lexicon.RELATED:
-        count = lambda text, group=group: sum((F.contains(text, F.lit(t)).cast("int") for t in group[1:]), F.contains(text, F.lit(group[0])).cast("int"))
-        q, c = count(query), count(content)
-        scores.append(F.when((q > 0) & (c > 0), F.least(q, c) / F.greatest(q, c)).otherwise(0.0))
-    return F.greatest(*scores)
+    groups = F.array(*[F.array(*[F.lit(t) for t in group]) for group in lexicon.RELATED])
+
+    def overlap(group: Column) -> Column:
+        q, c = _held(group, query), _held(group, content)
+        return F.when((q > 0) & (c > 0), F.least(q, c) / F.greatest(q, c)).otherwise(0.0)
+
+    return F.array_max(F.transform(groups, overlap))
 
 
 def relevance(query: Column, terms: Column, content: Column) -> Column:

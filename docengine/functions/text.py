@@ -38,6 +38,13 @@ def whole_word(terms: Sequence[str]) -> str:
     return r"(?<![A-Za-z0-9_])(?:" + "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) + r")(?![A-Za-z0-9_])"
 
 
+def running_sums(sizes: Column) -> Column:
+    """Sums up to each element of an array, its own included, by doubling: after step k each holds the sum of up to 2**k elements."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(2)))).cast("int"))
+    step = lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    return F.aggregate(steps, sizes, step)
+
+
 def js_round(x: Column) -> Column:
     """Round half up, also below zero."""
     return F.floor(x + 0.5).cast("long")
@@ -101,11 +108,6 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, "ăâîșşțţáàäéèêëíìïóòöúùüçñ", "aaissttaaaeeeeiiiooouuucn")
 
 
-def is_ban_question(text: Column) -> Column:
-    """Does a question ask for bans or duties? Such questions widen the search."""
-    return strip_accents(F.lower(text)).rlike("interzi|permis|admis|oblig")
-
-
 def repair_letters(text: Column) -> Column:
     """Undo the letters that a PDF's fonts commonly break (fixed pairs, in this order)."""
     for bad, good in (("ˇa", "ă"), ("ˆa", "â"), ("ˆı", "î"), ("¸s", "ș"), ("¸t", "ț"), ("ş", "ș"), ("ţ", "ț"), ("Ş", "Ș"), ("Ţ", "Ț"), ("ã", "ă")):

@@ -64,7 +64,9 @@ def numeric_answers(questions: DataFrame, evidence: DataFrame, near: float = 0.1
     own = options(questions).withColumn("m", F.try_element_at(measurements(F.col("option")), F.lit(1))).where("m is not null")
     own = own.select("question_id", "letter", F.col("m.value").alias("value"), F.col("m.unit").alias("unit"))
     seen = evidence.select("evidence_id", F.explode(measurements(F.col("content"))).alias("e")).select("evidence_id", F.col("e.value").alias("seen"), F.col("e.unit").alias("unit"))
-    hits = own.join(seen, "unit", "left").groupBy("question_id", "letter").agg(F.count_if(F.abs(F.col("value") - F.col("seen")) < near).alias("hits"))
+    # numbers are counted before the join, so a common unit costs its different values only
+    seen = seen.groupBy("unit", "seen").agg(F.count("*").alias("times"))
+    hits = own.join(seen, "unit", "left").groupBy("question_id", "letter").agg(F.coalesce(F.sum(F.when(F.abs(F.col("value") - F.col("seen")) < near, F.col("times"))), F.lit(0)).alias("hits"))
     w = Window.partitionBy("question_id").orderBy(F.desc("hits"), "letter")
     best = hits.withColumns({"n": F.row_number().over(w), "margin": F.col("hits") - F.coalesce(F.lead("hits").over(w), F.lit(0))}).where("n = 1")
     return best.select("question_id", F.when(F.col("hits") > 0, F.col("letter")).alias("letter"), "hits", "margin")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from docengine.functions import lexicon, text, vector
 
-#: Most queries of one batch that is sent to all tasks; larger batches are joined in blocks.
-QUERY_BLOCK = 2_000
+
+def numbered(df: DataFrame, most: int, *order: Column, name: str = "place") -> DataFrame:
+    """The first ``most`` rows in order, numbered; each task sends its own first rows only."""
+    page = df.orderBy(*order).limit(most)
+    return page.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def rank_by(df: DataFrame, keys: list[str], *order: Column, most: int | None = None, name: str = "rank") -> DataFrame:

@@ -261,25 +261,6 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", F.round(vector.norm(F.col("v")), 6).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-# ---- citation checks: every paragraph against a stated corruption of itself
-
-
-_CITED = {
-    0: ("content", "content"),
-    1: ("upper(content)", "upper(content)"),
-    2: ("substr(content, 1, cast(floor(length(content) * 0.9) as int))", "substring(content, 1, cast(floor(char_length(content) * 0.9) as int))"),
-    3: ("substr(content, 1, 12)", "substring(content, 1, 12)"),
-}
-
-
-@query("citation_ladder")
-def citation_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    p = paragraphs(table(spark, sf, "documents"))
-    cited = F.expr(f"case pmod(doc_id + paragraph_number, 4) when 0 then {_CITED[0][1]} when 1 then {_CITED[1][1]} when 2 then {_CITED[2][1]} else {_CITED[3][1]} end")
-    p = p.withColumn("cited", cited)
-    return p.select("doc_id", "paragraph_number", *[c.alias(n) for n, c in similarity.validate(F.col("content"), F.col("cited")).items()])
-
-
 @query(
     "word_jaccard",
     r"""with w as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower("text"), '\s+'), lambda x: x <> '')) as ws from benchmark)
@@ -292,24 +273,6 @@ def word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", F.round(similarity.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-@query("factual_accuracy")
-def factual_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    p = paragraphs(table(spark, sf, "documents"))
-    near = F.regexp_replace("content", r"^\S+\s+\S+", "inlocuit")
-    p = p.withColumns({"x": similarity.normalize_citation(near), "y": similarity.normalize_citation(F.col("content"))})
-    p = p.withColumns({"x": similarity.key_terms(F.col("x")), "y": similarity.key_terms(F.col("y"))})
-    return p.select("doc_id", "paragraph_number", *[c.alias(n) for n, c in similarity.factual_accuracy(F.col("x"), F.col("y")).items()])
-
-
-@query("relevance_score")
-def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
-    asked = questions(spark).select("query_id", similarity.normalize_citation(F.col("text")).alias("q"))
-    asked = asked.withColumn("terms", similarity.key_terms(F.col("q")))
-    p = paragraphs(table(spark, sf, "documents")).select("doc_id", similarity.normalize_citation(F.col("content")).alias("c")).join(F.broadcast(asked))
-    scored = p.select("query_id", "doc_id", F.round(similarity.relevance(F.col("q"), F.col("terms"), F.col("c")), 6).alias("relevance"))
-    return scored.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
-
-
 @query(
     "numeric_extract",
     r"""with m as (select page_id, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '(?i)(\d+[\s,.]?\d*)\s*%', 1)) as raw from pages)
@@ -319,16 +282,3 @@ def numeric_extract(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ")
     raw = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all(plain, F.lit(r"(?i)(\d+[\s,.]?\d*)\s*%"), F.lit(1))).alias("raw"))
     return raw.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.sum(numeric.parse_number(F.col("raw"))), 6).alias("total"))
-
-
-@query("measurements")
-def measurements(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "documents").select("doc_id", F.explode(numeric.measurements(F.coalesce("text", F.lit("")))).alias("m"))
-    return found.groupBy("doc_id", "m.unit").agg(F.count("*").alias("n"), F.round(F.sum("m.value"), 6).alias("total"))
-
-
-@query("numeric_score")
-def numeric_score(spark: SparkSession, sf: str) -> DataFrame:
-    asked = F.broadcast(questions(spark).withColumn("question", numeric.numeric_question(F.col("text"))).where("question is not null"))
-    found = table(spark, sf, "documents").select("doc_id", F.explode(numeric.measurements(F.coalesce("text", F.lit("")))).alias("m")).join(asked)
-    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(numeric.match_score(F.col("m.value"), F.col("m.unit"), F.col("question"))), 6).alias("relevance"))

@@ -216,11 +216,11 @@ def entity_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "word_frequency",
-    f"""select word, count(*) as n from (select unnest({_WORDS.format('lower("text")')}) as word from documents) group by word having count(*) >= 5""",
+    f"""select word, count(*) as n from (select unnest({_WORDS.format('lower("text")')}) as word from documents) group by word""",
 )
 def word_frequency(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "documents").select(F.explode(text.words_of(F.lower("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 _VARIANT_QUERIES = tuple((i, q) for i, q in enumerate(("Unde se pune o priză langa tablou", "Ce cablu are circuit", "montaj ddr in tablou", "nimic de extins", "curent prin cablu si ddr", "protectie la circuit")))

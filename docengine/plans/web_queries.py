@@ -57,11 +57,14 @@ _EDGES_SQL = """e(src, dst) as (select 'r' || r_regionkey, 'n' || n_nationkey fr
 
 @query("crawl_frontier", f"with recursive {_EDGES_SQL}, c(node, depth) as (select 'r0', 0 union select e.dst, depth + 1 from c join e on e.src = c.node) select node, min(depth) as depth from c group by node")
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    return web.crawl(tree_edges(spark, sf), spark.createDataFrame([("r0",)], "node string"))
+
+
+def tree_edges(spark: SparkSession, sf: str) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = table(spark, sf, "nation").select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"))
     edges = edges.unionByName(table(spark, sf, "supplier").select(key("n", "s_nationkey").alias("src"), key("s", "s_suppkey").alias("dst")))
-    edges = edges.unionByName(table(spark, sf, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 100 + 1).cast("string")).alias("src"), key("p", "p_partkey").alias("dst")))
-    return web.crawl(edges, spark.createDataFrame([("r0",)], "node string"))
+    return edges.unionByName(table(spark, sf, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 100 + 1).cast("string")).alias("src"), key("p", "p_partkey").alias("dst")))
 
 
 @query("table_rows", rf"""with {PARAGRAPHS_SQL}, c as (select doc_id, paragraph_number, list_filter(list_transform(string_split(content, '|'), lambda x: trim(x, ' ')), lambda x: x <> '') as cells from p where contains(content, '|'))
@@ -71,21 +74,25 @@ def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("doc_id", "paragraph_number", F.size("cells").cast("long").alias("n_cells"), F.array_join(F.slice("cells", 1, 3), ";").alias("firsts"))
 
 
+def _tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The captioned tables of all documents and, as plain text, all pages (their ids below zero)."""
+    pages = table(spark, sf, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ").alias("text"))
+    return tables.extract(table(spark, sf, "documents").select("doc_id", "text").unionByName(pages))
+
+
 @query("table_search")
 def table_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = tables.extract(tables.sample_texts(spark))
-    return tables.search(found, "tabelul 3.1 sectiune conductor").select("table_number", "title", "score")
+    return tables.search(_tables(spark, sf), "tabelul 3.1 sectiune conductor").select("doc_id", "table_number", "title", "score")
 
 
 @query("table_lookup")
 def table_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    found = tables.extract(tables.sample_texts(spark))
-    return tables.cell(found, "3.1", row="16", column="Sectiune").select("table_number", "value")
+    return tables.cell(_tables(spark, sf), "3.1", row="16", column="Sectiune").select("doc_id", "table_number", "value")
 
 
 @query("table_markdown")
 def table_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.extract(tables.sample_texts(spark)).select("table_number", tables.markdown().alias("markdown"))
+    return _tables(spark, sf).select("doc_id", "table_number", tables.markdown().alias("markdown"))
 
 
 @query("status_report", "select '| status | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderstatus || ' | ' || n || ' |', chr(10) order by o_orderstatus) as markdown from (select o_orderstatus, count(*) as n from orders group by 1)")
@@ -101,7 +108,8 @@ def quiz_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("quiz_numeric")
 def quiz_numeric(spark: SparkSession, sf: str) -> DataFrame:
-    return quiz.numeric_answers(quiz.sample_questions(spark), quiz.sample_evidence(spark))
+    p = paragraphs(table(spark, sf, "documents"))
+    return quiz.numeric_answers(quiz.sample_questions(spark), p.select(F.xxhash64("doc_id", "paragraph_number").alias("evidence_id"), "content"))
 
 
 @query(

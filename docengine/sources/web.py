@@ -52,18 +52,37 @@ def anchors(pages: DataFrame, most: int = 100) -> DataFrame:
     return rows.select("page_id", F.regexp_extract("a", _ANCHOR, 1).alias("href"), F.left(title, F.lit(most)).alias("title"))
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, most_rounds: int = 20, save=None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, most_rounds: int | None = None, save=None) -> DataFrame:
     """Breadth-first crawl: ``node, depth``; every round is a join of the frontier with the links.
 
-    ``save`` cuts the lineage of a round, by default a checkpoint.
+    It ends when nothing new is found, or after ``most_rounds`` where a depth is
+    asked for.  ``save`` cuts the lineage of a round, by default a checkpoint.
     """
     save = save or (lambda df: df.checkpoint())
     visited = save(seeds.select(F.col("node"), F.lit(0).alias("depth")).distinct())
-    frontier = visited
-    for depth in range(1, most_rounds + 1):
+    frontier, depth = visited, 0
+    while most_rounds is None or depth < most_rounds:
+        depth += 1
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = save(found.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = save(visited.unionByName(frontier))
     return visited
+
+
+def crawl_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """``node, path``: a crawl to a stated depth that carries the way to each node, as names joined by `` > ``."""
+    level = seeds.select("node", F.col("node").alias("path"))
+    out = level
+    for _ in range(depth):
+        level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.lit(" > "), "dst").alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
+def listings(links: DataFrame, least: int = 4) -> DataFrame:
+    """``page_id, n_links, n_files, is_listing``: a listing has ``least`` links or more, half of them to files."""
+    files = F.lower("url").rlike(r"\.(pdf|docx?|zip|html)([?#]|$)")
+    counts = links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(files).alias("n_files"))
+    return counts.withColumn("is_listing", (F.col("n_links") >= least) & (F.col("n_files") * 2 >= F.col("n_links")))

@@ -53,8 +53,7 @@ def test_cleanups(spark):
     ],
 )
 def test_citation_ladder(spark, source, cited, method, confidence_):
-    out = similarity.validate(F.col("a"), F.col("b"))
-    row = spark.createDataFrame([(source, cited)], "a string, b string").select(*[c.alias(n) for n, c in out.items()]).first()
+    row = similarity.validate(spark.createDataFrame([(source, cited)], "a string, b string"), "a", "b").first()
     assert row["method"] == method
     if method != "LEVENSHTEIN_SIMILAR":
         assert row["confidence"] == confidence_
@@ -67,6 +66,18 @@ def test_edit_similarity_of_empty_texts(spark):
     assert one(spark, similarity.edit_similarity(F.col("a"), F.col("b")), a="text", b="") == 0
 
 
+def test_edit_similarity_beyond_the_bands(spark):
+    rows = [("kitten" * 4, "sitting" * 4), ("abcdef" * 10, "abcdef" * 9 + "x"), ("a" * 40, "b" * 40), ("abc" * 30, "abc" * 30 + "d")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    both = df.select(similarity.edit_similarity(F.col("a"), F.col("b")).alias("x"), (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))).alias("y")).collect()
+    assert [r["x"] for r in both] == [r["y"] for r in both]
+
+
+def test_contexts_of_neighbouring_measurements(spark):
+    found = one(spark, numeric.measurements(F.col("t"), contexts=True, around=6), t="x 10 mm and 20 mm or 30 mm")
+    assert [(m["value"], m["context"]) for m in found if m["unit"] == "mm"] == [(10.0, "x 10 mm and 2"), (20.0, "m and 20 mm or 30"), (30.0, "mm or 30 mm")]
+
+
 def test_numeric_questions(spark):
     row = one(spark, numeric.numeric_question(F.col("t")), t="minim 30 mm")
     assert (row["minimum"], row["unit"], row["tolerance"]) == (30, "mm", 5)
