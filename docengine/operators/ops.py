@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requests and seconds of the rate-limit presets. Fixed values.
-LIMITS = {"api": (60, 60), "query": (10, 60), "upload": (10, 3600)}
+State = TypeVar("State")
 
 #: Tokens that operations cost. Fixed values.
 COSTS = {"query": 1, "upload": 5, "process_page": 2, "ai_format": 3}
@@ -27,51 +27,64 @@ def window_count(events: DataFrame, key: str, ts: str, seconds: int) -> Column:
     return F.count("*").over(w)
 
 
+def keyed_scan(rows: DataFrame, key: str, order: list[str], start: Callable[[], State], step: Callable[[State, tuple], tuple[State, tuple]], out: str) -> DataFrame:
+    """A sequential state over each key's rows in order; ``step`` takes the state and a row and gives the next state and a result row.
+
+    Rows come sorted and in batches; a task holds one batch and the state of one
+    key, however many rows the key has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last, names = None, None, [c.split()[0] for c in out.split(", ")]
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False, name=None):
+                if last is None or row[0] != last[0]:
+                    state, last = start(), (row[0],)
+                state, result = step(state, row)
+                found.append(result)
+            yield pd.DataFrame(found, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+
+
 def admit(events: DataFrame, most: int, seconds: int, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
     """Sliding-window admission: a denied request does not count against later ones.
 
     Whether a request counts depends on the decisions before it, so each key is
-    a small sequential state; a key's requests come in time order and only the
-    admitted ones of the last window are held.
+    a small sequential state: the admitted requests of the last window.
     """
 
-    def run(key_values: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[float] = []
-        rows = pd.concat(list(batches)).sort_values(["t", "event"])
-        out = []
-        for event_id, t in zip(rows["event"], rows["t"], strict=True):
-            held = [x for x in held if x > t - seconds]
-            allowed = len(held) < most
-            if allowed:
-                held.append(t)
-            out.append((key_values[0], event_id, allowed, most - len(held), held[0] + seconds))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "remaining", "reset_at"])
+    def step(held: list[float], row: tuple) -> tuple[list[float], tuple]:
+        user, event_id, t = row
+        held = [x for x in held if x > t - seconds]
+        allowed = len(held) < most
+        if allowed:
+            held.append(t)
+        return held, (user, event_id, allowed, most - len(held), held[0] + seconds)
 
     rows = events.select(F.col(key).alias("key"), F.col(event).alias("event"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    whole = lambda k, pdf: pd.concat(list(run(k, iter([pdf]))))
-    return rows.groupBy("key").applyInPandas(whole, "user_id long, event_id long, allowed boolean, remaining long, reset_at double")
+    return keyed_scan(rows, "key", ["t", "event"], list, step, "user_id long, event_id long, allowed boolean, remaining long, reset_at double")
 
 
 def cache_hits(requests: DataFrame, key: Column, ts: str, ttl: int = CACHE_TTL, refresh: bool = False) -> DataFrame:
     """Is each request a hit?  ``refresh``: a hit starts the time to live anew.
 
     With refresh a request hits if the one before it is near enough.  Without,
-    an entry lives from the miss that wrote it, so misses are found by a fold
-    over the key's times.
+    an entry lives from the miss that wrote it, so the last miss is carried along
+    the key's times.
     """
     rows = requests.withColumns({"cache_key": key, "t": F.col(ts).cast("timestamp").cast("long")})
     if refresh:
         before = F.lag("t").over(Window.partitionBy("cache_key").orderBy("t", "event_id"))
         return rows.withColumn("hit", F.coalesce(F.col("t") - before < ttl, F.lit(False)))
-    times = rows.groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("all"))
-    zero = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<struct<event_id:long,hit:boolean>>").alias("out"))
 
-    def step(acc, x):
-        hit = F.coalesce(x["t"] - acc["since"] < ttl, F.lit(False))
-        return F.struct(F.when(hit, acc["since"]).otherwise(x["t"]).alias("since"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), hit.alias("hit")))).alias("out"))
+    def step(since: int | None, row: tuple) -> tuple[int, tuple]:
+        name, event_id, t = row
+        hit = since is not None and t - since < ttl
+        return (since if hit else t), (name, event_id, hit)
 
-    folded = times.select("cache_key", F.explode(F.aggregate("all", zero, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select("cache_key", "x.event_id", "x.hit")
+    return keyed_scan(rows.select("cache_key", "event_id", "t"), "cache_key", ["t", "event_id"], lambda: None, step, "cache_key string, event_id long, hit boolean")
 
 
 def evicted(entries: DataFrame, hits: str, order: str, size: int = CACHE_SIZE, share: int = CACHE_EVICTED) -> DataFrame:
@@ -88,15 +101,15 @@ def cost_of(event_type: Column) -> Column:
 def spend(operations: DataFrame, opening: int, key: str = "user_id") -> DataFrame:
     """Balances where an operation that costs too much is refused and costs nothing.
 
-    A refusal leaves the balance for the next operation, so it is a fold per key.
+    A refusal leaves the balance for the next operation, so it is carried along
+    the key's operations.
     """
-    rows = operations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "cost"))).alias("all"))
-    zero = F.struct(F.lit(opening).cast("long").alias("balance"), F.array().cast("array<struct<event_id:long,accepted:boolean,balance:long>>").alias("out"))
 
-    def step(acc, x):
-        ok = x["cost"] <= acc["balance"]
-        left = F.when(ok, acc["balance"] - x["cost"]).otherwise(acc["balance"]).cast("long")
-        return F.struct(left.alias("balance"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), ok.alias("accepted"), left.alias("balance")))).alias("out"))
+    def step(balance: int, row: tuple) -> tuple[int, tuple]:
+        user, event_id, _, cost = row
+        ok = cost <= balance
+        balance -= cost if ok else 0
+        return balance, (user, event_id, ok, balance)
 
-    out = rows.select(key, F.explode(F.aggregate("all", zero, step, lambda acc: acc["out"])).alias("x"))
-    return out.select(key, "x.event_id", "x.accepted", "x.balance")
+    rows = operations.select(key, "event_id", "t", "cost")
+    return keyed_scan(rows, key, ["t", "event_id"], lambda: opening, step, f"{key} long, event_id long, accepted boolean, balance long")

@@ -170,10 +170,10 @@ def best_and_margin(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("n = 1").select("l_orderkey", F.col("l_linenumber").alias("best_line"), F.round(F.col("l_extendedprice") - F.coalesce("next_price", F.lit(0.0)), 2).alias("margin"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "select o_orderkey from orders order by md5(o_orderkey || '-7'), o_orderkey limit 100")
 def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A reproducible sample of 100 rows."""
-    return table(spark, sf, "orders").select("o_orderkey").orderBy(F.xxhash64("o_orderkey", F.lit(7)), "o_orderkey").limit(100)
+    return table(spark, sf, "orders").select("o_orderkey").orderBy(F.md5(F.concat("o_orderkey", F.lit("-7"))), "o_orderkey").limit(100)
 
 
 # ---- operational state
@@ -185,7 +185,14 @@ def rate_limit_count(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("event_id", "user_id", ops.window_count(events, "user_id", "ts", 3600).alias("in_window"))
 
 
-@query("rate_limit_admit")
+@query(
+    "rate_limit_admit",
+    """with recursive e as (select user_id, event_id, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+    r as (select user_id, event_id, n, true as allowed, [t] as held from e where n = 1
+        union all select user_id, event_id, n, len(recent) < 2, case when len(recent) < 2 then list_append(recent, t) else recent end
+        from (select e.*, list_filter(r.held, lambda x: x > e.t - 3600) as recent from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+    select user_id, event_id, allowed, 2 - len(held) as remaining, held[1] + 3600 as reset_at from r""",
+)
 def rate_limit_admit(spark: SparkSession, sf: str) -> DataFrame:
     return ops.admit(table(spark, sf, "events"), most=2, seconds=3600)
 
@@ -195,7 +202,13 @@ def cache_ttl_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return ops.cache_hits(table(spark, sf, "events"), F.concat_ws(":", "user_id", "event_type"), "ts", refresh=True).select("event_id", "hit")
 
 
-@query("cache_ttl_hits")
+@query(
+    "cache_ttl_hits",
+    """with recursive e as (select *, row_number() over (partition by user_id, event_type order by t, event_id) as n from (select *, cast(floor(epoch(ts)) as bigint) as t from events)),
+    r as (select user_id, event_type, event_id, n, t as since, false as hit from e where n = 1
+        union all select e.user_id, e.event_type, e.event_id, e.n, case when e.t - since < 86400 then since else e.t end, e.t - since < 86400 from r join e on e.user_id = r.user_id and e.event_type = r.event_type and e.n = r.n + 1)
+    select event_id, hit from r""",
+)
 def cache_ttl_hits(spark: SparkSession, sf: str) -> DataFrame:
     return ops.cache_hits(table(spark, sf, "events"), F.concat_ws(":", "user_id", "event_type"), "ts").select("event_id", "hit")
 
@@ -230,7 +243,13 @@ def token_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "user_id", "cost", F.sum("cost").over(w).alias("used"))
 
 
-@query("token_spend")
+@query(
+    "token_spend",
+    """with recursive e as (select *, row_number() over (partition by user_id order by ts, event_id) as n from (select *, case event_type when 'view' then 1 when 'signup' then 5 when 'click' then 2 when 'error' then 3 else 0 end as cost from events)),
+    r as (select user_id, event_id, n, cost <= 20 as accepted, case when cost <= 20 then 20 - cost else 20 end as balance from e where n = 1
+        union all select e.user_id, e.event_id, e.n, e.cost <= balance, case when e.cost <= balance then balance - e.cost else balance end from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+    select user_id, event_id, accepted, balance from r""",
+)
 def token_spend(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), ops.cost_of(F.col("event_type")).alias("cost"))
     return ops.spend(rows, opening=20)

@@ -45,7 +45,18 @@ def chat_action(spark: SparkSession, sf: str) -> DataFrame:
     return _users(spark, sf).select("conv_id", "turn", u.action(F.col("said")).alias("action"))
 
 
-@query("chat_subject")
+def _subject_sql(x: str) -> str:
+    for word in u.LEADING:
+        x = rf"regexp_replace({x}, '^{word}\s*', '')"
+    long = rf"list_filter(regexp_split_to_array(regexp_replace({x}, '[?.,!;:]', '', 'g'), '\s+'), lambda w: length(w) > 3)"
+    return f"(case when len({long}) = 0 then 'instalatii electrice' else array_to_string({long}[1:2], ' ') end)"
+
+
+_FACTS_SQL = "list_concat(regexp_extract_all(said, '(?i)\\d+\\s*(?:mm|mm²|A|tablouri|tablou|circuite)'), list_filter([" + ", ".join(f"case when contains({_LOW}, '{w}') then '{fact}' end" for w, fact in u.FACTS) + "], lambda f: f is not null))"
+_SAID = "(select *, coalesce(\"text\", '') as said from conversations where role = 'user')"
+
+
+@query("chat_subject", f"select conv_id, turn, {_subject_sql(_LOW)} as subject, array_to_string({_FACTS_SQL}, ';') as facts from {_SAID}".replace("\\\\", "\\"))
 def chat_subject(spark: SparkSession, sf: str) -> DataFrame:
     return _users(spark, sf).select("conv_id", "turn", u.subject(F.col("said")).alias("subject"), F.array_join(u.stated_facts(F.col("said")), ";").alias("facts"))
 
@@ -64,7 +75,19 @@ def subject_drift(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", (F.size(F.filter("ws", lambda w: F.contains("answer", w))) == 0).alias("drifts"))
 
 
-@query("clarification_need")
+_UNIVERSAL_SQL = " or ".join(f"contains(about, '{w}')" for w in u.UNIVERSAL)
+_NEED_SQL = (
+    f"case when ({_UNIVERSAL_SQL}) and regexp_matches(low, 'cum se|principii|reguli|general') then 'universal concept' "
+    + " ".join(f"when regexp_matches(low, '{p}') then '{missing}'" for p, missing in u.AMBIGUOUS)
+    + " when length(said) < 20 and about = '' then 'too vague' else 'enough is known' end"
+)
+
+
+@query(
+    "clarification_need",
+    f"""with s as (select conv_id, turn, said, {_LOW} as low, lower({_subject_sql(_LOW)}) as about from {_SAID}), r as (select conv_id, turn, {_NEED_SQL} as reason from s)
+    select conv_id, turn, reason not in ('universal concept', 'enough is known') as needed, reason from r""",
+)
 def clarification_need(spark: SparkSession, sf: str) -> DataFrame:
     need = u.clarification(F.col("said"), u.subject(F.col("said")), F.lit(None).cast("double"))
     return _users(spark, sf).select("conv_id", "turn", need.alias("c")).select("conv_id", "turn", "c.needed", "c.reason")
@@ -78,11 +101,19 @@ def file_category(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(u.file_category(F.col("p_name")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("document_profile", "select doc_id, 'generic' as profile, 1000 as chunk_size, 200 as overlap from documents")
+@query(
+    "document_profile",
+    rf"""with t as (select doc_id, coalesce("text", '') || case when doc_id % 3 = 0 then ' Conform Art. 5, CAPITOLUL 2' when doc_id % 3 = 1 then ' normativ Art. 7' else '' end as t from documents),
+    r as (select doc_id, case when regexp_matches(t, '(?i)\b(trebuie|obligatoriu|conform|normativ|tehnic)\b') and regexp_matches(t, 'Art\.\s*\d+') and regexp_matches(t, '(?i)CAPITOLUL\s+\d+') then 'norm' when doc_id % 7 = 0 then 'scanned' else 'generic' end as profile from t)
+    select doc_id, r.profile, chunk_size, overlap from r join (values {", ".join(f"('{n}', {c}, {o})" for n, c, o, _ in u.PROFILES)}) p(profile, chunk_size, overlap) on p.profile = r.profile""",
+)
 def document_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The profile of each document with its chunk sizes; invented prose has no articles."""
+    """The profile of each document with its chunk sizes; a third of the texts gets a norm's marks, some are scans."""
     profiles = F.broadcast(spark.createDataFrame([(n, s, o) for n, s, o, _ in u.PROFILES], "profile string, chunk_size int, overlap int"))
-    docs = table(spark, sf, "documents").select("doc_id", u.best_profile(F.coalesce("text", F.lit("")), F.lit("text/plain")).alias("profile"))
+    k = F.col("doc_id") % 3
+    body = F.concat(F.coalesce("text", F.lit("")), F.when(k == 0, " Conform Art. 5, CAPITOLUL 2").when(k == 1, " normativ Art. 7").otherwise(""))
+    mime = F.when(F.col("doc_id") % 7 == 0, "image/png").otherwise("text/plain")
+    docs = table(spark, sf, "documents").select("doc_id", u.best_profile(body, mime).alias("profile"))
     return docs.join(profiles, "profile")
 
 
@@ -143,7 +174,15 @@ def retrieval_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "paragraph_number", F.round("score", 6).alias("score"))
 
 
-@query("answer_sections")
+@query(
+    "answer_sections",
+    r"""with a as (select conv_id, turn, string_split(coalesce("text", ''), chr(10)) as lines from conversations where role = 'assistant'),
+    l as (select conv_id, turn, unnest(lines) as s, unnest(range(0, len(lines))) as pos from a),
+    k as (select *, case when regexp_matches(s, '^#+\s|^\*\*[^*]+\*\*:?$') then 'title' when regexp_matches(s, '^\s*[">„]') then 'quote' when regexp_matches(s, '(?i)important|atentie|interzis|obligatoriu') then 'important' else 'normal' end as kind from l),
+    b as (select *, case when lag(kind) over (partition by conv_id, turn order by pos) = kind then 0 else 1 end as starts from k),
+    g as (select *, sum(starts) over (partition by conv_id, turn order by pos) as section from b)
+    select conv_id, turn, cast(section as bigint) as section, kind, count(*) as lines from g group by all""",
+)
 def answer_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of lines of one kind in the assistants' answers."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
