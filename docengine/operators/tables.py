@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: A table's caption: its number, and what stands behind it. Fixed pattern.
-CAPTION = r"Tabelul\s+(\d+\.\d+(?:\.\d+)?)[\s.:-]*([^\n]*)"
+CAPTION = r"(?i)Tabelul\s+(\d+\.\d+(?:\.\d+)?)[\s.:-]*([^\n]*)"
 
 #: Scores of a search: number, title, header word, cell word, word anywhere; most cells that count. Fixed values.
 SCORES = {"number": 50, "title": 30, "header": 10, "cell": 5, "raw": 3}
@@ -19,18 +19,18 @@ MOST_CELLS = 10
 
 
 def columns_of(line: Column) -> Column:
-    """Cells of a line: by tabs, pipes, three spaces or two, whichever it has first."""
+    """Cells of a line: by tabs, three spaces, pipes or two spaces, the first of these that it has."""
     plain = lambda parts: F.filter(F.transform(parts, lambda c: F.trim(c)), lambda c: c != "")
     return (
         F.when(F.contains(line, F.lit("\t")), plain(F.split(line, "\t")))
-        .when(F.contains(line, F.lit("|")), plain(F.split(line, r"\|")))
         .when(line.rlike(r"\s{3,}"), plain(F.split(line, r"\s{3,}")))
+        .when(F.contains(line, F.lit("|")), plain(F.split(line, r"\|")))
         .otherwise(plain(F.split(line, r"\s{2,}")))
     )
 
 
 def _cells(line: str) -> list[str]:
-    for pattern in (r"\t", r"\|", r"\s{3,}", r"\s{2,}"):
+    for pattern in (r"\t", r"\s{3,}", r"\|", r"\s{2,}"):
         if re.search(pattern, line):
             return [c.strip() for c in re.split(pattern, line) if c.strip()]
     return [line.strip()] if line.strip() else []

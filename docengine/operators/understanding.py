@@ -20,7 +20,16 @@ FACTS = (("cupru", "cupru"), ("aluminiu", "aluminiu"), ("interior", "instalatii
 UNIVERSAL = ("selectivitate", "scurtcircuit", "tensiune", "protectie", "normativ")
 
 #: Ambiguous questions: pattern and what is missing. Fixed values.
-AMBIGUOUS = (("cat (costa|e|sunt)", "price or amount"), ("ce (model|tip|marcă)", "technical details"), ("cum (se monteaza|se instaleaza)", "installation and conditions"))
+AMBIGUOUS = (("cat (costa|e|sunt)", "preț/cantitate specifică"), ("ce (model|tip|marcă)", "specificații tehnice detaliate"), ("cum (se monteaza|se instaleaza)", "tip instalație și condiții"))
+
+#: Why a question needs clarifying or not; the first is followed by what is missing. Fixed values.
+REASONS = {
+    "ambiguous": "Întrebare ambiguă - necesită ",
+    "vague": "Întrebare prea vagă",
+    "enough": "Am suficiente informații pentru un răspuns util",
+    "universal": "Concept universal - principiile sunt aceleași indiferent de detalii",
+    "found": "Am găsit informații relevante în documente",
+}
 
 #: Categories of file names, in the order tried. Fixed values.
 CATEGORIES = (
@@ -35,7 +44,7 @@ CATEGORIES = (
 )
 
 #: Chunk size, overlap and least size of the document profiles. Fixed values.
-PROFILES = (("norm", 500, 50, 30), ("law", 600, 100, 40), ("manual", 800, 150, 25), ("generic", 1000, 200, 20), ("scanned", 800, 100, 30))
+PROFILES = (("romanian-legal-norm", 500, 50, 30), ("romanian-law", 600, 100, 40), ("technical-manual", 800, 150, 25), ("generic-document", 1000, 200, 20), ("scanned-pdf", 800, 100, 30))
 
 #: Price in dollars of a million tokens, by embedding model. Fixed values.
 PRICES = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.13, "text-embedding-ada-002": 0.10}
@@ -72,10 +81,10 @@ def clarification(question: Column, about: Column, best_score: Column) -> Column
     low = F.lower(question)
     general = contains_any(about, UNIVERSAL) & low.rlike("cum se|principii|reguli|general")
     say = lambda needed, reason: F.struct(F.lit(needed).alias("needed"), F.lit(reason).alias("reason"))
-    out = F.when((F.char_length(question) < 20) & (about == ""), say(True, "too vague")).otherwise(say(False, "enough is known"))
+    out = F.when((F.char_length(question) < 20) & (about == ""), say(True, REASONS["vague"])).otherwise(say(False, REASONS["enough"]))
     for pattern, missing in reversed(AMBIGUOUS):
-        out = F.when(low.rlike(pattern), say(True, missing)).otherwise(out)
-    return F.when(general, say(False, "universal concept")).when(F.coalesce(best_score, F.lit(0.0)) > 0.5, say(False, "good results")).otherwise(out)
+        out = F.when(low.rlike(pattern), say(True, REASONS["ambiguous"] + missing)).otherwise(out)
+    return F.when(general, say(False, REASONS["universal"])).when(F.coalesce(best_score, F.lit(0.0)) > 0.5, say(False, REASONS["found"])).otherwise(out)
 
 
 def file_category(name: Column) -> Column:
@@ -88,7 +97,7 @@ def file_category(name: Column) -> Column:
 def best_profile(content: Column, mime: Column) -> Column:
     """The profile of a text: a norm by its terms, articles and chapters, a scan by its type."""
     norm = content.rlike(r"(?i)(?<![A-Za-z0-9_])(trebuie|obligatoriu|conform|normativ|tehnic)(?![A-Za-z0-9_])") & content.rlike(r"Art\.\s*\d+") & content.rlike(r"(?i)CAPITOLUL\s+\d+")
-    return F.when(norm, "norm").when(F.startswith(mime, F.lit("image/")), "scanned").otherwise("generic")
+    return F.when(norm, "romanian-legal-norm").when(F.startswith(mime, F.lit("image/")), "scanned-pdf").otherwise("generic-document")
 
 
 def embedding_cost(texts: Column, mean_chars: Column, model: str) -> dict[str, Column]:

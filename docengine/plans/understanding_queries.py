@@ -77,16 +77,16 @@ def subject_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 _UNIVERSAL_SQL = " or ".join(f"contains(about, '{w}')" for w in u.UNIVERSAL)
 _NEED_SQL = (
-    f"case when ({_UNIVERSAL_SQL}) and regexp_matches(low, 'cum se|principii|reguli|general') then 'universal concept' "
-    + " ".join(f"when regexp_matches(low, '{p}') then '{missing}'" for p, missing in u.AMBIGUOUS)
-    + " when length(said) < 20 and about = '' then 'too vague' else 'enough is known' end"
+    f"case when ({_UNIVERSAL_SQL}) and regexp_matches(low, 'cum se|principii|reguli|general') then '{u.REASONS['universal']}' "
+    + " ".join(f"when regexp_matches(low, '{p}') then '{u.REASONS['ambiguous'] + missing}'" for p, missing in u.AMBIGUOUS)
+    + f" when length(said) < 20 and about = '' then '{u.REASONS['vague']}' else '{u.REASONS['enough']}' end"
 )
 
 
 @query(
     "clarification_need",
     f"""with s as (select conv_id, turn, said, {_LOW} as low, lower({_subject_sql(_LOW)}) as about from {_SAID}), r as (select conv_id, turn, {_NEED_SQL} as reason from s)
-    select conv_id, turn, reason not in ('universal concept', 'enough is known') as needed, reason from r""",
+    select conv_id, turn, reason not in ('{u.REASONS['universal']}', '{u.REASONS['enough']}') as needed, reason from r""",
 )
 def clarification_need(spark: SparkSession, sf: str) -> DataFrame:
     need = u.clarification(F.col("said"), u.subject(F.col("said")), F.lit(None).cast("double"))
@@ -104,7 +104,7 @@ def file_category(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "document_profile",
     rf"""with t as (select doc_id, coalesce("text", '') || case when doc_id % 3 = 0 then ' Conform Art. 5, CAPITOLUL 2' when doc_id % 3 = 1 then ' normativ Art. 7' else '' end as t from documents),
-    r as (select doc_id, case when regexp_matches(t, '(?i)\b(trebuie|obligatoriu|conform|normativ|tehnic)\b') and regexp_matches(t, 'Art\.\s*\d+') and regexp_matches(t, '(?i)CAPITOLUL\s+\d+') then 'norm' when doc_id % 7 = 0 then 'scanned' else 'generic' end as profile from t)
+    r as (select doc_id, case when regexp_matches(t, '(?i)\b(trebuie|obligatoriu|conform|normativ|tehnic)\b') and regexp_matches(t, 'Art\.\s*\d+') and regexp_matches(t, '(?i)CAPITOLUL\s+\d+') then 'romanian-legal-norm' when doc_id % 7 = 0 then 'scanned-pdf' else 'generic-document' end as profile from t)
     select doc_id, r.profile, chunk_size, overlap from r join (values {", ".join(f"('{n}', {c}, {o})" for n, c, o, _ in u.PROFILES)}) p(profile, chunk_size, overlap) on p.profile = r.profile""",
 )
 def document_profile(spark: SparkSession, sf: str) -> DataFrame:

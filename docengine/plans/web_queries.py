@@ -67,7 +67,7 @@ def tree_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges.unionByName(table(spark, sf, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 100 + 1).cast("string")).alias("src"), key("p", "p_partkey").alias("dst")))
 
 
-@query("table_rows", rf"""with {PARAGRAPHS_SQL}, c as (select doc_id, paragraph_number, list_filter(list_transform(string_split(content, '|'), lambda x: trim(x, ' ')), lambda x: x <> '') as cells from p where contains(content, '|'))
+@query("table_rows", rf"""with {PARAGRAPHS_SQL}, c as (select doc_id, paragraph_number, list_filter(list_transform(case when contains(content, chr(9)) then string_split(content, chr(9)) when regexp_matches(content, '\s{{3,}}') then regexp_split_to_array(content, '\s{{3,}}') else string_split(content, '|') end, lambda x: trim(x, ' ')), lambda x: x <> '') as cells from p where contains(content, '|'))
     select doc_id, paragraph_number, len(cells) as n_cells, array_to_string(cells[1:3], ';') as firsts from c""")
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     p = paragraphs(table(spark, sf, "documents")).where(F.contains("content", F.lit("|"))).withColumn("cells", tables.columns_of(F.col("content")))
