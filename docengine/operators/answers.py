@@ -271,3 +271,89 @@ def embed_batches(rows: DataFrame, embed: Embed, most_chars: int | None = None)
         return pdf.assign(embedding=vectors)
 
     return rows.groupBy("batch").applyInPandas(run, "batch long, text string, embedding array<double>")
+
+
+# ---- rendering and guidance
+
+#: Terms of a quiz question that decide its answer. Fixed values.
+KEY_TERMS = (
+    *("numai", "doar", "exclusiv", "strict", "obligatoriu", "mereu", "totdeauna", "optional", "poate", "se poate", "este permis", "este admis"),
+    *("nu", "niciodata", "interzis", "nepermis", "inadmisibil"),
+    *("tablou", "general", "borna", "bara", "legare la pamant", "impamantare", "protectie", "ddr", "dispozitiv diferential"),
+    *("priza", "circuit", "conductor", "cabluri", "electrod", "priza de pamant", "legare echipotentiala"),
+    *("tn-c", "tn-s", "tt", "it"),
+    *("baie", "bucatarie", "exterior", "subsol", "pod", "spatiu umed", "spatiu uscat"),
+    *("trebuie", "se monteaza", "se instaleaza", "se realizeaza", "se verifica", "se protejeaza"),
+)
+
+
+def key_terms_of(question: Column) -> Column:
+    """The key terms that a question holds, accents aside, in the list's order."""
+    plain = text.strip_accents(F.lower(question))
+    return F.filter(F.array(*[F.lit(t) for t in KEY_TERMS]), lambda t: F.contains(plain, t))
+
+
+#: What an answer to a practical question should do: always, by installation, by several concepts, by context, by complexity. Fixed values.
+GUIDANCE = (
+    "This is a practical scenario query. Structure the response to:",
+    ("- Identify the installation requirements and conditions", "- Mention specific measurements or values if present"),
+    ("- Address each concept mentioned in the query", "- Show how the concepts relate to each other"),
+    ("- Note the specific context or conditions mentioned", "- Indicate if the answer depends on specific circumstances"),
+    ("- Acknowledge the complexity of the scenario", "- If information is incomplete, state what is covered and what may need additional verification"),
+)
+DIRECT = "Provide a direct answer based on the citations."
+
+
+def guidance(question: Column, practical: Column, complexity: Column) -> Column:
+    low = F.lower(question)
+    concepts = sum((text.contains_any(low, terms).cast("int") for terms in lexicon.CONCEPTS.values()), F.lit(0))
+    when = (text.contains_any(low, lexicon.SCENARIOS["installation"]), concepts > 1, text.contains_any(low, lexicon.SCENARIOS["specificContext"]), complexity > 3)
+    lines = [F.when(c, F.lit("\n".join(said))) for c, said in zip(when, GUIDANCE[1:], strict=True)]
+    return F.when(practical, F.concat_ws("\n", F.lit(GUIDANCE[0]), *lines)).otherwise(DIRECT)
+
+
+#: How several citations and one are shown, by style: the opening, each citation, the only one. ``{i}``, ``{name}``, ``{ref}`` and ``{text}`` are filled in. Fixed values.
+STYLES = {
+    "legal": ("Conform prevederilor citate:", '\n[{i}] {ref}: "{text}"', 'Conform {ref}: "{text}"'),
+    "technical": ("Referințe identificate:", "\n[{i}] {name}, {ref}\n{text}", "Referință: {ref}\n\n{text}"),
+    "conversational": ("Am găsit următoarele informații:", "\n{i}. Conform {name} ({ref}): {text}", "Conform {ref}: {text}"),
+    "formal": ("Pe baza documentelor analizate, identificăm următoarele prevederi:", "\n[{i}] {name}, {ref}:\n{text}", 'Conform documentului "{name}" ({ref}):\n\n{text}'),
+}
+NOTHING_FOUND = "Nu am găsit informații relevante."
+
+
+def fill(pattern: str, **parts: Column) -> Column:
+    """A pattern with ``{name}`` places as one expression."""
+    pieces, rest = [], pattern
+    while rest:
+        at, end = rest.find("{"), rest.find("}")
+        if at < 0:
+            pieces.append(F.lit(rest))
+            break
+        if at:
+            pieces.append(F.lit(rest[:at]))
+        pieces.append(parts[rest[at + 1 : end]])
+        rest = rest[end + 1 :]
+    return F.concat(*pieces)
+
+
+def templated(cited: DataFrame, style: str) -> DataFrame:
+    """``query_id, answer`` in a style, from ``query_id, citation_index, document_name, reference, content``."""
+    opening, each, only = STYLES[style]
+    parts = {"i": F.col("citation_index").cast("string"), "name": F.col("document_name"), "ref": F.col("reference"), "text": F.col("content")}
+    rows = cited.select("query_id", F.struct("citation_index", fill(each, **parts).alias("each"), fill(only, **parts).alias("only")).alias("c"))
+    grouped = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("all"))  # a few citations each
+    many = F.concat_ws("\n", F.lit(opening), F.transform("all", lambda c: c["each"]))
+    return grouped.select("query_id", F.when(F.size("all") == 1, F.get("all", F.lit(0))["only"]).otherwise(many).alias("answer"))
+
+
+def numeric_in_context(options: DataFrame, paragraphs: DataFrame, confidence: int = 98) -> DataFrame:
+    """The first option of each question whose number, unit and keyword some sentence holds together: ``question_id, letter, confidence``.
+
+    ``options``, a bounded set: ``question_id, letter, value, unit, keyword``.
+    """
+    s = paragraphs.select(F.explode(F.split(F.lower("content"), "[.!?]+")).alias("s"))
+    number = F.concat(F.lit("(^|[^0-9])"), "value", F.lit("([^0-9]|$)"))
+    hits = s.join(F.broadcast(options), F.contains("s", F.col("value")) & F.contains("s", F.col("unit")) & F.contains("s", F.col("keyword")) & F.call_function("rlike", F.col("s"), number))
+    first = hits.groupBy("question_id").agg(F.min("letter").alias("letter"))
+    return first.withColumn("confidence", F.lit(confidence).cast("long"))

@@ -77,3 +77,32 @@ def with_previous_tail(chunks: DataFrame, tail: int) -> DataFrame:
     before = F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     joined = F.when(before.isNotNull(), F.concat(F.right(before, F.lit(tail)), F.lit(" "), F.col("content"))).otherwise(F.col("content"))
     return chunks.withColumn("content", joined).withColumn("char_count", F.char_length("content").cast("long"))
+
+
+def sentence_page_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, page_chars: int = 3000) -> DataFrame:
+    """Chunks of whole sentences, each beginning with the last words of the one before: ``doc_id, chunk_index, page_number, content``.
+
+    A chunk is closed by the sentence that would make it longer than ``size``,
+    and begins anew with a fifth of ``overlap`` words; its page is counted from
+    the sentences that came before.  A fold over each document; a task holds one
+    Arrow batch of them.
+    """
+
+    def one(body: str) -> Iterator[tuple[int, str]]:
+        held, seen = "", 0
+        for sentence in re.split(r"(?<=[.!?])\s+", body):
+            if len(held) + len(sentence) > size:
+                yield seen // page_chars + 1, held.strip()
+                held = " ".join(held.split(" ")[-(overlap // 5) :]) + " " + sentence
+            else:
+                held += " " + sentence
+            seen += len(sentence)
+        if held.strip():
+            yield seen // page_chars + 1, held.strip()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, i, *c) for d, body in zip(batch["doc_id"], batch["text"], strict=True) for i, c in enumerate(one(body or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "page_number", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, page_number long, content string")

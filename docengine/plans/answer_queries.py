@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.functions import lexicon, numeric, similarity, text
+from docengine.functions import confidence, lexicon, numeric, similarity, text
 from docengine.operators import answers, retrieval
 from docengine.plans import sqltext
 from docengine.plans.questions import QUESTIONS, questions
 from docengine.plans.registry import query, sql_list
 from docengine.plans.retrieval_queries import _AXES, _HITS, _axes, _candidates
 from docengine.plans.text_queries import _VARIANT_QUERIES
+from docengine.plans.understanding_queries import SCENARIO_ASKS, SCENARIO_CASES, SCENARIO_CONCEPTS
 from docengine.plans.web_queries import _EDGES_SQL, _LINKS, tree_edges
 from docengine.sources import web
 from docengine.sources.tables import PARAGRAPHS_SQL, paragraphs, table
@@ -539,3 +540,80 @@ def embedding_batches(spark: SparkSession, sf: str) -> DataFrame:
     batches = table(spark, sf, "documents").select(F.expr("doc_id div 16").alias("batch"), F.coalesce("text", F.lit("")).alias("text"))
     out = answers.embed_batches(batches, answers.length_embedding(30_000))
     return out.groupBy("batch").agg(F.count_if(F.size("embedding") > 0).alias("succeeded"), F.count_if(F.size("embedding") == 0).alias("failed"))
+
+
+# ---- rendering and guidance
+
+_ACCENTS = ("ăâîșşțţáàäéèêëíìïóòöúùüçñ", "aaissttaaaeeeeiiiooouuucn")
+
+
+@query("quiz_key_terms", f"""select conv_id, turn, array_to_string(list_filter({sql_list(answers.KEY_TERMS)}, lambda t: contains(translate(lower(coalesce("text", '')), '{_ACCENTS[0]}', '{_ACCENTS[1]}'), t)), ';') as terms from conversations""")
+def quiz_key_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(answers.key_terms_of(F.coalesce("text", F.lit(""))), ";").alias("terms"))
+
+
+def _guidance_sql() -> str:
+    line = lambda x: "chr(10) || " + " || chr(10) || ".join(sqltext.sql_text(t) for t in x)
+    inst, context = (sqltext.contains_any("t", lexicon.SCENARIOS[k]) for k in ("installation", "specificContext"))
+    parts = " || ".join(f"case when {c} then {line(x)} else '' end" for c, x in zip((inst, "concepts > 1", context, "complexity > 3"), answers.GUIDANCE[1:], strict=True))
+    return f"case when complexity >= 2 or n_types >= 2 then {sqltext.sql_text(answers.GUIDANCE[0])} || {parts} else {sqltext.sql_text(answers.DIRECT)} end"
+
+
+_ASKED_SQL = "lower(coalesce(\"text\", '') || case turn % 4 when 0 then ' cum se face montare ddr si priza in cazul' when 2 then ' verificare cablu' else '' end)"
+
+
+@query(
+    "answer_guidance",
+    f"""with q as (select conv_id, turn, {_ASKED_SQL} as t from conversations),
+    s as (select conv_id, turn, t, {SCENARIO_CASES} as types, {SCENARIO_CONCEPTS} as concepts, {SCENARIO_ASKS} as asks from q),
+    r as (select conv_id, turn, t, concepts, types + case when concepts > 1 then concepts else 0 end + asks as complexity, types + case when concepts > 1 then 1 else 0 end as n_types from s)
+    select conv_id, turn, {_guidance_sql()} as guidance from r""",
+)
+def answer_guidance(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("turn") % 4
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(k == 0, " cum se face montare ddr si priza in cazul").when(k == 2, " verificare cablu").otherwise(""))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", said.alias("said"))
+    case = confidence.scenario(F.col("said"))
+    return rows.select("conv_id", "turn", answers.guidance(F.col("said"), case["is_practical"], case["complexity"]).alias("guidance"))
+
+
+def _templated_sql(style: str) -> str:
+    opening, each, only = answers.STYLES[style]
+
+    def filled(pattern: str) -> str:
+        out = sqltext.sql_text(pattern).replace("\n", "' || chr(10) || '")
+        for name, column in (("i", "place"), ("name", "document_name"), ("ref", "reference"), ("text", "content")):
+            out = out.replace("{" + name + "}", f"' || {column} || '")
+        return out
+
+    return f"select '{style}' as style, query_id, sha256(case when count(*) = 1 then max({filled(only)}) else {sqltext.sql_text(opening)} || chr(10) || string_agg({filled(each)}, chr(10) order by place) end) as answer_sha from c group by query_id"
+
+
+@query(
+    "template_answers",
+    f"""with {_HITS}, {_TOP5_SQL}, c as (select query_id, place, content, coalesce(source, 'Unknown') as document_name, 'parag. ' || paragraph_number as reference from t5 left join documents using (doc_id) where place <= case when query_id = 1 then 1 else 5 end)
+    {" union all ".join(map(_templated_sql, answers.STYLES))}""",
+)
+def template_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The citations of each question as an answer in four styles; the first question has one citation only."""
+    names = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("Unknown")).alias("document_name"))
+    cited = _top5(spark, sf).where(F.col("rank") <= F.when(F.col("query_id") == 1, 1).otherwise(5)).join(names, "doc_id", "left")
+    cited = cited.select("query_id", F.col("rank").alias("citation_index"), "document_name", F.concat(F.lit("parag. "), F.col("paragraph_number").cast("string")).alias("reference"), "content")
+    out = None
+    for style in answers.STYLES:
+        one = answers.templated(cited, style).select(F.lit(style).alias("style"), "query_id", F.sha2("answer", 256).alias("answer_sha"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_NUMERIC_OPTIONS = ((1, "a", "99999999", "mm", "zz"), (1, "b", "1", "e", "the"), (1, "c", "2", "e", "a"), (2, "a", "5", "zzz", "the"), (2, "b", "7", "e", "e"), (3, "a", "123456789", "q", "q"))
+
+
+@query(
+    "quiz_numeric_context",
+    f"""with {PARAGRAPHS_SQL}, s as (select unnest(regexp_split_to_array(lower(content), '[.!?]+')) as s from p), o(question_id, letter, value, unit, keyword) as (values {", ".join(map(str, _NUMERIC_OPTIONS))})
+    select cast(question_id as bigint) as question_id, min(letter) as letter, 98 as confidence from o where exists (select 1 from s where contains(s, unit) and contains(s, keyword) and regexp_matches(s, '(^|[^0-9])' || value || '([^0-9]|$)')) group by question_id""",
+)
+def quiz_numeric_context(spark: SparkSession, sf: str) -> DataFrame:
+    options = spark.createDataFrame(list(_NUMERIC_OPTIONS), "question_id long, letter string, value string, unit string, keyword string")
+    return answers.numeric_in_context(options, paragraphs(table(spark, sf, "documents")))

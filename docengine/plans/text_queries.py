@@ -183,6 +183,11 @@ def overlap_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.folded_chunks(table(spark, sf, "documents"), unit="paragraph")
 
 
+@query("sentence_page_chunks")
+def sentence_page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.sentence_page_chunks(table(spark, sf, "documents"))
+
+
 @query("index_chunks")
 def index_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.with_previous_tail(chunking.folded_chunks(table(spark, sf, "documents"), unit="paragraph", most=1000, least=1, overlap=0), 200)

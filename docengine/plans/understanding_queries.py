@@ -21,15 +21,15 @@ def _users(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").withColumn("said", F.coalesce("text", F.lit("")))
 
 
-_CASES = " + ".join(f"case when {_any('t', w)} then 1 else 0 end" for w in lexicon.SCENARIOS.values())
-_CONCEPTS = " + ".join(f"case when {_any('t', w)} then 1 else 0 end" for w in lexicon.CONCEPTS.values())
-_ASKS = " + ".join(f"case when starts_with(t, '{w}') or contains(t, ' {w} ') then 0.5 else 0 end" for w in lexicon.QUESTION_WORDS)
+SCENARIO_CASES = " + ".join(f"case when {_any('t', w)} then 1 else 0 end" for w in lexicon.SCENARIOS.values())
+SCENARIO_CONCEPTS = " + ".join(f"case when {_any('t', w)} then 1 else 0 end" for w in lexicon.CONCEPTS.values())
+SCENARIO_ASKS = " + ".join(f"case when starts_with(t, '{w}') or contains(t, ' {w} ') then 0.5 else 0 end" for w in lexicon.QUESTION_WORDS)
 
 
 @query(
     "practical_scenario",
     f"""with q as (select conv_id, turn, {_LOW} as t from conversations where role = 'user'),
-    s as (select conv_id, turn, {_CASES} as types, {_CONCEPTS} as concepts, {_ASKS} as asks from q),
+    s as (select conv_id, turn, {SCENARIO_CASES} as types, {SCENARIO_CONCEPTS} as concepts, {SCENARIO_ASKS} as asks from q),
     r as (select conv_id, turn, cast(types + case when concepts > 1 then concepts else 0 end + asks as double) as complexity, cast(types + case when concepts > 1 then 1 else 0 end as bigint) as n_types from s)
     select *, complexity >= 2 or n_types >= 2 as is_practical from r""",
 )

@@ -151,3 +151,8 @@ def legal_paragraphs(docs: DataFrame, cut: int = 2000, pack: int = 1500) -> Data
             yield pd.DataFrame(rows, columns=["doc_id", "paragraph_number", "chapter", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, paragraph_number long, chapter string, content string")
+
+
+def question_sets(spark: SparkSession, path: str) -> DataFrame:
+    """JSON question sets, each file one array over many lines: one row per question, its fields as columns."""
+    return spark.read.option("multiLine", True).json(path)

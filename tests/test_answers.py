@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.operators import answers, ops, quiz, tables, understanding
-from docengine.sources import web
+from docengine.operators import answers, chunking, ops, quiz, tables, understanding
+from docengine.sources import files, web
 
 
 @pytest.mark.parametrize(("question", "is_ban"), [("Ce este INTERZIS?", True), ("obligații legale", True), ("Ce sunt obligatiile", True), ("cum se monteaza", False), (None, None)])
@@ -88,3 +88,23 @@ def test_crawl_paths_and_listings(spark):
     assert {r["node"]: r["path"] for r in web.crawl_paths(edges, seeds, 2).collect()} == {"a": "a", "b": "a > b", "c": "a > b > c"}
     links = spark.createDataFrame([(1, f"http://x/{i}.pdf") for i in range(3)] + [(1, "http://x/y"), (2, "http://x/z.pdf")], "page_id long, url string")
     assert {r["page_id"]: r["is_listing"] for r in web.listings(links).collect()} == {1: True, 2: False}
+
+
+def test_sentence_chunks_carry_words_and_pages(spark):
+    body = " ".join(f"Sentence number {i} says a few words." for i in range(200))
+    got = chunking.sentence_page_chunks(spark.createDataFrame([(1, body), (2, None), (3, "Short.")], "doc_id long, text string")).orderBy("doc_id", "chunk_index").collect()
+    one = [r for r in got if r["doc_id"] == 1]
+    assert all(len(r["content"]) <= 1200 for r in one) and [r["page_number"] for r in one] == sorted(r["page_number"] for r in one) and one[-1]["page_number"] == 3
+    assert one[1]["content"].startswith(" ".join(one[0]["content"].split(" ")[-20:])[:30])
+    assert [(r["page_number"], r["content"]) for r in got if r["doc_id"] == 3] == [(1, "Short.")] and not any(r["doc_id"] == 2 for r in got)
+
+
+def test_question_sets(spark, tmp_path):
+    (tmp_path / "q.json").write_text('[\n {"id": 1, "question": "a"},\n {"id": 2, "question": "b"}\n]')
+    assert [(r["id"], r["question"]) for r in files.question_sets(spark, str(tmp_path)).orderBy("id").collect()] == [(1, "a"), (2, "b")]
+
+
+def test_templates(spark):
+    cited = spark.createDataFrame([(1, 1, "n", "Art. 5", "t1"), (2, 1, "n", "r1", "x"), (2, 2, "m", "r2", "y")], "query_id long, citation_index long, document_name string, reference string, content string")
+    legal = {r["query_id"]: r["answer"] for r in answers.templated(cited, "legal").collect()}
+    assert legal == {1: 'Conform Art. 5: "t1"', 2: 'Conform prevederilor citate:\n\n[1] r1: "x"\n\n[2] r2: "y"'}
