@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon, text, vector
 
 
+#: Most queries of one batch that is sent to all tasks; larger batches are asked in blocks of about this size.
+QUERY_BLOCK = 2_000
+
+
+def in_blocks(queries: DataFrame, ask: Callable[[DataFrame], DataFrame], block: int = QUERY_BLOCK) -> DataFrame:
+    """``ask`` of every query: the batch goes to all tasks, in as many blocks as its counted size takes."""
+    blocks = max(1, -(-queries.count() // block))
+    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, [ask(F.broadcast(part)) for part in parts])
+
+
 def numbered(df: DataFrame, most: int, *order: Column, name: str = "place") -> DataFrame:
     """The first ``most`` rows in order, numbered; each task sends its own first rows only."""
     page = df.orderBy(*order).limit(most)
@@ -37,24 +51,25 @@ def query_variants(queries: DataFrame, most: int = 6, synonyms: dict[str, tuple[
 def keyword_candidates(paragraphs: DataFrame, queries: DataFrame, score: float | None = None) -> DataFrame:
     """Paragraphs that hold a term of a query: ``query_id, doc_id, paragraph_number, content, hits, score``.
 
-    ``queries`` is a batch of bounded size with an array ``terms``.  Without a
-    fixed score a candidate scores the share of the terms that it holds.
+    ``queries`` has an array ``terms``.  A paragraph is put in lower case once
+    and looked through once for each query.  Without a fixed score a candidate
+    scores the share of the terms that it holds.
     """
-    low = F.lower("content")
-    joined = paragraphs.join(F.broadcast(queries.select("query_id", "terms")), F.exists("terms", lambda t: F.contains(low, t)))
-    hits = F.size(F.filter("terms", lambda t: F.contains(low, t)))
-    value = F.lit(score) if score is not None else hits / F.size("terms")
-    return joined.select("query_id", "doc_id", "paragraph_number", "content", hits.cast("long").alias("hits"), value.cast("double").alias("score"))
+    hits = F.size(F.filter("terms", lambda t: F.contains("low", t)))
+    value = F.lit(score) if score is not None else F.col("hits") / F.size("terms")
+    lowered = paragraphs.withColumn("low", F.lower("content"))
+    joined = in_blocks(queries.select("query_id", "terms"), lambda q: lowered.join(q).withColumn("hits", hits.cast("long")).where("hits > 0"))
+    return joined.select("query_id", "doc_id", "paragraph_number", "content", "hits", value.cast("double").alias("score"))
 
 
 def vector_topk(points: DataFrame, queries: DataFrame, k: int, least: float = -1.0, metric: str = "cosine") -> DataFrame:
     """The ``k`` best points of each query: ``query_id, point_id, score, rank``.
 
-    Queries are a bounded batch and go to all tasks; every point is scored, and
-    each task keeps its own best before the shuffle.
+    Queries go to all tasks, block by block; every point is scored, and each task
+    keeps its own best before the shuffle.
     """
     measure = vector.cosine if metric == "cosine" else lambda a, b: -vector.euclidean(a, b)
-    pairs = points.select("point_id", "embedding").join(F.broadcast(queries.select("query_id", F.col("embedding").alias("wanted"))))
+    pairs = in_blocks(queries.select("query_id", F.col("embedding").alias("wanted")), lambda q: points.select("point_id", "embedding").join(q))
     scored = pairs.select("query_id", "point_id", F.round(measure(F.col("wanted"), F.col("embedding")), 6).alias("score")).where(F.col("score") >= least)
     return rank_by(scored, ["query_id"], F.desc("score"), F.col("point_id"), most=k)
 
@@ -103,6 +118,6 @@ def citations(candidates: DataFrame, names: DataFrame, most: int, least: float =
 
     Documents that are not known are called ``Unknown``.
     """
-    named = candidates.where(F.col("score") >= least).join(names.select("doc_id", "document_name"), "doc_id", "left")
-    named = named.withColumn("document_name", F.coalesce("document_name", F.lit("Unknown")))
-    return rank_by(named, ["query_id"], F.desc("score"), F.col("doc_id"), F.col("paragraph_number"), most=most, name="citation_index")
+    cited = rank_by(candidates.where(F.col("score") >= least), ["query_id"], F.desc("score"), F.col("doc_id"), F.col("paragraph_number"), most=most, name="citation_index")
+    named = cited.join(names.select("doc_id", "document_name"), "doc_id", "left")
+    return named.withColumn("document_name", F.coalesce("document_name", F.lit("Unknown")))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.operators import answers, chunking, ops, quiz, tables, understanding
+from docengine.operators import answers, chunking, ops, quiz, retrieval, tables, understanding
 from docengine.sources import files, web
 
 
@@ -108,3 +108,12 @@ def test_templates(spark):
     cited = spark.createDataFrame([(1, 1, "n", "Art. 5", "t1"), (2, 1, "n", "r1", "x"), (2, 2, "m", "r2", "y")], "query_id long, citation_index long, document_name string, reference string, content string")
     legal = {r["query_id"]: r["answer"] for r in answers.templated(cited, "legal").collect()}
     assert legal == {1: 'Conform Art. 5: "t1"', 2: 'Conform prevederilor citate:\n\n[1] r1: "x"\n\n[2] r2: "y"'}
+
+
+def test_queries_in_blocks_give_the_same_rows(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [1.0, i / 7.0]) for i in range(30)], "point_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [i / 3.0, 1.0]) for i in range(7)], "query_id long, embedding array<double>")
+    whole = sorted(map(tuple, retrieval.vector_topk(points, queries, 3).collect()))
+    monkeypatch.setattr(retrieval.in_blocks, "__defaults__", (2,))
+    assert sorted(map(tuple, retrieval.vector_topk(points, queries, 3).collect())) == whole
+    assert retrieval.vector_topk(points, queries.limit(0), 3).count() == 0
