@@ -138,7 +138,9 @@ def mix(docs: DataFrame, weigh: Callable[[list], list[float]], sources: Column,
 
     A null or empty text has size 0 and is never taken.  Repeated rows are
     documents of their own, ordered by id and size, and equal ones are
-    interchangeable.  Other columns are not read.  Reruns give the same rows.
+    interchangeable.  A null id is drawn like any other and reported as null; an
+    empty table gives an empty result.  Other columns are not read.  Reruns give
+    the same rows.
     The sums per pattern go to the driver, which checks that there are at most
     ``max_patterns`` of them.
     """
