@@ -95,7 +95,7 @@ def corpus_words(docs: DataFrame, most: int, text_col: str = "text") -> DataFram
     words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD), F.lit(0))).alias("word"))
     counts = words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).where("n > 1")
     counts = Scratch(docs.sparkSession, "words").save(counts, "counts")
-    fixed = docs.sparkSession.createDataFrame([(w,) for w in DICTIONARY if len(w) > 3], "word string")
+    fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in DICTIONARY if len(w) > 3])).alias("word"))
     return frequent_rows(counts, "n", most).select("word").unionByName(fixed).distinct()
 
 
