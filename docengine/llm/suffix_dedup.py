@@ -233,7 +233,10 @@ def _mark_covered(extra: list[str]) -> Callable[[Batches], Batches]:
             smallest = block["doc"][first]
             if _pair_at(block, 0) == last:
                 smallest[0] = low
-            yield _batch({c: block[c] for c in names} | {"covered": block["doc"] > smallest[of]})
+            covered = block["doc"] > smallest[of]
+            # the other contexts of a covered row are needed no more
+            block |= {c: np.where(covered, 0, block[c]) for c in ("right", "left") if c in block}
+            yield _batch({c: block[c] for c in names} | {"covered": covered})
             last, low = _pair_at(block, -1), smallest[-1]
 
     return run
