@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.llm.common import Scratch
+
 #: Hexadecimal digits of a digest in a draw: 52 bits, which a double holds.
 DIGITS = 13
 
@@ -111,6 +113,8 @@ def place(docs: DataFrame, tree: Iterable[Shard], grown: Iterable[Shard], id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (bytes_of + 8).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"))
     same = ["doc_id", "size", "text_crc32"]
     counted = rows.groupBy(*same).agg(F.count("*").alias("n"))
+    # Written once, narrow, so that the texts are read once.
+    counted = Scratch(docs.sparkSession, "shards").save(counted, "counted")
     counted = counted.withColumns({"shard": descend(F.col("doc_id"), tree), "bin": (F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in same])), 1, 8), 16, 10).cast("long") % bins).cast("int")})
 
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
