@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon, similarity, text
-from docengine.operators import retrieval
+from docengine.operators import patterns, retrieval
 
 #: Stems by which a question asks for bans or duties, without accents. Fixed values.
 BAN_STEMS = ("interdicti", "interzis", "obligatii", "obligatoriu")
@@ -196,9 +196,8 @@ def restricted(spark: SparkSession) -> DataFrame:
 
 
 def held_pieces(pieces: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Those of a bounded table of pieces that some paragraph holds; each task finds its own first."""
-    low = F.lower("content")
-    return paragraphs.select(low.alias("low")).join(F.broadcast(pieces.distinct()), F.contains("low", F.col("piece"))).select("piece").distinct()
+    """Those pieces that some paragraph holds, case aside; all are looked for in one pass."""
+    return patterns.count_patterns(paragraphs, F.lower("content"), pieces.withColumnRenamed("piece", "pattern")).select(F.col("pattern").alias("piece"))
 
 
 def route_quiz(options: DataFrame, paragraphs: DataFrame, least_margin: float = 2, least_confidence: float = 75) -> DataFrame:
@@ -350,10 +349,12 @@ def templated(cited: DataFrame, style: str) -> DataFrame:
 def numeric_in_context(options: DataFrame, paragraphs: DataFrame, confidence: int = 98) -> DataFrame:
     """The first option of each question whose number, unit and keyword some sentence holds together: ``question_id, letter, confidence``.
 
-    ``options``, a bounded set: ``question_id, letter, value, unit, keyword``.
+    ``options``: ``question_id, letter, value, unit, keyword``.  Sentences are
+    searched for all numbers at once and joined with the options of what they hold.
     """
     s = paragraphs.select(F.explode(F.split(F.lower("content"), "[.!?]+")).alias("s"))
+    near = patterns.find_patterns(s, F.col("s"), options.select(F.col("value").alias("pattern"))).withColumnRenamed("pattern", "value")
     number = F.concat(F.lit("(^|[^0-9])"), "value", F.lit("([^0-9]|$)"))
-    hits = s.join(F.broadcast(options), F.contains("s", F.col("value")) & F.contains("s", F.col("unit")) & F.contains("s", F.col("keyword")) & F.call_function("rlike", F.col("s"), number))
+    hits = near.join(options, "value").where(F.contains("s", F.col("unit")) & F.contains("s", F.col("keyword")) & F.call_function("rlike", F.col("s"), number))
     first = hits.groupBy("question_id").agg(F.min("letter").alias("letter"))
     return first.withColumn("confidence", F.lit(confidence).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import confidence, lexicon, numeric, similarity, text, vector
-from docengine.operators import retrieval
+from docengine.operators import cells, retrieval, trigrams
 from docengine.plans.questions import QUESTION_VALUES, questions
 from docengine.plans.registry import query, sql_list
 from docengine.sources.tables import PARAGRAPHS_SQL, paragraphs, table
@@ -23,7 +23,9 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieval.keyword_candidates(paragraphs(table(spark, sf, "documents")), _queries(spark))
+    """The paragraphs that hold a term of a question, by the index of trigrams that all these queries share."""
+    docs = table(spark, sf, "documents")
+    found = trigrams.keyword_candidates(trigrams.open_index(docs, sf), docs, _queries(spark))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -218,6 +220,37 @@ def euclidean_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.vector_topk(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "point_id"), _axes(spark), 10, least=-1e9, metric="euclidean")
 
 
+_OWN = "a as (select vec_id as query_id, embedding::double[] as wanted from embeddings where vec_id % 50 = 0)"
+
+
+def _own_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The query vectors of the cell searches: every fiftieth point."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _cells(spark: SparkSession, sf: str) -> cells.Cells:
+    return cells.open_cells(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "point_id"), sf)
+
+
+@query(
+    "cells_topk",
+    f"""with {_OWN}, s as (select query_id, vec_id as point_id, round(list_cosine_similarity(wanted, embedding::double[]), 6) as score from embeddings, a),
+    r as (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from s) select * from r where rank <= 10""",
+)
+def cells_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.topk(_cells(spark, sf), _own_vectors(spark, sf), 10)
+
+
+@query(
+    "cells_filtered_topk",
+    f"""with {_OWN}, s as (select query_id, vec_id as point_id, round(list_cosine_similarity(wanted, embedding::double[]), 6) as score from embeddings, a where label in (1, 3, 5) and vec_id % 2 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from s where score >= 0.1) select * from r where rank <= 5""",
+)
+def cells_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """A payload filter and a least score, before the top k."""
+    return cells.topk(_cells(spark, sf), _own_vectors(spark, sf), 5, least=0.1, where=F.col("label").isin(1, 3, 5) & (F.col("point_id") % 2 == 0))
+
+
 @query("l2_normalize", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: abs(x))) / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as l1 from embeddings")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("vec_id", vector.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.text import words_of
-from docengine.operators import quiz, tables
+from docengine.operators import patterns, quiz, tables
 from docengine.plans.registry import query
 from docengine.sources import sinks, web
 from docengine.sources.tables import PARAGRAPHS_SQL, paragraphs, table
@@ -75,24 +75,98 @@ def table_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The captioned tables of all documents and, as plain text, all pages (their ids below zero)."""
+    """The captioned tables of all documents and, as plain text, all pages (their ids below zero), planted ones behind each."""
     pages = table(spark, sf, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ").alias("text"))
-    return tables.extract(table(spark, sf, "documents").select("doc_id", "text").unionByName(pages))
+    texts = table(spark, sf, "documents").select("doc_id", "text").unionByName(pages)
+    return tables.extract(texts.select("doc_id", tables.with_planted(F.col("text"), F.pmod("doc_id", F.lit(9)) + 1).alias("text")))
+
+
+def _columns_sql(x: str) -> str:
+    """``tables.columns_of``."""
+    cut = rf"case when contains({x}, chr(9)) then string_split({x}, chr(9)) when regexp_matches({x}, '\s{{3,}}') then regexp_split_to_array({x}, '\s{{3,}}') when contains({x}, '|') then string_split({x}, '|') else regexp_split_to_array({x}, '\s{{2,}}') end"
+    return f"list_filter(list_transform({cut}, lambda c: trim(c, ' ')), lambda c: c <> '')"
+
+
+_BLANKS_SQL = "' ' || chr(9) || chr(13) || chr(12)"
+_DATA_SQL = rf"(regexp_matches(x, '\d') or contains(x, chr(9)) or regexp_matches(x, '\s{{3,}}')) and len({_columns_sql('x')}) >= 2"
+_SHORT_SQL = f"length(x) < {tables.HEADER_CHARS} and regexp_matches(x, '[A-ZĂÎȘȚÂ]')"
+_TABLES_SQL = f"""given as (
+        select doc_id, "text" from documents union all select -page_id - 1, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') from pages
+    ), planted as (select doc_id, coalesce("text", '') || replace('{tables.PLANTED.replace(chr(10), "' || chr(10) || '").replace(chr(9), "' || chr(9) || '")}', '{{n}}', cast((doc_id % 9 + 9) % 9 + 1 as varchar)) as body from given),
+    found as (select doc_id, body, regexp_extract_all(body, '{tables.BLOCK}') as bs, regexp_split_to_array(body, '{tables.BLOCK}') as gaps from planted),
+    each as (select doc_id, body, bs[k] as block, list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(bs[1:k - 1], lambda g: length(g))), 0) as start from found, range(1, len(bs) + 1) as r(k)),
+    named as (
+        select doc_id, block, 'Tabelul ' || regexp_extract(block, '{tables.BLOCK}', 1) as table_number, regexp_extract_all(substr(body, 1, cast(start as bigint)), '{tables.PAGE}', 1) as marks, start,
+               trim(regexp_extract(block, '{tables.TITLE}', 1), {_BLANKS_SQL}) as t
+        from each
+    ), titled as (select *, case when t = '' then 'Tabel ' || table_number else t end as title, cast(coalesce(cast(marks[-1] as bigint), start // {tables.PAGE_CHARS} + 1) as bigint) as page_number from named),
+    lined as (select *, list_filter(list_transform(string_split(block, chr(10)), lambda x: trim(x, {_BLANKS_SQL})), lambda x: x <> '' and not regexp_matches(x, '{tables.CAPTION}') and x <> title) as lines from titled),
+    placed as (select *, list_position(list_transform(lines, lambda x: not ({_SHORT_SQL}) and {_DATA_SQL}), true) as first from lined),
+    cut as (
+        select *, flatten(list_transform(list_filter(case when first > 0 then lines[1:first - 1] else lines end, lambda x: {_SHORT_SQL}), lambda x: {_columns_sql("x")})) as own,
+               list_transform(list_filter(case when first > 0 then lines[first:] else [] end, lambda x: {_DATA_SQL}), lambda x: {_columns_sql("x")}) as rows_
+        from placed
+    ), tabs as (
+        select doc_id, table_number, title, page_number, case when len(own) > 0 then own else list_transform(range(1, case when len(rows_) > 0 then len(rows_[1]) else 2 end + 1), lambda i: 'Coloana ' || i) end as headers,
+               rows_, substr(block, 1, {tables.RAW_CHARS}) as raw_text
+        from cut
+    )"""
+
+#: What is asked of the tables.
+TABLE_QUERIES = ((1, "tabelul 3.1"), (2, "sectiunea conductoarelor"), (3, "curent cupru 16 valoare"))
 
 
-@query("table_search")
+@query(
+    "table_extract",
+    f"""with {_TABLES_SQL} select doc_id, table_number, title, page_number, array_to_string(headers, ';') as headers, array_to_string(list_transform(rows_, lambda r: array_to_string(r, ';')), chr(10)) as "rows", sha256(raw_text) as raw_sha from tabs""",
+)
+def table_extract(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.array_join(F.transform("rows", lambda r: F.array_join(r, ";")), "\n")
+    return _tables(spark, sf).select("doc_id", "table_number", "title", "page_number", F.array_join("headers", ";").alias("headers"), lines.alias("rows"), F.sha2("raw_text", 256).alias("raw_sha"))
+
+
+@query(
+    "table_search",
+    rf"""with {_TABLES_SQL}, q(query_id, low) as (values {", ".join(f"({i}, '{t}')" for i, t in TABLE_QUERIES)}),
+    w as (select *, list_filter(regexp_split_to_array(low, '\s+'), lambda x: length(x) > 2) as ws from q),
+    s as (
+        select query_id, doc_id, table_number, title, page_number, raw_text,
+               case when contains(lower(table_number), low) then 50 else 0 end + case when contains(lower(title), low) then 30 else 0 end
+               + 10 * coalesce(list_sum(list_transform(headers, lambda h: len(list_filter(ws, lambda x: contains(lower(h), x))))), 0)
+               + 5 * coalesce(list_sum(list_transform(flatten(rows_), lambda h: len(list_filter(ws, lambda x: contains(lower(h), x))))), 0)
+               + case when contains(lower(raw_text), low) then 3 else 0 end as score
+        from tabs, w
+    ), r as (select *, row_number() over (partition by query_id order by score desc, doc_id, table_number, page_number, raw_text) as rank from s where score > 0)
+    select cast(query_id as bigint) as query_id, doc_id, table_number, title, cast(score as bigint) as score, rank from r where rank <= 10""",
+)
 def table_search(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.search(_tables(spark, sf), "tabelul 3.1 sectiune conductor").select("doc_id", "table_number", "title", "score")
+    asked = spark.createDataFrame(list(TABLE_QUERIES), "query_id long, query string")
+    return tables.search(_tables(spark, sf), asked).select("query_id", "doc_id", "table_number", "title", "score", "rank")
 
 
-@query("table_lookup")
+@query(
+    "table_lookup",
+    rf"""with {_TABLES_SQL}, n as (select *, list_position(list_transform(headers, lambda h: contains(lower(h), 'sectiune')), true) as at_ from tabs where regexp_replace(lower(table_number), '\s', '', 'g') = 'tabelul3.1'),
+    v as (select *, list_filter(list_transform(list_filter(rows_, lambda r: len(list_filter(r, lambda c: contains(lower(c), '16'))) > 0), lambda r: case when at_ > 0 and at_ <= len(r) then r[at_] else list_filter(r, lambda c: not contains(lower(c), '16'))[1] end), lambda x: x is not null) as vs from n)
+    select doc_id, table_number, page_number, case when at_ > 0 then vs[1] end as "value", v2 as other from v, lateral (select list_filter(list_transform(list_filter(rows_, lambda r: len(list_filter(r, lambda c: contains(lower(c), 'priza'))) > 0), lambda r: list_filter(r, lambda c: not contains(lower(c), 'priza'))[1]), lambda x: x is not null)[1] as v2)""",
+)
 def table_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.cell(_tables(spark, sf), "3.1", row="16", column="Sectiune").select("doc_id", "table_number", "value")
+    """A value by row and column, and one by its row alone."""
+    named = tables.cell(_tables(spark, sf), "tabelul 3.1", row="16", column="Sectiune")
+    return tables.cell(named.withColumnRenamed("value", "by_column"), "Tabelul 3.1", row="priza").select("doc_id", "table_number", "page_number", F.col("by_column").alias("value"), F.col("value").alias("other"))
 
 
-@query("table_markdown")
+@query(
+    "table_markdown",
+    f"""with {_TABLES_SQL}, n as (select t.*, coalesce(d.source, '-') as document_name from tabs t left join documents d using (doc_id))
+    select doc_id, table_number, sha256('**' || table_number || '**' || chr(10) || title || chr(10) || '📄 Pagina ' || page_number || ' din ' || document_name || chr(10) || chr(10) ||
+        case when len(rows_) = 0 then substr(raw_text, 1, 500) || '...' || chr(10) else '| ' || array_to_string(headers, ' | ') || ' |' || chr(10) || '|' || array_to_string(list_transform(headers, lambda h: '---'), '|') || '|' || chr(10)
+        || array_to_string(list_transform(rows_[1:20], lambda r: '| ' || array_to_string(r, ' | ') || ' |' || chr(10)), '') end) as shown_sha from n""",
+)
 def table_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return _tables(spark, sf).select("doc_id", "table_number", tables.markdown().alias("markdown"))
+    names = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("document_name"))
+    named = _tables(spark, sf).join(names, "doc_id", "left").withColumn("document_name", F.coalesce("document_name", F.lit("-")))
+    return named.select("doc_id", "table_number", F.sha2(tables.display(), 256).alias("shown_sha"))
 
 
 @query("status_report", "select '| status | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderstatus || ' | ' || n || ' |', chr(10) order by o_orderstatus) as markdown from (select o_orderstatus, count(*) as n from orders group by 1)")
@@ -122,14 +196,59 @@ def quiz_numeric(spark: SparkSession, sf: str) -> DataFrame:
 )
 def quiz_keyword(spark: SparkSession, sf: str) -> DataFrame:
     """The option whose words the whole corpus holds most often, with its lead over the next."""
-    options = quiz.options(quiz.sample_questions(spark)).select("question_id", "letter", F.array_distinct(F.filter(words_of(F.lower("option")), lambda w: F.char_length(w) > 3)).alias("ws"))
-    low = F.lower("content")
-    hits = paragraphs(table(spark, sf, "documents")).join(F.broadcast(options)).select("question_id", "letter", F.size(F.filter("ws", lambda w: F.contains(low, w))).alias("hits"))
-    scored = hits.groupBy("question_id", "letter").agg(F.sum("hits").alias("score"))
+    words = F.array_distinct(F.filter(words_of(F.lower("option")), lambda w: F.char_length(w) > 3))
+    options = quiz.options(quiz.sample_questions(spark)).select("question_id", "letter", F.explode_outer(words).alias("pattern"))
+    found = patterns.count_patterns(paragraphs(table(spark, sf, "documents")), F.lower("content"), options.select("pattern"))
+    scored = options.join(found, "pattern", "left").groupBy("question_id", "letter").agg(F.coalesce(F.sum("n_texts"), F.lit(0)).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "letter")
     return scored.withColumns({"margin": F.col("score") - F.lead("score").over(w), "n": F.row_number().over(w)}).where("n = 1").drop("n")
 
 
+def _part_options(spark: SparkSession, sf: str) -> DataFrame:
+    """A question for each part: is its size half a step more, the size itself, or its last digit in seconds?"""
+    options = F.array(
+        F.struct(F.lit("a").alias("letter"), F.concat(F.col("p_size").cast("string"), F.lit(",5 A")).alias("option")),
+        F.struct(F.lit("b").alias("letter"), F.concat(F.col("p_size").cast("string"), F.lit(" a sau "), F.col("p_partkey").cast("string"), F.lit(" kV")).alias("option")),
+        F.struct(F.lit("c").alias("letter"), F.concat((F.col("p_size") % 10).cast("string"), F.lit("sec")).alias("option")),
+    )
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), F.explode(options).alias("o")).select("question_id", "o.*")
+
+
+@query(
+    "quiz_option_values",
+    """with v as (
+        select p_partkey as question_id, 'a' as letter, 'A' as unit, p_size || '.5' as "value", 0 as place from part
+        union all select p_partkey, 'b', 'kV', cast(p_partkey as varchar), 0 from part union all select p_partkey, 'b', 'A', cast(p_size as varchar), 1 from part
+        union all select p_partkey, 'c', 's', cast(p_size % 10 as varchar), 0 from part)
+    select question_id, letter, unit, "value", cast(place as bigint) as place from v""",
+)
+def quiz_option_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers with units of all options, unit by unit."""
+    return patterns.option_values(_part_options(spark, sf))
+
+
+@query(
+    "quiz_first_number",
+    rf"""with {PARAGRAPHS_SQL}, low as (select distinct lower(content) as t from p), sizes as (select distinct p_size as n from part),
+    v as (
+        select n || '.5' as "value", 'A' as unit, '(' || n || '\.?5|' || n || ',5|' || (n + 1) || ')\s*a([^a-z0-9_]|$)' as re from sizes
+        union all select cast(n as varchar), 'A', n || '\s*a([^a-z0-9_]|$)' from sizes
+        union all select distinct cast(n % 10 as varchar), 's', (n % 10) || '(\s*s([^a-z0-9_]|$)|\s*sec)' from sizes
+        union all select cast(p_partkey as varchar), 'kV', p_partkey || '\s*kv' from part
+    ), digits as (select t from low where regexp_matches(t, '\d\s*(a([^a-z0-9_]|$)|s([^a-z0-9_]|$)|sec|kv)')),
+    h as (select distinct "value", unit from v, digits where regexp_matches(t, re)),
+    o as (
+        select p_partkey as question_id, 'a' as letter, 0 as place, p_size || '.5' as "value", 'A' as unit from part
+        union all select p_partkey, 'b', 0, cast(p_partkey as varchar), 'kV' from part union all select p_partkey, 'b', 1, cast(p_size as varchar), 'A' from part
+        union all select p_partkey, 'c', 0, cast(p_size % 10 as varchar), 's' from part
+    ), r as (select o.*, row_number() over (partition by question_id order by letter, place) as n from o join h using ("value", unit))
+    select question_id, letter, "value", unit, cast({patterns.NUMERIC_CONFIDENCE} as bigint) as confidence from r where n = 1""",
+)
+def quiz_first_number(spark: SparkSession, sf: str) -> DataFrame:
+    """The first option of each question whose number the documents hold with its unit."""
+    return patterns.first_numeric_hit(_part_options(spark, sf), paragraphs(table(spark, sf, "documents")), F.col("content"))
+
+
 @query("quiz_answer_parse")
 def quiz_answer_parse(spark: SparkSession, sf: str) -> DataFrame:
     return quiz.parse_answers(quiz.sample_answers(spark))

@@ -74,7 +74,7 @@ def test_numeric_answers_count_all_evidence(spark):
 def test_column_order_and_captions(spark):
     assert [r[0] for r in spark.createDataFrame([("a | b   c | d",), ("a|b",), ("a  b",)], "l string").select(tables.columns_of(F.col("l"))).collect()] == [["a | b", "c | d"], ["a", "b"], ["a", "b"]]
     found = tables.extract(spark.createDataFrame([(1, "TABELUL 2.1 - x\nA\tB\n1\t2\n")], "doc_id long, text string")).collect()
-    assert [r["table_number"] for r in found] == ["2.1"]
+    assert [r["table_number"] for r in found] == ["Tabelul 2.1"]
 
 
 def test_clarification_reasons(spark):
