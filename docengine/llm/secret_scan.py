@@ -210,9 +210,9 @@ def train_filter(findings: DataFrame, words: DataFrame, settings: Settings = Set
     """A forest from at most ``settings.findings`` labelled findings, those with the smallest seeded hash."""
     rows = findings.where("candidate is not null and secret is not null")
     rows = rows.orderBy(F.xxhash64(F.lit(settings.seed), "candidate", "before"), "candidate").limit(settings.findings)
-    # written once: the forest reads its rows many times, and each reading would build the dictionary's table anew
-    rows = Scratch(findings.sparkSession, "findings").save(with_coverage(rows, words), "findings")
-    rows = with_features(rows).select("features", F.col("secret").cast("double").alias("secret")).coalesce(4)
+    # Features are written once: the forest reads its rows many times, and each reading would plan and compile all of this anew.
+    rows = with_features(with_coverage(rows, words)).select("features", F.col("secret").cast("double").alias("secret"))
+    rows = Scratch(findings.sparkSession, "findings").save(rows.coalesce(4), "features")
     return RandomForestClassifier(labelCol="secret", numTrees=settings.trees, maxDepth=settings.depth, seed=settings.seed).fit(rows)
 
 
