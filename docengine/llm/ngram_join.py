@@ -373,14 +373,34 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id`` (the smallest id reachable by links, its own included).
 
     Repeated rows are equal sets, hence one component.  Rows that share an id
-    count as one document.  A row with a null id gets the component of its
+    are one document: each row has its own size, and what is like one of them is
+    in the component of all.  A row with a null id gets the component of its
     equals, or null.  Other columns are not read; an empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
+    repeated = texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.limit(1).count():
+        return _join_unique(texts, width, scratch)
+    # Rows have numbers of their own while they are compared; ids unite them afterwards.
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    placed = texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+    placed = scratch.save(placed, "rows")
+    found = _join_unique(placed.select(F.col("row").alias("doc_id"), "text"), width, scratch).withColumnRenamed("doc_id", "row")
+    found = scratch.save(found.join(placed.where("row is not null").select("row", "doc_id"), "row", "left").select("doc_id", "n_shingles", F.col("component_id").alias("own")), "found")
+    least = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("own").alias("a"), F.max("own").alias("z")).where("a < z").select("doc_id", "a")
+    edges = found.join(least, "doc_id").where("own <> a").select("a", F.col("own").alias("b")).distinct()
+    united = connected_components(edges, scratch).select(F.col("id").alias("own"), "label")
+    groups = found.where("own is not null").groupBy("own").agg(F.min("doc_id").alias("smallest")).join(united, "own", "left").withColumn("label", F.coalesce("label", "own"))
+    smallest = groups.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    named = groups.select("own", "label").join(smallest, "label").select("own", "component_id")
+    return found.join(named, "own", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _join_unique(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The join of ``doc_id, text`` whose ids, but for nulls, are different."""
+    spark = texts.sparkSession
     passed = scratch.save(texts.mapInArrow(_first_pass(width), _FIRST), "first")
     counted = passed.where("token is not null").groupBy("token").agg(F.sum("rows").alias("rows"))
     frequent = most_frequent(counted, "token", "rows", FREQUENT)

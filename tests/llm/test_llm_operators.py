@@ -145,6 +145,29 @@ def test_ngram_join_of_many_near_copies(spark):
     assert [got[i]["component_id"] for i in range(len(data))] == [find(i) for i in range(len(data))]
 
 
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60, 9_000) for _ in range(4))
+    near = lambda text: text + f" w{rng.randrange(10**6)}"
+    data = [(1, a), (1, b), (2, near(b)), (3, near(a)), (4, c), (5, near(c)), (5, d), (6, near(d)), (6, near(d)), (7, None), (7, ""), (8, f"{b} {a}"), (1, f"{b} {a}"), (None, near(c)), (None, c), (9, prose(rng, 3)), (9, None)]
+    data += [(rng.randrange(20, 30), near(rng.choice([prose(rng, 40, 9_000), c]))) for _ in range(25)]
+    sets = [shingle_set(t) for _, t in data]
+    parent = {i: i for i, _ in data if i is not None}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for (i, _), s in zip(data, sets, strict=True):
+        for (j, _), t in zip(data, sets, strict=True):
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    got = Counter(map(tuple, ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()))
+    equal = lambda s: [find(i) for (i, _), t in zip(data, sets, strict=True) if i is not None and t == s and s]
+    want = Counter((i, len(s), find(i) if i is not None else min(equal(s), default=None)) for (i, _), s in zip(data, sets, strict=True))
+    assert got == want
+
+
 @pytest.mark.parametrize(("hot_rows", "open_rows"), [(2, 1), (6, 3), (10, 2_000), (50_000, 2)])
 def test_ngram_join_at_hot_tokens(spark, monkeypatch, hot_rows, open_rows):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", hot_rows)
