@@ -35,16 +35,25 @@ RESISTANCE = r"(?iu)rezisten[aă]\s+prizei|priz[aă]\s+de\s+p[aă]m[aâ]nt|prote
 AROUND = 100
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often a function of higher order asks for it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def matches(text: Column, pattern: str, *groups: int) -> Column:
     """The matches of a pattern: array of struct(start, stop, groups), places from 0 and without the stop."""
-    gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    stops = running_sums(F.transform(hits, lambda x, i: F.char_length(F.get(gaps, i)) + F.char_length(x)))
-    return F.transform(
-        hits,
-        lambda x, i: F.struct((F.get(stops, i) - F.char_length(x)).cast("int").alias("start"), F.get(stops, i).cast("int").alias("stop"), F.array(*[F.get(p, i) for p in parts]).alias("groups")),
-    )
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
+
+    def placed(p: Column) -> Column:
+        stops = running_sums(F.transform(p["hits"], lambda x, i: F.char_length(F.get(p["gaps"], i)) + F.char_length(x)))
+
+        def one(ends: Column) -> Callable[[Column, Column], Column]:
+            return lambda x, i: F.struct((F.get(ends, i) - F.char_length(x)).cast("int").alias("start"), F.get(ends, i).cast("int").alias("stop"), F.array(*[F.get(p[f"g{g}"], i) for g in groups]).alias("groups"))
+
+        return let(stops, lambda ends: F.transform(p["hits"], one(ends)))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits"), *parts), placed)
 
 
 def number(raw: Column) -> Column:
@@ -73,8 +82,11 @@ def resolved(spans: Column) -> Column:
         places = F.when(free, F.concat(acc["places"], F.array(acc["at"]))).otherwise(acc["places"])
         return F.struct(F.when(free, -s["by"]).otherwise(acc["end"]).alias("end"), places.alias("places"), (acc["at"] + 1).alias("at"))
 
-    chosen = F.aggregate(in_order, nothing, step, lambda acc: acc["places"])
-    return F.transform(chosen, lambda i: F.struct(F.get(in_order, i)["start"].alias("start"), (-F.get(in_order, i)["by"]).alias("stop"), F.get(in_order, i)["rule"].alias("rule"), F.get(in_order, i)["unit"].alias("unit"), F.get(in_order, i)["value"].alias("value")))
+    def chosen(rows: Column) -> Column:
+        own = lambda i: F.struct(F.get(rows, i)["start"].alias("start"), (-F.get(rows, i)["by"]).alias("stop"), F.get(rows, i)["rule"].alias("rule"), F.get(rows, i)["unit"].alias("unit"), F.get(rows, i)["value"].alias("value"))
+        return F.transform(F.aggregate(rows, nothing, step, lambda acc: acc["places"]), own)
+
+    return let(in_order, chosen)
 
 
 def quiz_values(text: Column) -> Column:

@@ -144,7 +144,7 @@ def with_planted(text: Column, n: Column) -> Column:
 def sample_texts(spark: SparkSession) -> DataFrame:
     """A small text with a tab, a three-space and a pipe table."""
     text = (
-        "pag. 12\nTabelul 3.1. Sectiunea conductoarelor\nCurent\tSectiune\tMaterial\n10\t1.5\tCu\n16\t2.5\tCu\n\n"
+        "pag. 12\nTabelul 3.1. Sectiunea conductoarelor\nCurent\tSectiune\tMaterial\n10\t1.5\tcupru\n16\t2.5\tcupru\n\n"
         "Tabelul 3.2: Distante minime\nTip   Distanta   Inaltime\npriza   30   120\ntablou   50   160\n\n"
         "Tabelul 4.1.2 - Protectii\nNume | Valoare\nddr | 30 mA\nsiguranta | 16 A\n"
     )

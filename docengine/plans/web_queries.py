@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docengine.functions import spans
 from docengine.functions.text import words_of
 from docengine.operators import patterns, quiz, tables
 from docengine.plans.registry import query
@@ -249,6 +250,78 @@ def quiz_first_number(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.first_numeric_hit(_part_options(spark, sf), paragraphs(table(spark, sf, "documents")), F.col("content"))
 
 
+#: Quantities in a sentence behind a text; ``{n}`` is filled in.
+QUANTITIES = " densitate {n},5 A/mm² la 1{n} A, 0.{n} kV, {n}0 mm2 si {n} metri, {n}s, 4{n} grade C, {n}.2 MΩ, 2{n} ohmi, {n} V"
+#: A bound without a unit, near a word of resistance and far from one.
+BOUNDS = " priza de pamant are cel mult {n} : " + "x" * 120 + " cel mult 9{n} ;"
+_QUANTITIES_SQL = """z as (select doc_id, coalesce("text", '') || replace('{said}', '{{n}}', cast((doc_id % 8 + 8) % 8 + 1 as varchar)) as t from documents)"""
+
+#: The rules' patterns for an engine without look-around: what may not follow is taken along.
+_RULES_SQL = (
+    ("mm²", r"\s*(?:mm[²2]|mm\^2|mm\s*p\s*atrat)"),
+    ("A/mm²", r"\s*(?:A\s*/\s*mm[²2]|A/mm\^2|A\s*pe\s*mm)"),
+    ("kVA", r"\s*kVA"),
+    ("kV", r"\s*kV(?:[^A]|$)"),
+    ("V", r"\s*V(?:[^A-Za-z0-9_]|$)"),
+    ("A", r"\s*A(?:[^A-Za-z0-9_.]|$)"),
+    ("Ω", r"\s*(?:[ΩΩ]|ohmi?|ohms?)"),
+    ("s", r"\s*s(?:[^A-Za-z0-9_]|$)"),
+    ("m", r"\s*(?:m|metri?)(?:[^a-z²2]|$)"),
+    ("°C", r"\s*(?:°C|grade\s*C)"),
+    ("MΩ", r"\s*(?:M[ΩΩ]|Mohm|megaohmi?)"),
+)
+
+
+def _with_quantities(spark: SparkSession, sf: str, said: str) -> DataFrame:
+    n = (F.pmod("doc_id", F.lit(8)) + 1).cast("string")
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.replace(F.lit(said), F.lit("{n}"), n)).alias("t"))
+
+
+@query(
+    "unit_spans",
+    f"with {_QUANTITIES_SQL.format(said=QUANTITIES)}, m as ("
+    + " union all ".join(f"select doc_id, '{unit}' as unit, unnest(regexp_extract_all(t, '(?i)({spans.NUMBER}){tail}', 1)) as raw from z" for unit, tail in _RULES_SQL)
+    + ") select doc_id, unit, count(*) as n, round(sum(cast(replace(raw, ',', '.') as double)), 6) as total from m group by doc_id, unit",
+)
+def unit_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with units by each rule's own reading, with what may not follow; a number may have several."""
+    found = _with_quantities(spark, sf, QUANTITIES).select("doc_id", F.explode(spans.unit_spans(F.col("t"))).alias("s"))
+    return found.groupBy("doc_id", "s.unit").agg(F.count("*").alias("n"), F.round(F.sum("s.value"), 6).alias("total"))
+
+
+#: All rules as one pattern for an engine that takes the first fitting one: longer readings first.
+_ONE_OF_SQL = "|".join(f"({tail})" for _, tail in sorted(_RULES_SQL, key=lambda r: ["A/mm²", "mm²", "kVA", "kV", "MΩ", "Ω", "°C", "m", "V", "A", "s"].index(r[0])))
+_ONE_OF_UNITS = ["A/mm²", "mm²", "kVA", "kV", "MΩ", "Ω", "°C", "m", "V", "A", "s"]
+
+
+@query(
+    "resolved_quantities",
+    f"""with {_QUANTITIES_SQL.format(said=QUANTITIES)}, h as (select doc_id, unnest(regexp_extract_all(t, '(?i){spans.NUMBER}(?:{_ONE_OF_SQL})')) as hit from z),
+    m as (select doc_id, regexp_extract(hit, '^({spans.NUMBER})', 1) as raw, case {" ".join(f"when regexp_matches(hit, '(?i)^{spans.NUMBER}{dict(_RULES_SQL)[u]}$') then '{u}'" for u in _ONE_OF_UNITS)} end as unit from h)
+    select doc_id, unit, count(*) as n, round(sum(cast(replace(raw, ',', '.') as double)), 6) as total from m group by doc_id, unit""",
+)
+def resolved_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with one unit each: of overlapping readings the earliest, the longest, the first rule."""
+    found = _with_quantities(spark, sf, QUANTITIES).select("doc_id", F.explode(spans.resolved(spans.unit_spans(F.col("t")))).alias("s"))
+    return found.groupBy("doc_id", "s.unit").agg(F.count("*").alias("n"), F.round(F.sum("s.value"), 6).alias("total"))
+
+
+@query(
+    "quiz_values",
+    rf"""with {_QUANTITIES_SQL.format(said=BOUNDS)}, m as (select doc_id, unnest(regexp_extract_all(t, '(?i){spans.NUMBER}\s*(?:[ΩΩ]|ohms?|ohmi?|m|mm?[²2]|a|v|ma|kw|cm)')) as hit from z),
+    v as (
+        select doc_id, regexp_extract(hit, '^({spans.NUMBER})', 1) as raw, lower(regexp_extract(hit, '^{spans.NUMBER}\s*(.*)$', 1)) as u from m
+        union all
+        select doc_id_of, b, 'ω' from (select doc_id as doc_id_of, regexp_extract(t, '(?is)priza de pamant.{{0,60}}?cel\s+mult\s+({spans.NUMBER})\s*[:;]', 1) as b from z)
+        where not exists (select 1 from m where m.doc_id = doc_id_of and regexp_matches(hit, '(?i)[ΩΩ]|ohm') and abs(cast(replace(regexp_extract(hit, '^({spans.NUMBER})', 1), ',', '.') as double) - cast(b as double)) < 0.1)
+    ) select doc_id, case when u in ('ω', 'ohm', 'ohms', 'ohmi') then 'Ω' when u = 'mm2' then 'mm²' when u = 'm2' then 'm²' else u end as unit, count(*) as n, round(sum(cast(replace(raw, ',', '.') as double)), 6) as total from v group by 1, 2""",
+)
+def quiz_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with a quiz's units; a bound without one is a resistance where the words around it say so."""
+    found = _with_quantities(spark, sf, BOUNDS).select("doc_id", F.explode(spans.quiz_values(F.col("t"))).alias("s"))
+    return found.groupBy("doc_id", "s.unit").agg(F.count("*").alias("n"), F.round(F.sum("s.value"), 6).alias("total"))
+
+
 @query("quiz_answer_parse")
 def quiz_answer_parse(spark: SparkSession, sf: str) -> DataFrame:
     return quiz.parse_answers(quiz.sample_answers(spark))
