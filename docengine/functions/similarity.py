@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon
-from docengine.functions.text import js_round, whole_word, words_of
+from docengine.functions.text import js_round, let, whole_word, words_of
 
 
 def normalize_citation(text: Column) -> Column:
@@ -22,22 +24,57 @@ def key_terms(text: Column) -> Column:
     return F.array_sort(F.filter(words_of(F.lower(text)), lambda w: (F.char_length(w) > 3) & ~F.array_contains(stop, w)))
 
 
-def edit_similarity(a: Column, b: Column, likely: tuple[float, ...] = (0.95, 0.85)) -> Column:
-    """1 - edit distance / longer length; two empty texts are equal.
+#: Edits within which a distance is looked for, one after the other, before the whole table is filled.
+BANDS = (4, 16, 64, 256, 1024)
+
+
+def _alike(a: Column, b: Column, part: Callable[[Column, Column], Column]) -> Column:
+    """The length of the longest equal ``part`` (first or last letters) of two texts, by halving."""
+    most = F.least(F.char_length(a), F.char_length(b))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        same = part(a, middle) == part(b, middle)
+        return F.struct(F.when(same, middle).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(F.greatest(middle - 1, acc["lo"])).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), most.alias("hi")), halve, lambda acc: acc["lo"])
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein's distance.
 
-    The distance is looked for among the few edits of similar texts first, which
-    costs the length times those edits; only texts farther apart pay for more,
-    and at last for the whole table.  A length difference bounds the distance
-    from below, so bands that cannot hold it are left out.
+    Equal beginnings and endings are cut off first, which settles texts that are
+    cut, lengthened or changed in one place; what is left is looked for within
+    ever more edits, at the cost of its length times those.  A difference of the
+    lengths bounds the distance from below, so bands that cannot hold it are
+    left out.
     """
+
+    def rest(x: Column) -> Column:
+        distance = F.levenshtein(x["a"], x["b"])
+        apart = F.abs(F.char_length(x["a"]) - F.char_length(x["b"]))
+        for most in reversed(BANDS):
+            within = F.when(apart <= most, F.levenshtein(x["a"], x["b"], most))
+            distance = F.coalesce(F.when(within >= 0, within), distance)
+        return F.when((x["a"] == "") | (x["b"] == ""), F.char_length(x["a"]) + F.char_length(x["b"])).otherwise(distance)
+
+    def behind(x: Column) -> Column:
+        tail = lambda y: _alike(y["a"], y["b"], F.right)
+        cut = lambda y, n: F.left(y, F.char_length(y) - n)
+        return let(tail(x), lambda n: let(F.struct(cut(x["a"], n).alias("a"), cut(x["b"], n).alias("b")), rest))
+
+    def both(x: Column) -> Column:
+        skip = lambda y, n: F.substr(y, n + 1)
+        return let(_alike(x["a"], x["b"], F.left), lambda n: let(F.struct(skip(x["a"], n).alias("a"), skip(x["b"], n).alias("b")), behind))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b")), both))
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length; two empty texts are equal."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    apart = F.abs(F.char_length(a) - F.char_length(b))
-    distance = F.levenshtein(a, b)
-    for share in reversed(likely):
-        most = F.floor(longer * (1 - share)).cast("int") + 1
-        within = F.when(apart <= most, F.call_function("levenshtein", a, b, most))
-        distance = F.coalesce(F.when(within >= 0, within), distance)
-    return F.when(longer == 0, 1.0).otherwise(1 - distance / longer)
+    return F.when(longer == 0, 1.0).otherwise(1 - edit_distance(a, b) / longer)
 
 
 def jaccard(a: Column, b: Column) -> Column:

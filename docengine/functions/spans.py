@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docengine.functions.text import running_sums
+from docengine.functions.text import let, running_sums
 
 NUMBER = r"\d+(?:[.,]\d+)?"
 
@@ -35,11 +35,6 @@ RESISTANCE = r"(?iu)rezisten[aă]\s+prizei|priz[aă]\s+de\s+p[aă]m[aâ]nt|prote
 AROUND = 100
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value worked out once, however often a function of higher order asks for it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def matches(text: Column, pattern: str, *groups: int) -> Column:
     """The matches of a pattern: array of struct(start, stop, groups), places from 0 and without the stop."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +45,11 @@ def running_sums(sizes: Column) -> Column:
     return F.aggregate(steps, sizes, step)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often a function of higher order asks for it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def js_round(x: Column) -> Column:
     """Round half up, also below zero."""
     return F.floor(x + 0.5).cast("long")
