@@ -12,6 +12,7 @@ everywhere, which tells a re-parameterised copy from a chance likeness.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -33,11 +34,15 @@ SHORTEST = 5
 #: Benchmark items and bytes in one block, on average: a block's windows are held by every task.
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 4 << 20
 
-#: Share of an item's windows that must line up in a document.
+#: Share of an item's tokens that windows in order must cover in a document, and the windows that this takes (all, where an item has fewer).
 COVERAGE = 0.5
+FEWEST = 3
 
-#: Most tokens by which two windows of an item that follow each other may be nearer or farther in a document.
-DRIFT = 4
+#: Share of the tokens for which two windows are enough.
+MOST_OF_IT = 0.75
+
+#: Tokens by which two windows of an item that follow each other may be nearer or farther in a document, or as many as a longer item has.
+DRIFT = 16
 
 #: Units that follow a number.
 UNITS = (
@@ -171,19 +176,45 @@ class Item:
         self.kind = t.kind[t.base[0][lo:hi]]
         self.values = [t.text(j, 0) for j in range(lo, hi)]
         self.plain = {j - lo1: t.text(j, 1) for j in range(lo1, hi1) if t.kind[j]}
+        self.n_tokens = [hi - lo, hi1 - lo1]
+        first: dict[tuple[int, str], int] = {}
+        same = [first.setdefault((int(k), v), j) if k else -1 for j, (k, v) in enumerate(zip(self.kind, self.values, strict=True))]
+        #: Items of one template: the same tokens and runs, and equal values in the same places.
+        self.template = (t.forms[0][lo:hi].tobytes(), self.base[0].tobytes(), tuple(same))
         self.short = hi1 - lo1 < SHORTEST
+        self.drift = max(DRIFT, hi1 - lo1)
 
     def share(self, windows: list[set[int]]) -> float:
-        """Share of the windows, by the form that has more of them; ``windows``: their begin by form."""
-        return min(1.0, max(len(windows[0]) / self.n_windows[0], len(windows[0] | windows[1]) / self.n_windows[1]))
+        """Share of the tokens under the windows, by the form in which it is larger; 0 for too few windows.
+
+        ``windows``: by form, the form-1 token at which each begins.
+        """
+        best = 0.0
+        for form, begins in enumerate(({int(self.run[b]) for b in windows[0]}, windows[0] | windows[1])):
+            width, under, end = self.widths[form], 0, 0
+            for at in sorted(begins):
+                under += at + width - max(at, end)
+                end = at + width
+            share = min(1.0, under / self.n_tokens[form])
+            if len(begins) >= min(FEWEST, self.n_windows[form]) or (len(begins) > 1 and share >= MOST_OF_IT):
+                best = max(best, share)
+        return best
 
 
 class WindowTable:
-    """The windows of a block of benchmark items, by width and hash."""
+    """The windows of a block of benchmark items, by width and hash.
+
+    Items of one template are a class.  Its first item stands for all of them:
+    windows that several members have are there once, under the first of these,
+    and a value leads to the members that have it in a slot.
+    """
 
     def __init__(self, ids: list[int], texts: list[str]):
         found = defaultdict(list)
         self.items: dict[int, Item] = {}
+        self.first: dict[int, int] = {}  # of each item's class
+        self.members: dict[int, dict[tuple[int, str], set[int]]] = {}  # of each class of several, by slot and value
+        classes: dict[tuple, list[int]] = {}
         at = 0
         for chunk in chunks(pa.array(texts, pa.string())):
             t = Template(chunk)
@@ -193,40 +224,71 @@ class WindowTable:
                 if not t.n_words[i]:
                     continue
                 bounds = [(int(lo[form][i]), int(hi[form][i])) for form in (0, 1)]
-                self.items[at + i] = item = Item(t, bounds)
+                item = Item(t, bounds)
+                own = classes.setdefault(item.template, [])
+                own.append(at + i)
+                self.items[at + i], self.first[at + i] = item, own[0]
                 for form, (begin, end) in enumerate(bounds):
+                    if form == 0 and len(own) > 1:
+                        continue  # the first item's windows
                     width = item.widths[form]
                     hashes = t.windows(width, form)[begin : end - width + 1]
-                    found[width, form].append((hashes, np.full(len(hashes), at + i), np.arange(len(hashes))))
+                    found[width, form].append((hashes, np.full(len(hashes), at + i), np.arange(len(hashes)), np.full(len(hashes), own[0])))
             at += chunk.n_docs
         self.ids = ids
+        for own in classes.values():
+            if len(own) > 1:
+                slots = self.members[own[0]] = defaultdict(set)
+                for number in own:
+                    for j, (kind, value) in enumerate(zip(self.items[number].kind, self.items[number].values, strict=True)):
+                        if kind:
+                            slots[j, value].add(number)
         self.by_form = {}
         for form, parts in found.items():
-            h, item, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            by = np.argsort(h, kind="stable")
-            self.by_form[form] = (h[by], item[by], pos[by])
+            h, item, pos, head = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            by = np.lexsort((item, pos, head, h))
+            h, item, pos, head = h[by], item[by], pos[by], head[by]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (pos[1:] != pos[:-1]) | (head[1:] != head[:-1])
+            self.by_form[form] = (h[new], item[new], pos[new])
+
+    def having(self, number: int, values: dict[int, str]) -> int | None:
+        """The first item of a class that has these values in these slots."""
+        slots = self.members.get(number)
+        if slots is None:
+            return number if all(self.items[number].values[j] == v for j, v in values.items()) else None
+        left: set[int] | None = None
+        for own in sorted((slots.get((j, v), set()) for j, v in values.items()), key=len):
+            left = own if left is None else left & own
+            if not left:
+                return None
+        return number if left is None else min(left)
 
     def __bool__(self) -> bool:
         return bool(self.by_form)
 
 
-def _chains(hits: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """Runs of hits (window in item, token in document) in order: each diagonal, and the longest over neighbouring ones.
+def _chains(hits: list[tuple[int, int]], drift: int) -> Iterator[list[tuple[int, int]]]:
+    """Runs of hits (window in item, token in document) in order: each diagonal, and the longest over several ones.
 
     The second kind ends at the last hit of each diagonal; its steps go from
-    diagonal to diagonal by DRIFT at most.
+    diagonal to diagonal by ``drift`` at most.
     """
-    ends: dict[int, list[tuple[int, int, int, tuple | None]]] = defaultdict(list)
+    ends: dict[int, list[tuple[int, int, int, tuple | None]]] = {}
+    begins: dict[int, list[int]] = {}
+    lines: list[int] = []
     for pos, token in sorted(hits):
         shift, best = token - pos, None
-        for near in range(shift - DRIFT, shift + DRIFT + 1):
-            # the longest is the last in front of both; at most DRIFT + 1 hits of a diagonal are not
-            for end in reversed(ends.get(near, ())):
-                if end[1] < pos and end[2] < token:
-                    if best is None or end[0] > best[0] or (end[0] == best[0] and near == shift):
-                        best = end
-                    break
+        for near in lines[bisect_left(lines, shift - drift) : bisect_right(lines, shift + drift)]:
+            # the longest of a diagonal is the last in front of both
+            k = bisect_left(begins[near], min(pos, token - near)) - 1
+            if k >= 0 and (best is None or ends[near][k][0] > best[0] or (ends[near][k][0] == best[0] and near == shift)):
+                best = ends[near][k]
+        if shift not in ends:
+            insort(lines, shift)
+            ends[shift], begins[shift] = [], []
         ends[shift].append((1 if best is None else best[0] + 1, pos, token, best))
+        begins[shift].append(pos)
     for line in ends.values():
         own = [(pos, token) for _, pos, token, _ in line]
         yield own
@@ -252,8 +314,8 @@ def _same_slots(kind: list[int], item_values: list[str], doc_values: list[str])
 
 
 def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def aligned(t: Template, item: Item, windows: list[tuple[int, int, int]]):
-        """Kind, the item's value and the document's value of each slot under ``windows`` (form, window in item, token in chunk)."""
+    def aligned(t: Template, item: Item, windows: list[tuple[int, int, int]]) -> dict[int, tuple[int, str, str]]:
+        """By slot: kind, the item's value and the document's under ``windows`` (form, window in item, token in chunk)."""
         slots: dict[int, tuple[int, str, str]] = {}
         for form, pos, token in sorted(windows):
             for k in range(item.widths[form]):
@@ -265,7 +327,7 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
                 # names are words in form 1, where they are equal
                 value = item.values[own] if form == 0 or kind == NAME else item.plain[j]
                 slots[own] = (kind, value, value if form == 1 and kind == NAME else t.text(token + k, form))
-        return list(zip(*slots.values(), strict=True)) or [(), (), ()]
+        return slots
 
     def judge(t: Template, hits: list[tuple[int, int, int, int]]):
         """hits: (item, form, window in item, first token in chunk) of one document."""
@@ -274,27 +336,35 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
             at = int(table.items[item].base[form][pos]), int(t.base[form][token])
             by_item[item][at].append((form, pos, token))
         best: dict[int, tuple] = {}
-        for number, at in by_item.items():
-            item = table.items[number]
+        for number, own in by_item.items():
+            item, head, at = table.items[number], table.first[number], own
+            if head != number and head in by_item:  # what all of the class have
+                at = {place: own.get(place, []) + by_item[head].get(place, []) for place in {*own, *by_item[head]}}
 
             def share(places):
                 return item.share([{p for p, q in places if any(w[0] == form for w in at[p, q])} for form in (0, 1)])
 
             if share(at) < coverage:
                 continue
-            for chain in _chains(list(at)):
+            for chain in _chains(list(at), item.drift):
                 part = share(chain)
                 if part < coverage:
                     continue
-                slots, changed, against = _same_slots(*aligned(t, item, [w for place in chain for w in at[place]]))
+                under = aligned(t, item, [w for place in chain for w in at[place]])
+                slots, changed, against = _same_slots(*(list(zip(*under.values(), strict=True)) or [(), (), ()]))
                 if 4 * against > slots:  # values that do not follow from one another
                     continue
+                said = number
+                if changed and number == head and (exact := table.having(head, {j: v for j, (_, _, v) in under.items()})) is not None:
+                    said, changed = exact, 0
                 if item.short and changed:  # so few words say nothing without their values
                     continue
-                found = (part, -changed, number, slots, changed)
-                if number not in best or found[:2] > best[number][:2]:
-                    best[number] = found
-        return best.values()
+                found = (part, -changed, said, slots, changed, head)
+                if said not in best or found[:2] > best[said][:2]:
+                    best[said] = found
+        # changed values are told once for a class, and not beside one of its items as it stands
+        exact = {head for *_, changed, head in best.values() if not changed}
+        return [b[:5] for b in best.values() if not b[4] or b[5] not in exact]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,8 +399,9 @@ def _scan(table: WindowTable, coverage: float) -> Callable[[Iterator[pa.RecordBa
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The benchmark items that documents contain, verbatim or with other values.
 
-    One row per document and item: ``doc_id, item_id, coverage`` (share of the
-    item's windows that line up in order), ``slots, slots_changed, kind`` (``verbatim`` or
+    One row per document and item, and where only values differ from all items
+    of a template, one for the first of these: ``doc_id, item_id, coverage`` (share of the
+    item's tokens under windows that line up in order), ``slots, slots_changed, kind`` (``verbatim`` or
     ``reparameterised``).  A document without a row is clean.
 
     The benchmark is read to the driver block by block, and each block is

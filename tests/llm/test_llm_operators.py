@@ -145,6 +145,40 @@ def test_ngram_join_of_many_near_copies(spark):
     assert [got[i]["component_id"] for i in range(len(data))] == [find(i) for i in range(len(data))]
 
 
+def test_leaks_with_insertions_cuts_and_changes(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(f"t{rng.randrange(5000)}" for _ in range(rng.randrange(16, 60)))) for i in range(30)]
+    pad = lambda k: " ".join(f"pad{rng.randrange(10**6)}" for _ in range(k))
+    made = []
+    for i, text in items:
+        w = text.split()
+        for k in range(1, 13):
+            for at in (len(w) // 2, rng.randrange(1, len(w))):
+                made.append((f"{k} words added", i, " ".join([*w[:at], pad(k), *w[at:]])))
+        made += [("first 0.6", i, " ".join(w[: int(0.6 * len(w))])), ("last 0.7", i, " ".join(w[int(0.3 * len(w)) :])), ("two parts", i, " ".join([*w[: len(w) // 2], pad(30), *w[len(w) // 2 :]]))]
+        changed = list(w)
+        changed[rng.randrange(len(w))] = "other"
+        made.append(("a word changed", i, " ".join(changed)))
+    docs = spark.createDataFrame([(n, f"{pad(12)} {t} {pad(12)}") for n, (_, _, t) in enumerate(made)] + [(10_000 + i, " ".join(x.split()[:9])) for i, x in items], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(made[d][1] == i for d, i in got)  # no other item, and none for nine words of an item
+    kinds = Counter(kind for kind, *_ in made if kind != "two parts")
+    hits = Counter(made[d][0] for d, _ in got)
+    assert all(hits[kind] >= 0.9 * n for kind, n in kinds.items()), hits
+
+
+def test_items_of_one_template_are_one_class(spark):
+    say = lambda a, b, name: f"in the old mill {a} bags of flour were sold to {name} for {b} euros before the bell rang for the last time"
+    items = [(i, say(i % 60 + 2, i // 60 + 200, ("Anna", "Bert Meyer", "Carl")[i % 3])) for i in range(1500)]
+    docs = [(0, say(7, 203, "Carl")), (1, say(9_000, 8_000, "Anna")), (2, items[661][1]), (3, "nothing of this kind was ever said about the old mill"), (4, say(5, 201, "Anna").lower())]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["kind"]): r["item_id"] for r in found}
+    text = dict(items)
+    assert text[got[0, "verbatim"]] == docs[0][1] and text[got[2, "verbatim"]] == docs[2][1] and text[got[4, "verbatim"]].lower() == docs[4][1]
+    # names of one word and of two are two templates
+    assert sorted(r["item_id"] for r in found if r["doc_id"] == 1) == [0, 1] and len(got) == 4
+
+
 def test_ngram_join_of_rows_that_share_an_id(spark):
     rng = random.Random(12)
     a, b, c, d = (prose(rng, 60, 9_000) for _ in range(4))
