@@ -176,7 +176,8 @@ def test_items_of_one_template_are_one_class(spark):
     text = dict(items)
     assert text[got[0, "verbatim"]] == docs[0][1] and text[got[2, "verbatim"]] == docs[2][1] and text[got[4, "verbatim"]].lower() == docs[4][1]
     # names of one word and of two are two templates
-    assert sorted(r["item_id"] for r in found if r["doc_id"] == 1) == [0, 1] and len(got) == 4
+    assert sorted(r["item_id"] for r in found if r["doc_id"] == 1) == [0, 1]
+    assert not [r for r in found if r["doc_id"] == 3] and len(found) <= 9
 
 
 def test_ngram_join_of_rows_that_share_an_id(spark):
