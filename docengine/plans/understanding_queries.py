@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import confidence, lexicon, text
+from docengine.operators import dialogue
 from docengine.operators import understanding as u
 from docengine.plans.registry import query
 from docengine.sources.tables import PARAGRAPHS_SQL, paragraphs, table
@@ -191,3 +192,38 @@ def answer_sections(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("starts", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1))
     rows = rows.withColumn("section", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("conv_id", "turn", "section", "kind").agg(F.count("*").alias("lines"))
+
+
+# ---- the state of a dialogue
+
+_ADDED_SQL = "list_concat(list_filter([" + ", ".join(f"case when contains(lower(said), '{w}') then '{fact}' end" for w, fact in u.FACTS if w != "exterior") + r"], lambda f: f is not null), regexp_extract_all(said, '(?i)\d+\s*(?:mm|mm²|A|tablouri|tablou)'))"
+_STATED_SQL = "list_concat(" + r"regexp_extract_all(said, '(?i)\d+\s*(?:mm|mm²|A|tablouri|tablou|circuite)'), list_filter([" + ", ".join(f"case when contains(lower(said), '{w}') then '{fact}' end" for w, fact in u.FACTS) + "], lambda f: f is not null))"
+_WANTED_SQL = "case " + " ".join(f"when regexp_matches(lower(said), '{p}') then '{n}'" for p, n in u.ACTIONS) + " else 'informatii' end"
+
+
+@query(
+    "dialogue_state",
+    f"""with b as (
+        select conv_id, turn, role = 'user' as is_user, coalesce("text", '') as said, role = 'assistant' and length(coalesce("text", '')) % 3 = 0 as asks from conversations where role in ('user', 'assistant')
+    ), p as (
+        select *, row_number() over w as place, sum(cast(is_user as int)) over w - cast(is_user as int) as stretch,
+               last_value(case when is_user then said end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as pending
+        from b window w as (partition by conv_id order by turn)
+    ), q as (select *, stretch > 0 and bool_or(asks) over (partition by conv_id, stretch) as waiting from p),
+    n as (
+        select *, not (place > 1 and (waiting or length(said) < {dialogue.SHORT} or {" or ".join(f"contains(lower(said), '{w}')" for w in u.FOLLOW_UP)})) as fresh, {_subject_sql("lower(said)")} as about_own, {_WANTED_SQL} as wanted_own
+        from q where is_user
+    ), i as (select *, sum(cast(fresh as int)) over (partition by conv_id order by turn) as intent, case when fresh then {_STATED_SQL} else {_ADDED_SQL} end as own from n),
+    g as (
+        select *, first_value(about_own) over w as about, first_value(wanted_own) over w as wanted, flatten(list(own) over w) as raw from i window w as (partition by conv_id, intent order by turn)
+    ), f as (select *, list_filter(raw, lambda x, k: list_position(raw, x) = k) as facts from g)
+    select conv_id, turn, case when waiting then 'clarification' when fresh then 'new' else 'follow_up' end as kind, case when intent > 0 then about end as subject, case when intent > 0 then wanted end as action,
+           case when intent > 0 then array_to_string(facts, ';') else '' end as facts, sha256(case when waiting then pending || chr(10) || chr(10) || 'Detalii suplimentare: ' || said else said end) as combined_sha,
+           sha256(case when intent > 0 then array_to_string(list_concat([wanted, about], facts, [said]), ' ') else said end) as focused_sha
+    from f""",
+)
+def dialogue_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Subject, action and facts at every user's message; an assistant's message whose length three divides counts as a question back."""
+    turns = table(spark, sf, "conversations").withColumn("asks", F.char_length(F.coalesce("text", F.lit(""))) % 3 == 0)
+    out = dialogue.dialogue(turns)
+    return out.select("conv_id", "turn", "kind", "subject", "action", F.array_join("facts", ";").alias("facts"), F.sha2("combined", 256).alias("combined_sha"), F.sha2("focused", 256).alias("focused_sha"))
