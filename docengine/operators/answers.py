@@ -114,11 +114,18 @@ def disclaimer(obliges: Column, forbids: Column) -> Column:
 def mark_synonyms(shown: Column, question: Column, synonyms: dict[str, tuple[str, ...]] = lexicon.SYNONYMS) -> Column:
     """Marks the question's known words and their synonyms in a text."""
     words = F.split(question, r"\s+")
+
+    def marked(term: str, others: tuple[str, ...]) -> Callable[[Column], Column]:
+        def one(x: Column) -> Column:
+            out = x
+            for t in (term, *others):
+                out = F.regexp_replace(out, rf"(?i)(?<![A-Za-z0-9_])({t})(?![A-Za-z0-9_])", r"**$1**")
+            return F.when(F.array_contains(words, term), out).otherwise(x)
+
+        return one
+
     for term, others in synonyms.items():
-        marked = shown
-        for t in (term, *others):
-            marked = F.regexp_replace(marked, rf"(?i)(?<![A-Za-z0-9_])({t})(?![A-Za-z0-9_])", r"**$1**")
-        shown = F.when(F.array_contains(words, term), marked).otherwise(shown)
+        shown = text.let(shown, marked(term, others))
     return shown
 
 

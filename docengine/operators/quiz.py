@@ -24,9 +24,20 @@ def sample_evidence(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "evidence_id long, content string")
 
 
+#: Ways in which a free answer names its letter, and two that name none.
+ANSWERS = ("Raspuns corect: B", "Varianta c este cea corecta", "a) 30 mm", "**A**", "Nu stiu", "The answer is (b).")
+
+#: How a free answer names a letter, in the order tried.
+ANSWER_RULES = (
+    r"(?i)(?:raspuns|răspuns|answer)[^a-dA-D\n]{0,20}?(?:corect|is)?\s*[:\-]?\s*\(?([a-d])\b",
+    r"(?i)variant[ae]\s+\(?([a-d])\b",
+    r"^\s*\*{0,2}\(?([a-dA-D])\s*[).:*]",
+    r"(?i)\(([a-d])\)",
+)
+
+
 def sample_answers(spark: SparkSession) -> DataFrame:
-    said = ["Raspuns corect: B", "Varianta c este cea corecta", "a) 30 mm", "**A**", "Nu stiu", "The answer is (b)."]
-    return spark.createDataFrame([(i, t) for i, t in enumerate(said)], "answer_id long, answer string")
+    return spark.createDataFrame(list(enumerate(ANSWERS)), "answer_id long, answer string")
 
 
 def as_text() -> Column:
@@ -74,12 +85,5 @@ def numeric_answers(questions: DataFrame, evidence: DataFrame, near: float = 0.1
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """The letter that a free answer names, by the first rule that finds one."""
-    a = F.col("answer")
-    rules = (
-        r"(?i)(?:raspuns|răspuns|answer)[^a-dA-D\n]{0,20}?(?:corect|is)?\s*[:\-]?\s*\(?([a-d])\b",
-        r"(?i)variant[ae]\s+\(?([a-d])\b",
-        r"^\s*\*{0,2}\(?([a-dA-D])\s*[).:*]",
-        r"(?i)\(([a-d])\)",
-    )
-    found = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(a, r, 1)), F.lit("")) for r in rules])
+    found = F.coalesce(*[F.nullif(F.lower(F.regexp_extract("answer", rule, 1)), F.lit("")) for rule in ANSWER_RULES])
     return answers.select("answer_id", found.alias("letter"))

@@ -11,7 +11,7 @@ from docengine.plans import sqltext
 from docengine.plans.questions import QUESTIONS, questions
 from docengine.plans.registry import query, sql_list
 from docengine.plans.retrieval_queries import _AXES, _HITS, _axes, _candidates
-from docengine.plans.text_queries import _VARIANT_QUERIES
+from docengine.plans.text_queries import VARIANTS_SQL, variant_queries
 from docengine.plans.understanding_queries import SCENARIO_ASKS, SCENARIO_CASES, SCENARIO_CONCEPTS
 from docengine.plans.web_queries import _EDGES_SQL, _LINKS, tree_edges
 from docengine.sources import web
@@ -285,7 +285,7 @@ def ban_question(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", answers.is_ban_question(F.concat(F.coalesce("text", F.lit("")), tail)).alias("is_ban"))
 
 
-_VARIANTS_SQL = f"""q(query_id, q) as (values {', '.join(f"({i}, '{q}')" for i, q in _VARIANT_QUERIES)}),
+_VARIANTS_SQL = f"""{VARIANTS_SQL},
     d(term, k, syn) as (values {', '.join(f"('{t}', {k}, '{s}')" for t, ss in lexicon.SYNONYMS.items() for k, s in enumerate(ss))}),
     w as (select query_id, q, unnest(string_split(lower(q), ' ')) as word, unnest(range(1, len(string_split(q, ' ')) + 1)) as pos from q),
     t as (select query_id, q, word, min(pos) as pos from w where word in (select term from d) group by all),
@@ -295,13 +295,9 @@ _VARIANTS_SQL = f"""q(query_id, q) as (values {', '.join(f"({i}, '{q}')" for i,
     r as (select query_id, variant, row_number() over (partition by query_id order by o) as rank from u)"""
 
 
-def _variant_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q) for i, q in _VARIANT_QUERIES], "query_id long, text string")
-
-
 @query("query_expansion", f"with {_VARIANTS_SQL} select cast(query_id as bigint) as query_id, string_agg(variant, ' | ' order by rank) as expanded from r where rank <= 5 group by query_id")
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    rows = retrieval.query_variants(_variant_queries(spark), most=5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "variant"))).alias("v"))
+    rows = retrieval.query_variants(variant_queries(spark, sf), most=5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "variant"))).alias("v"))
     return rows.select("query_id", F.array_join(F.transform("v", lambda x: x["variant"]), " | ").alias("expanded"))
 
 
@@ -314,11 +310,11 @@ def _mark_sql(x: str) -> str:
     return x
 
 
-@query("synonym_highlight", f"""with q(query_id, q) as (values {', '.join(f"({i}, '{q}')" for i, q in _VARIANT_QUERIES if "ț" not in q)}) select cast(query_id as bigint) as query_id, {_mark_sql("'tablou electric si cablu, conductor; prize: siguranta '")} as marked from q""")
+@query("synonym_highlight", f"""with {VARIANTS_SQL} select cast(query_id as bigint) as query_id, {_mark_sql("'tablou electric si cablu, conductor; prize: siguranta '")} as marked from q""")
 def synonym_highlight(spark: SparkSession, sf: str) -> DataFrame:
     """Marks the known words of a question and their synonyms in a text."""
     shown = F.lit("tablou electric si cablu, conductor; prize: siguranta ")
-    return _variant_queries(spark).select("query_id", answers.mark_synonyms(shown, F.lower("text")).alias("marked"))
+    return variant_queries(spark, sf).select("query_id", answers.mark_synonyms(shown, F.lower("text")).alias("marked"))
 
 
 @query("unnecessary_clarification", f"""select conv_id, turn, {sqltext.contains_any("coalesce(\"text\", '') || case when turn % 4 = 1 then ' Cupru sau aluminiu?' when turn % 4 = 2 then ' ce curent' else '' end", answers.UNNECESSARY)} as unnecessary from conversations""")

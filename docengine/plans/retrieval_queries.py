@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docengine.functions import confidence, lexicon, numeric, similarity, text, vector
 from docengine.operators import cells, retrieval, trigrams
+from docengine.plans import sqltext
 from docengine.plans.questions import QUESTION_VALUES, questions
 from docengine.plans.registry import query, sql_list
+from docengine.plans.understanding_queries import SCENARIO_ASKS, SCENARIO_CASES, SCENARIO_CONCEPTS
 from docengine.sources.tables import PARAGRAPHS_SQL, paragraphs, table
 
 _TERMS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower(q), '[^A-Za-z0-9_\săîâșț]', ' ', 'g'), '\s+'), lambda w: length(w) > 3)[1:5]"
@@ -78,7 +80,33 @@ def coverage_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", F.round(confidence.coverage(F.col("text"), F.col("evidence")), 6).alias("coverage"))
 
 
-@query("optimized_confidence")
+def _semantic_sql(q: str, held) -> str:
+    """``confidence.semantic_match``; ``held`` gives the SQL of whether the evidence holds one of some terms."""
+    asked = [sqltext.contains_any(q, terms) for terms in lexicon.CONCEPTS.values()]
+    n = " + ".join(f"cast({a} as int)" for a in asked)
+    total = " + ".join(f"case when {a} and {held(terms)} then 1.0 when {a} then -0.3 else 0.0 end" for a, terms in zip(asked, lexicon.CONCEPTS.values(), strict=True))
+    return f"(case when ({n}) = 0 then 0.5 else greatest(0.0, least(1.0, (({total}) / ({n}) + 1) / 2)) end)"
+
+
+_WORDS_SQL = f"list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: length(w) > 3 and not list_contains({sql_list(lexicon.COVERAGE_STOP)}, w))"
+
+
+@query(
+    "optimized_confidence",
+    f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as n from k),
+    e as (select query_id, list(lower(content)) as ev, avg(score) as mean from r where n <= 5 group by query_id),
+    w as (select q.query_id, q, {_WORDS_SQL} as ws, coalesce(ev, []) as ev, coalesce(mean, 0) as mean, lower(q) as t from q left join e using (query_id)),
+    c as (
+        select *, case when len(ws) = 0 then 0.5 else len(list_filter(list_distinct(ws), lambda w: len(list_filter(ev, lambda x: contains(x, w))) > 0)) / len(ws) end as covered,
+               {_semantic_sql("q", lambda terms: "(len(list_filter(ev, lambda x: " + sqltext.contains_any("x", terms) + ")) > 0)")} as matched,
+               {SCENARIO_CASES} as types, {SCENARIO_CONCEPTS} as concepts, {SCENARIO_ASKS} as asks
+        from w
+    ), s as (
+        select *, cast(types + case when concepts > 1 then concepts else 0 end + asks as double) as complexity, types + case when concepts > 1 then 1 else 0 end as n_types, floor(mean * 100 + 0.5) as original from c
+    ) select query_id, round(covered, 6) as coverage, round(matched, 6) as semantic, complexity, complexity >= 2 or n_types >= 2 as is_practical,
+             cast(case when complexity >= 2 or n_types >= 2 then least(100, floor(original * 0.4 + covered * 30 + matched * 30 + 0.5) + case when covered > 0.7 then 5 else 0 end + case when matched > 0.7 then 5 else 0 end + case when complexity > 3 then 3 else 0 end) else original end as bigint) as confidence
+      from s""",
+)
 def optimized_confidence(spark: SparkSession, sf: str) -> DataFrame:
     top = retrieval.rank_by(_candidates(spark, sf), ["query_id"], F.desc("score"), F.col("doc_id"), F.col("paragraph_number"), most=5)
     evidence = top.groupBy("query_id").agg(F.collect_list("content").alias("evidence"), F.avg("score").alias("mean"))
@@ -90,16 +118,13 @@ def optimized_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "optimal_citations",
-    f"""with {_HITS}, c as (select query_id, doc_id, paragraph_number, score,
-        list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: length(w) > 3 and not list_contains({sql_list(lexicon.COVERAGE_STOP)}, w)) as ws, content from k where query_id < 5),
-    s as (select query_id, doc_id, paragraph_number, round(score * 0.5 + len(list_filter(list_distinct(ws), lambda w: contains(lower(content), w))) / len(ws) * 0.3 + 0.1, 6) as combined from c),
+    f"""with {_HITS}, c as (select query_id, doc_id, paragraph_number, score, {_WORDS_SQL} as ws, content, q from k),
+    s as (select query_id, doc_id, paragraph_number, round(score * 0.5 + case when len(ws) = 0 then 0.5 else len(list_filter(list_distinct(ws), lambda w: contains(lower(content), w))) / len(ws) end * 0.3 + {_semantic_sql("q", lambda terms: sqltext.contains_any("content", terms))} * 0.2, 6) as combined from c),
     r as (select *, row_number() over (partition by query_id order by combined desc, doc_id, paragraph_number) as rank from s)
     select * from r where rank <= 5""",
 )
 def optimal_citations(spark: SparkSession, sf: str) -> DataFrame:
     found = _candidates(spark, sf).join(F.broadcast(questions(spark)), "query_id")
-    # questions with domain concepts have a weight of their own, which the SQL does not restate
-    found = found.where(~text.contains_any(F.col("text"), [t for ts in lexicon.CONCEPTS.values() for t in ts]))
     evidence = F.array("content")
     combined = F.round(F.col("score") * 0.5 + confidence.coverage(F.col("text"), evidence) * 0.3 + confidence.semantic_match(F.col("text"), evidence) * 0.2, 6)
     rows = found.select("query_id", "doc_id", "paragraph_number", combined.alias("combined"))
@@ -121,7 +146,22 @@ def legal_boost_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rank_by(rows, ["query_id"], F.desc("boosted"), F.col("doc_id"), F.col("paragraph_number"), most=10)
 
 
-@query("hybrid_boost_rerank")
+_BOOSTS_SQL = " + ".join(
+    [
+        "0.1 * len(list_filter(terms, lambda t: contains(lower(content), t)))",
+        "case when contains(lower(q), 'protectie') and contains(lower(content), 'protectie') then 0.15 else 0 end",
+        f"case when {sqltext.contains_any('q', ('priza', 'prize'))} and {sqltext.contains_any('content', ('priza', 'prize'))} then 0.2 else 0 end",
+        f"case when {sqltext.contains_any('q', ('obligatoriu', 'obligatorii'))} and {sqltext.contains_any('content', ('trebuie', 'obligatoriu'))} then 0.15 else 0 end",
+        *[f"case when contains(lower(q), '{t}') or contains(lower(content), '{t}') then 0.1 else 0 end" for t in ("ddr", "diferential", "30 ma", "30ma", "iδn")],
+    ]
+)
+
+
+@query(
+    "hybrid_boost_rerank",
+    f"""with {_HITS}, b as (select *, {_BOOSTS_SQL} as boost from k), s as (select query_id, doc_id, paragraph_number, round(case when boost > 0 then least(1.0, score * 0.5 + least(boost, 0.5)) else score * 0.5 end, 6) as boosted from b),
+    r as (select *, row_number() over (partition by query_id order by boosted desc, doc_id, paragraph_number) as rank from s) select * from r where rank <= 10""",
+)
 def hybrid_boost_rerank(spark: SparkSession, sf: str) -> DataFrame:
     found = _candidates(spark, sf).join(F.broadcast(_queries(spark).select("query_id", "text", "terms")), "query_id")
     rows = found.select("query_id", "doc_id", "paragraph_number", F.round(retrieval.hybrid_boost(F.col("score") * 0.5, F.col("text"), F.col("content"), F.col("terms")), 6).alias("boosted"))

@@ -230,10 +230,19 @@ def word_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 _VARIANT_QUERIES = tuple((i, q) for i, q in enumerate(("Unde se pune o priză langa tablou", "Ce cablu are circuit", "montaj ddr in tablou", "nimic de extins", "curent prin cablu si ddr", "protectie la circuit")))
 
+#: Every user's message as a question: its first word and one of these, by conversation and turn.
+VARIANTS_SQL = f"""q as (select conv_id * 1000 + turn as query_id, regexp_extract(coalesce("text", ''), '[A-Za-z]+') || ' ' || ([{', '.join(f"'{q}'" for _, q in _VARIANT_QUERIES)}])[(conv_id + turn) % {len(_VARIANT_QUERIES)} + 1] as q from conversations where role = 'user')"""
+
+
+def variant_queries(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.get(F.array(*[F.lit(q) for _, q in _VARIANT_QUERIES]), ((F.col("conv_id") + F.col("turn")) % len(_VARIANT_QUERIES)).cast("int"))
+    users = table(spark, sf, "conversations").where("role = 'user'")
+    return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0), F.lit(" "), said).alias("text"))
+
 
 @query(
     "synonym_variants",
-    f"""with q(query_id, q) as (values {', '.join(f"({i}, '{q}')" for i, q in _VARIANT_QUERIES)}),
+    f"""with {VARIANTS_SQL},
     d(term, k, syn) as (values {', '.join(f"('{t}', {k}, '{s}')" for t, ss in lexicon.SYNONYMS.items() for k, s in enumerate(ss))}),
     w as (select query_id, q, unnest(string_split(lower(q), ' ')) as word, unnest(range(1, len(string_split(q, ' ')) + 1)) as pos from q),
     t as (select query_id, q, word, min(pos) as pos from w where word in (select term from d) group by all),
@@ -246,8 +255,7 @@ _VARIANT_QUERIES = tuple((i, q) for i, q in enumerate(("Unde se pune o priză la
 def synonym_variants(spark: SparkSession, sf: str) -> DataFrame:
     from docengine.operators.retrieval import query_variants
 
-    queries = spark.createDataFrame([(i, q) for i, q in _VARIANT_QUERIES], "query_id long, text string")
-    return query_variants(queries)
+    return query_variants(variant_queries(spark, sf))
 
 
 @query(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docengine.functions import spans
 from docengine.functions.text import words_of
-from docengine.operators import patterns, quiz, tables
+from docengine.operators import answers, patterns, quiz, tables
 from docengine.plans.registry import query
-from docengine.sources import sinks, web
+from docengine.sources import shared, sinks, web
 from docengine.sources.tables import PARAGRAPHS_SQL, paragraphs, table
 
 _LINKS = r"""h as (select page_id, url as base, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1))) as href from pages),
@@ -61,6 +61,41 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return web.crawl(tree_edges(spark, sf), spark.createDataFrame([("r0",)], "node string"))
 
 
+_SITE_SQL = rf"""{_LINKS}, s as (select page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as root from pages),
+    e(src, dst) as (select distinct root, url from s union select distinct s.url, l.url from l join s using (page_id) union select distinct l.url, regexp_extract(l.url, '^([a-z]+://[^/?#]+)', 1) from l)"""
+
+
+def _site_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Links of the pages' sites and the sites' roots: a root leads to its pages, a page to its links, a link to the root of its site."""
+    pages, root = table(spark, sf, "pages"), lambda url: F.regexp_extract(url, "^([a-z]+://[^/?#]+)", 1)
+    links = web.page_links(pages).withColumnRenamed("url", "dst")
+    edges = pages.select(root("url").alias("src"), F.col("url").alias("dst"))
+    edges = edges.unionByName(links.join(pages.select("page_id", F.col("url").alias("src")), "page_id").select("src", "dst")).unionByName(links.select(F.col("dst").alias("src"), root("dst").alias("dst")))
+    return edges.distinct(), pages.select(root("url").alias("node")).distinct()
+
+
+@query("page_crawl", f"with recursive {_SITE_SQL}, f as (select min(root) as root from s), c(node, depth) as (select root, 0 from f union select e.dst, depth + 1 from c join e on e.src = c.node where depth < 6) select node, min(depth) as depth from c group by node")
+def page_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """A breadth-first crawl over the pages from the first site's root, until nothing new is found."""
+    edges, roots = _site_edges(spark, sf)
+    return web.crawl(shared.saved(edges, "edges"), roots.agg(F.min("node").alias("node")), save=lambda df: shared.saved(df, "crawl"))
+
+
+@query(
+    "page_paths",
+    f"""with {_SITE_SQL}, r as (select distinct root from s), p as (
+        select root, root as node, root as path from r union all
+        select root, dst, root || ' > ' || dst from r join e on src = root union all
+        select root, b.dst, root || ' > ' || a.dst || ' > ' || b.dst from r join e a on a.src = root join e b on b.src = a.dst)
+    select root, node, path, row_number() over (partition by root order by path) as place from p""",
+)
+def page_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The ways from each site's root to its pages and their links, in the order in which a depth-first walk meets them."""
+    edges, roots = _site_edges(spark, sf)
+    found = web.crawl_paths(shared.saved(edges, "edges"), roots, 2).withColumn("root", F.substring_index("path", " > ", 1))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long")).select("root", "node", "path", "place")
+
+
 def tree_edges(spark: SparkSession, sf: str) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = table(spark, sf, "nation").select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"))
@@ -176,9 +211,23 @@ def status_report(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.markdown_table(counts, ["status", "n"])
 
 
-@query("quiz_detect")
+#: Forms of a quiz text by a part's size: options by line, in one line, two only, none.
+_QUIZ_FORMS = ("{stem}\na) {a}\nb) {b}\nc) {c}", "{stem} A. {a} B. {b} C. {c}", "{stem}\na) {a}\nb) {b}", "{stem}")
+
+
+@query(
+    "quiz_detect",
+    """with p as (select p_partkey as question_id, p_size % 4 as form, 'Care este marimea piesei ' || p_name || case when p_partkey % 2 = 0 then '?' else '' end as stem, p_size || ' mm' as a, p_brand as b, lower(p_type) as c from part),
+    o as (select question_id, stem, form, case when form < 3 then a end as option_a, case when form < 3 then b end as option_b, case when form < 2 then c end as option_c from p)
+    select question_id, stem, option_a, option_b, option_c, round(case form when 0 then 1.0 when 1 then 1.0 when 2 then 0.5 else 0 end + 0.1 + case when stem like '%?' then 0.1 else 0 end, 2) as score, form < 2 as is_quiz from o""",
+)
 def quiz_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return quiz.detect(quiz.sample_questions(spark).select("question_id", quiz.as_text().alias("text")))
+    """Which texts, one for each part, are a quiz, and their options."""
+    parts = table(spark, sf, "part")
+    stem = F.concat(F.lit("Care este marimea piesei "), "p_name", F.when(F.col("p_partkey") % 2 == 0, "?").otherwise(""))
+    given = {"stem": stem, "a": F.concat(F.col("p_size").cast("string"), F.lit(" mm")), "b": F.col("p_brand"), "c": F.lower("p_type")}
+    form = F.get(F.array(*[answers.fill(f, **given) for f in _QUIZ_FORMS]), (F.col("p_size") % 4).cast("int"))
+    return quiz.detect(parts.select(F.col("p_partkey").alias("question_id"), form.alias("text")))
 
 
 @query("quiz_numeric")
@@ -322,6 +371,13 @@ def quiz_values(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_id", "s.unit").agg(F.count("*").alias("n"), F.round(F.sum("s.value"), 6).alias("total"))
 
 
-@query("quiz_answer_parse")
+@query(
+    "quiz_answer_parse",
+    "with t as (select conv_id * 1000 + turn as answer_id, ([" + ", ".join(f"'{a}'" for a in quiz.ANSWERS) + f"])[(conv_id + turn) % {len(quiz.ANSWERS)} + 1] || ' ' || coalesce(\"text\", '') as answer from conversations where role = 'assistant')"
+    + " select answer_id, coalesce(" + ", ".join(f"nullif(lower(regexp_extract(answer, '{rule}', 1)), '')" for rule in quiz.ANSWER_RULES) + ") as letter from t",
+)
 def quiz_answer_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return quiz.parse_answers(quiz.sample_answers(spark))
+    """The letters that the assistants' messages name, behind one of some ways to say it."""
+    said = F.get(F.array(*[F.lit(a) for a in quiz.ANSWERS]), ((F.col("conv_id") + F.col("turn")) % len(quiz.ANSWERS)).cast("int"))
+    answers_ = table(spark, sf, "conversations").where("role = 'assistant'")
+    return quiz.parse_answers(answers_.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat(said, F.lit(" "), F.coalesce("text", F.lit(""))).alias("answer")))
