@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.numeric import measurements
+from docengine.functions.text import let, strip_accents
 
 SAMPLE = (
     (1, "Care este inaltimea minima de montare a unei prize", "30 mm", "50 mm", "80 mm", "b"),
@@ -87,3 +88,50 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     """The letter that a free answer names, by the first rule that finds one."""
     found = F.coalesce(*[F.nullif(F.lower(F.regexp_extract("answer", rule, 1)), F.lit("")) for rule in ANSWER_RULES])
     return answers.select("answer_id", found.alias("letter"))
+
+
+#: Terms of quiz options by category. Fixed values.
+CATEGORIES = (
+    ("zone", ("zona protectie", "zona siguranta", "protectie", "siguranta")),
+    ("pt", ("post transformare", "post de transformare", "pt ", "statie")),
+    ("lea", ("linie electrica", "lea", "linie aeriana", "conductoare", "conductor")),
+    ("izolatie", ("rezistenta izolatie", "rezistenta de izolatie", "megaohm", "mohm", "mω")),
+    ("impamantare", ("impamantare", "legare la pamant", "priza de pamant", "electrod")),
+    ("paratrasnet", ("paratrasnet", "trasnet", "descarcare atmosferica")),
+    ("supratensiune", ("supratensiune", "protectie supratensiune", "descarcator")),
+    ("ddr", ("ddr", "dispozitiv diferential", "protectie diferentiala", "30ma", "30 ma")),
+    ("scurtcircuit", ("curent de scurtcircuit", "scurtcircuit", "ik", "current de defect")),
+    ("conductoare", ("conductor", "cabluri", "conductoare", "faza", "nul")),
+    ("tablou", ("tablou", "tablou electric", "tablou distributie")),
+    ("siguranta", ("siguranta", "siguranta automata", "disjunctor", "intrerupator")),
+    ("priza", ("priza", "prize", "circuit priza")),
+    ("material", ("cupru", "aluminiu", "al-ol", "cupal", "sectiune")),
+    ("sectiune", ("mm2", "mm²", "diametru", "latime", "lungime")),
+    ("dimensiuni", ("distanta", "inaltime", "adancime", "verticala", "orizontala")),
+    ("instalatie", ("instalatie interioara", "instalatie electrica", "circuite")),
+    ("iluminat", ("iluminat", "corp de iluminat", "lampa", "temperatura")),
+    ("incendiu", ("incendiu", "foc", "praf", "fibre")),
+    ("funda", ("funda", "fundatie", "beton", "armatura")),
+    ("orientare", ("vertical", "orizontal", "inclinat")),
+    ("izolator", ("izolator", "izolatoare", "tija", "capa")),
+    ("protectie", ("limitare", "accident", "terti", "persoane")),
+    ("siguranta", ("vecinatate", "pericol", "exploatare", "functionare")),
+    ("acces", ("circulatie", "acces", "securitate", "interzis")),
+)
+
+#: Words of five letters or more that count by themselves. Fixed values.
+SIGNIFICANT = (
+    *("protectie", "siguranta", "limitare", "accident", "terti", "vecinatate", "pericol", "exploatare", "circulatie"),
+    *("securitate", "post", "transformare", "vertical", "orizontal", "impamantare", "izolatie", "conductoare", "supratensiune"),
+)
+
+
+def keywords(text: Column) -> Column:
+    """Terms of all categories that a text holds, accents aside, as ``category:term``, and its significant words as ``word:...``."""
+
+    def found(plain: Column) -> Column:
+        named = F.array_compact(F.array(*[F.when(F.contains(plain, F.lit(t)), F.lit(f"{c}:{t}")) for c, terms in CATEGORIES for t in terms]))
+        words = F.filter(F.split(plain, r"\s+"), lambda w: (F.char_length(w) >= 5) & w.isin(*SIGNIFICANT))
+        return F.array_distinct(F.concat(named, F.transform(words, lambda w: F.concat(F.lit("word:"), w))))
+
+    return let(strip_accents(F.lower(text)), found)

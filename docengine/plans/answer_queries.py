@@ -197,6 +197,12 @@ def citation_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.validate(p, "content", "cited").select("doc_id", "paragraph_number", "method", "confidence", "is_valid")
 
 
+@query("count_by_method", f"with {_LADDER_CTES}, v as (select {_LADDER_COLS} from n) select method, count(*) as n, count(*) filter (is_valid) as n_valid from v group by method")
+def count_by_method(spark: SparkSession, sf: str) -> DataFrame:
+    """How many citations each rung of the ladder settles."""
+    return citation_ladder(spark, sf).groupBy("method").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("n_valid"))
+
+
 @query(
     "citation_batch",
     f"""with {_LADDER_CTES}, v as (select doc_id, paragraph_number, {_LADDER_COLS} from n),

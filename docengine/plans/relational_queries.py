@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.functions.text import js_round
+from docengine.functions.text import contains_any, js_round
 from docengine.operators import ops
+from docengine.operators.understanding import FOLLOW_UP
 from docengine.plans.registry import query
 from docengine.sources.tables import first_row, table
 
@@ -297,11 +298,12 @@ def chat_history(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 10").select("conv_id", "turn", "role")
 
 
-@query("followup", r"""select conv_id, turn, turn > 0 and (length(coalesce("text", '')) < 50 or regexp_matches(lower(coalesce("text", '')), '(^|[^a-z])(dar|si|and|that|it)($|[^a-z])')) as is_followup from conversations where role = 'user'""")
+@query("followup", f"""select conv_id, turn, turn > 0 and (length(coalesce("text", '')) < 50 or {" or ".join(f"contains(lower(coalesce(\"text\", '')), '{w}')" for w in FOLLOW_UP)}) as is_followup from conversations where role = 'user'""")
 def followup(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that lean on what was said: short ones, and those with a word of reference."""
     said = F.coalesce("text", F.lit(""))
     users = table(spark, sf, "conversations").where("role = 'user'")
-    short = (F.char_length(said) < 50) | F.lower(said).rlike("(^|[^a-z])(dar|si|and|that|it)($|[^a-z])")
+    short = (F.char_length(said) < 50) | contains_any(said, FOLLOW_UP)
     return users.select("conv_id", "turn", ((F.col("turn") > 0) & short).alias("is_followup"))
 
 

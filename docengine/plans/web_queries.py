@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.functions import spans
+from docengine.functions import numeric, spans
 from docengine.functions.text import words_of
 from docengine.operators import answers, patterns, quiz, tables
 from docengine.plans.registry import query
@@ -299,6 +299,40 @@ def quiz_first_number(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.first_numeric_hit(_part_options(spark, sf), paragraphs(table(spark, sf, "documents")), F.col("content"))
 
 
+#: Options of quizzes that hold terms of several categories; a part's name comes first.
+_OPTION_TEXTS = ("zona protectie a unui post de transformare", "conductoare de cupru in tablou electric", "priză de pământ cu electrod vertical", "numai dispozitiv diferential de 30 mA", "corp de iluminat si lampa", "nimic")
+
+
+@query(
+    "quiz_keywords",
+    "with p as (select p_partkey as option_id, strip_accents(lower(p_name || ' ' || ([" + ", ".join(f"'{t}'" for t in _OPTION_TEXTS) + f"])[p_size % {len(_OPTION_TEXTS)} + 1])) as t from part),"
+    + " k as (select option_id, list_concat(list_transform(list_filter([" + ", ".join(f"['{c}', '{t}']" for c, terms in quiz.CATEGORIES for t in terms) + "], lambda x: contains(t, x[2])), lambda x: x[1] || ':' || x[2]),"
+    + " list_transform(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: length(w) >= 5 and list_contains([" + ", ".join(f"'{w}'" for w in quiz.SIGNIFICANT) + "], w)), lambda w: 'word:' || w)) as ks from p)"
+    + " select option_id, array_to_string(list_filter(ks, lambda x, i: list_position(ks, x) = i), ';') as keywords from k",
+)
+def quiz_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """The categories' terms and significant words of each option."""
+    said = F.get(F.array(*[F.lit(t) for t in _OPTION_TEXTS]), (F.col("p_size") % len(_OPTION_TEXTS)).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("option_id"), F.array_join(quiz.keywords(F.concat("p_name", F.lit(" "), said)), ";").alias("keywords"))
+
+
+#: Questions about a quantity; ``{n}`` is filled in.
+_QUANTITY_TEXTS = ("ce distanta de la perete, {n} mm", "inaltime de {n} cm", "sectiune de {n}", "curent de {n} A", "tensiune minim {n} V", "nimic")
+
+
+@query(
+    "measured_quantity",
+    f"""with p as (select p_partkey as question_id, p_size % {len(_QUANTITY_TEXTS)} as k, p_partkey % 50 + 1 as n from part)
+    select question_id, ['distance', 'height', 'section', 'current', 'voltage', null][k + 1] as quantity, case when k < 4 then cast(n as double) end as "value", ['mm', 'cm', 'mm²', 'a', 'v', null][k + 1] as unit from p""",
+)
+def measured_quantity(spark: SparkSession, sf: str) -> DataFrame:
+    """What a question measures, with its value and unit."""
+    said = F.get(F.array(*[F.lit(t) for t in _QUANTITY_TEXTS]), (F.col("p_size") % len(_QUANTITY_TEXTS)).cast("int"))
+    asked = F.replace(said, F.lit("{n}"), (F.col("p_partkey") % 50 + 1).cast("string"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), numeric.measured_quantity(asked).alias("q"))
+    return rows.select("question_id", F.col("q.type").alias("quantity"), F.col("q.value").alias("value"), F.col("q.unit").alias("unit"))
+
+
 #: Quantities in a sentence behind a text; ``{n}`` is filled in.
 QUANTITIES = " densitate {n},5 A/mm² la 1{n} A, 0.{n} kV, {n}0 mm2 si {n} metri, {n}s, 4{n} grade C, {n}.2 MΩ, 2{n} ohmi, {n} V"
 #: A bound without a unit, near a word of resistance and far from one.
