@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import confidence, lexicon, numeric, similarity, text
-from docengine.operators import answers, retrieval
+from docengine.operators import answers, hybrid, retrieval, trigrams
 from docengine.plans import sqltext
 from docengine.plans.questions import QUESTIONS, questions
 from docengine.plans.registry import query, sql_list
-from docengine.plans.retrieval_queries import _AXES, _HITS, _axes, _candidates
+from docengine.plans.retrieval_queries import _AXES, _HITS, WORDS_SQL, _axes, _candidates, semantic_sql
 from docengine.plans.text_queries import VARIANTS_SQL, variant_queries
 from docengine.plans.understanding_queries import SCENARIO_ASKS, SCENARIO_CASES, SCENARIO_CONCEPTS
 from docengine.plans.web_queries import _EDGES_SQL, _LINKS, tree_edges
@@ -619,3 +619,58 @@ _NUMERIC_OPTIONS = ((1, "a", "99999999", "mm", "zz"), (1, "b", "1", "e", "the"),
 def quiz_numeric_context(spark: SparkSession, sf: str) -> DataFrame:
     options = spark.createDataFrame(list(_NUMERIC_OPTIONS), "question_id long, letter string, value string, unit string, keyword string")
     return answers.numeric_in_context(options, paragraphs(table(spark, sf, "documents")))
+
+
+# ---- the pipeline with toggles
+
+#: Least score of the toggled searches: the axes that stand for the questions' vectors are far from all points.
+_LEAST = 0.25
+
+
+def _hybrid_sql(on: bool) -> str:
+    known = sql_list(lexicon.SYNONYMS)
+    n = rf"least(3, 1 + 2 * len(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(q), '\s+'), lambda w: regexp_replace(w, '[?.,!;:]$', '')), lambda w: list_contains({known}, w)))))" if on else "1"
+    score = f"case when b.query_id = 5 then least(1.0, score + coalesce((select sum({_MATCH_SQL}) from m where m.doc_id = b.doc_id), 0) / 100) else score end" if on else "score"
+    covered = lambda held: f"(case when len(ws) = 0 then 0.5 else len(list_filter(list_distinct(ws), lambda w: {held})) / len(ws) end)"
+    head = f"""{_HITS}, {_MEASURED}, va as (select query_id, n, unnest(range(1, n + 1)) as rank from (select query_id, cast({n} as int) as n from q)),
+    s as (select query_id, rank, n, vec_id as doc_id, round(list_cosine_similarity(list_transform(range(0, 64), lambda i: case when i = (query_id + rank) % 8 then 1.0::double else 0.0::double end), embedding::double[]), 6) as score from va, embeddings),
+    t as (select *, row_number() over (partition by query_id, rank order by score desc, doc_id) as place from s where score >= {_LEAST} - case when n > 1 then 0.05 else 0 end),
+    d as (select *, row_number() over (partition by query_id, doc_id order by rank, score desc) as first from t where place <= 10),
+    v as (select query_id, doc_id, score, 0 as src, row_number() over (partition by query_id order by score desc, doc_id) as place from d where first = 1),
+    w as (select query_id, doc_id, 0.45 as score, 1 as src, row_number() over (partition by query_id order by doc_id) as place from (select distinct query_id, doc_id from k)),
+    u as (select query_id, doc_id, score, src from v where place <= 10 union all select query_id, doc_id, score, src from w where place <= 10),
+    b as (select * from u qualify row_number() over (partition by query_id, doc_id order by src) = 1),
+    x as (select b.query_id, b.doc_id, src, coalesce("text", '') as content, q, {score} as score from b join q using (query_id) join documents using (doc_id)),
+    c as (select * from (select *, row_number() over (partition by query_id order by score desc, src, doc_id) as citation_index from x where score >= {_LEAST}) where citation_index <= 3)"""
+    if not on:
+        return f"with {head} select query_id, citation_index, doc_id, round(score, 6) as score, cast(floor(avg(score) over (partition by query_id) * 100 + 0.5) as bigint) as confidence from c"
+    return f"""with {head},
+    e as (select query_id, any_value(q) as q, avg(score) as mean, list(lower(content)) as ev from c group by query_id),
+    f as (select *, {WORDS_SQL} as ws, lower(q) as t from e),
+    g as (select query_id, {covered("len(list_filter(ev, lambda x: contains(x, w))) > 0")} as covered, {semantic_sql("q", lambda terms: "(len(list_filter(ev, lambda x: " + sqltext.contains_any("x", terms) + ")) > 0)")} as matched,
+          {SCENARIO_CASES} as types, {SCENARIO_CONCEPTS} as concepts, {SCENARIO_ASKS} as asks, floor(mean * 100 + 0.5) as original from f),
+    y as (select *, types + case when concepts > 1 then concepts else 0 end + asks as complexity, types + case when concepts > 1 then 1 else 0 end as n_types from g),
+    i as (select query_id, complexity >= 2 or n_types >= 2 as practical, cast(case when complexity >= 2 or n_types >= 2 then least(100, floor(original * 0.4 + covered * 30 + matched * 30 + 0.5) + case when covered > 0.7 then 5 else 0 end + case when matched > 0.7 then 5 else 0 end + case when complexity > 3 then 3 else 0 end) else original end as bigint) as confidence from y),
+    j as (select c.*, practical, confidence, {WORDS_SQL} as ws from c join i using (query_id)),
+    l as (select *, case when practical then round(score * 0.5 + {covered("contains(lower(content), w)")} * 0.3 + {semantic_sql("q", lambda terms: sqltext.contains_any("content", terms))} * 0.2, 6) else 0 end as combined from j)
+    select query_id, row_number() over (partition by query_id order by combined desc, citation_index) as citation_index, doc_id, round(score, 6) as score, confidence from l"""
+
+
+def hybrid_search(spark: SparkSession, sf: str, toggles: hybrid.Toggles, log: hybrid.StepLog) -> DataFrame:
+    asked, docs = questions(spark), table(spark, sf, "documents").select("doc_id", "text")
+    vectors = asked.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("rank"))
+    vectors = vectors.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.pmod(F.col("query_id") + F.col("rank"), F.lit(8)), 1.0).otherwise(0.0)))
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return hybrid.search(asked, vectors, points, docs, trigrams.open_index(docs, sf), toggles, log)
+
+
+@query("hybrid_all_on", _hybrid_sql(True))
+def hybrid_all_on(spark: SparkSession, sf: str) -> DataFrame:
+    """Synonyms, both searches, numbers and the optimiser."""
+    return hybrid_search(spark, sf, hybrid.Toggles(synonyms=True, numbers=True, optimizer=True, least=_LEAST), hybrid.StepLog())
+
+
+@query("hybrid_base", _hybrid_sql(False))
+def hybrid_base(spark: SparkSession, sf: str) -> DataFrame:
+    """Both searches alone."""
+    return hybrid_search(spark, sf, hybrid.Toggles(least=_LEAST), hybrid.StepLog())

@@ -80,7 +80,7 @@ def coverage_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", F.round(confidence.coverage(F.col("text"), F.col("evidence")), 6).alias("coverage"))
 
 
-def _semantic_sql(q: str, held) -> str:
+def semantic_sql(q: str, held) -> str:
     """``confidence.semantic_match``; ``held`` gives the SQL of whether the evidence holds one of some terms."""
     asked = [sqltext.contains_any(q, terms) for terms in lexicon.CONCEPTS.values()]
     n = " + ".join(f"cast({a} as int)" for a in asked)
@@ -88,17 +88,17 @@ def _semantic_sql(q: str, held) -> str:
     return f"(case when ({n}) = 0 then 0.5 else greatest(0.0, least(1.0, (({total}) / ({n}) + 1) / 2)) end)"
 
 
-_WORDS_SQL = f"list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: length(w) > 3 and not list_contains({sql_list(lexicon.COVERAGE_STOP)}, w))"
+WORDS_SQL = f"list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: length(w) > 3 and not list_contains({sql_list(lexicon.COVERAGE_STOP)}, w))"
 
 
 @query(
     "optimized_confidence",
     f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as n from k),
     e as (select query_id, list(lower(content)) as ev, avg(score) as mean from r where n <= 5 group by query_id),
-    w as (select q.query_id, q, {_WORDS_SQL} as ws, coalesce(ev, []) as ev, coalesce(mean, 0) as mean, lower(q) as t from q left join e using (query_id)),
+    w as (select q.query_id, q, {WORDS_SQL} as ws, coalesce(ev, []) as ev, coalesce(mean, 0) as mean, lower(q) as t from q left join e using (query_id)),
     c as (
         select *, case when len(ws) = 0 then 0.5 else len(list_filter(list_distinct(ws), lambda w: len(list_filter(ev, lambda x: contains(x, w))) > 0)) / len(ws) end as covered,
-               {_semantic_sql("q", lambda terms: "(len(list_filter(ev, lambda x: " + sqltext.contains_any("x", terms) + ")) > 0)")} as matched,
+               {semantic_sql("q", lambda terms: "(len(list_filter(ev, lambda x: " + sqltext.contains_any("x", terms) + ")) > 0)")} as matched,
                {SCENARIO_CASES} as types, {SCENARIO_CONCEPTS} as concepts, {SCENARIO_ASKS} as asks
         from w
     ), s as (
@@ -118,8 +118,8 @@ def optimized_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "optimal_citations",
-    f"""with {_HITS}, c as (select query_id, doc_id, paragraph_number, score, {_WORDS_SQL} as ws, content, q from k),
-    s as (select query_id, doc_id, paragraph_number, round(score * 0.5 + case when len(ws) = 0 then 0.5 else len(list_filter(list_distinct(ws), lambda w: contains(lower(content), w))) / len(ws) end * 0.3 + {_semantic_sql("q", lambda terms: sqltext.contains_any("content", terms))} * 0.2, 6) as combined from c),
+    f"""with {_HITS}, c as (select query_id, doc_id, paragraph_number, score, {WORDS_SQL} as ws, content, q from k),
+    s as (select query_id, doc_id, paragraph_number, round(score * 0.5 + case when len(ws) = 0 then 0.5 else len(list_filter(list_distinct(ws), lambda w: contains(lower(content), w))) / len(ws) end * 0.3 + {semantic_sql("q", lambda terms: sqltext.contains_any("content", terms))} * 0.2, 6) as combined from c),
     r as (select *, row_number() over (partition by query_id order by combined desc, doc_id, paragraph_number) as rank from s)
     select * from r where rank <= 5""",
 )

@@ -163,3 +163,18 @@ def test_tables_of_classified_lines(spark):
     asked = spark.createDataFrame([(1, "tabelul 2.1"), (2, "cap rand")], "query_id long, query string")
     assert [(r["query_id"], r["table_number"], r["score"]) for r in tables.search(found, asked).orderBy("query_id", "rank").collect()][:1] == [(1, "Tabelul 2.1", 53)]
     assert tables.search(found, asked).where("query_id = 2").first()["score"] == 10 * 2 + 5 * 2
+
+
+def test_toggles_and_step_log(spark, sf):
+    from docengine.operators import hybrid
+    from docengine.plans.answer_queries import hybrid_search
+
+    log = hybrid.StepLog()
+    rows = hybrid_search(spark, sf, hybrid.Toggles(least=0.25), log).collect()
+    n = log.counts()
+    assert list(n) == ["variants", "vector", "keyword", "combined", "cited"] and n["variants"] == 5
+    assert n["cited"] == len(rows) and max(n["vector"], n["keyword"]) <= n["combined"] <= n["vector"] + n["keyword"]
+    log = hybrid.StepLog()
+    rows = hybrid_search(spark, sf, hybrid.Toggles(vector=False, synonyms=True, least=0.25), log).collect()
+    assert "vector" not in log.counts() and log.counts()["variants"] == 7 and {r["score"] for r in rows} == {0.45}
+    assert hybrid_search(spark, sf, hybrid.Toggles(vector=False, keyword=False), hybrid.StepLog()).count() == 0
