@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docengine.functions import spans
-from docengine.operators import cells, patterns, quiz, retrieval, tables, trigrams
+from docengine.operators import cells, hybrid, patterns, retrieval, tables, trigrams
 from docengine.sources import shared
 from docengine.sources.tables import paragraphs
 
@@ -165,16 +165,18 @@ def test_tables_of_classified_lines(spark):
     assert tables.search(found, asked).where("query_id = 2").first()["score"] == 10 * 2 + 5 * 2
 
 
-def test_toggles_and_step_log(spark, sf):
-    from docengine.operators import hybrid
-    from docengine.plans.answer_queries import hybrid_search
-
+def test_toggles_and_step_log(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"un tablou electric cu numarul {i}, in care se monteaza\nsi alte randuri de text") for i in range(6)] + [(6, "nothing of the kind is written here at all")], "doc_id long, text string")
+    trigrams.build(docs, f"file://{tmp_path}/i")
+    index = spark.read.schema("gram long, n long, ids array<long>, bucket int").parquet(f"file://{tmp_path}/i")
+    points = spark.createDataFrame([(5, [1.0, 0.1]), (6, [1.0, 0.0]), (0, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "unde este tablou")], "query_id long, text string")
+    vectors = spark.createDataFrame([(1, r, [1.0, 0.0]) for r in (1, 2, 3)], "query_id long, rank long, embedding array<double>")
     log = hybrid.StepLog()
-    rows = hybrid_search(spark, sf, hybrid.Toggles(least=0.25), log).collect()
-    n = log.counts()
-    assert list(n) == ["variants", "vector", "keyword", "combined", "cited"] and n["variants"] == 5
-    assert n["cited"] == len(rows) and max(n["vector"], n["keyword"]) <= n["combined"] <= n["vector"] + n["keyword"]
+    rows = hybrid.search(asked, vectors, points, docs, index, hybrid.Toggles(synonyms=True), log).collect()
+    assert log.counts() == {"variants": 3, "vector": 2, "keyword": 6, "combined": 7, "cited": 3}
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["citation_index"])] == [6, 5, 0]
     log = hybrid.StepLog()
-    rows = hybrid_search(spark, sf, hybrid.Toggles(vector=False, synonyms=True, least=0.25), log).collect()
-    assert "vector" not in log.counts() and log.counts()["variants"] == 7 and {r["score"] for r in rows} == {0.45}
-    assert hybrid_search(spark, sf, hybrid.Toggles(vector=False, keyword=False), hybrid.StepLog()).count() == 0
+    rows = hybrid.search(asked, vectors, points, docs, index, hybrid.Toggles(vector=False), log).collect()
+    assert log.counts() == {"variants": 1, "keyword": 6, "combined": 6, "cited": 3} and {r["score"] for r in rows} == {0.45}
+    assert hybrid.search(asked, vectors, points, docs, index, hybrid.Toggles(vector=False, keyword=False), hybrid.StepLog()).count() == 0
