@@ -1,7 +1,8 @@
 """A search pipeline whose parts a settings row turns on and off, with a count for each step.
 
-The plan is built from the settings; what each step lets through is counted by
-observations in the same pass that gives the result.
+The plan is built from the settings.  What a step lets through, a few rows for
+each question, is written to the shared folder and counted by an observation in
+that same pass, so later steps that need it twice do not make it twice.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import confidence, numeric, text
 from docengine.operators import retrieval, trigrams
+from docengine.sources import shared
 
 
 @dataclass(frozen=True)
@@ -34,16 +36,15 @@ class Toggles:
 
 @dataclass
 class StepLog:
-    """Rows behind each step; they are known once the result has been read."""
+    """Rows behind each step."""
 
-    seen: dict[str, Observation] = field(default_factory=dict)
+    counts: dict[str, int] = field(default_factory=dict)
 
     def watch(self, step: str, rows: DataFrame) -> DataFrame:
-        self.seen[step] = Observation(step)
-        return rows.observe(self.seen[step], F.count(F.lit(1)).alias("rows"))
-
-    def counts(self) -> dict[str, int]:
-        return {step: o.get["rows"] for step, o in self.seen.items()}
+        seen = Observation(step)
+        out = shared.saved(rows.observe(seen, F.count(F.lit(1)).alias("rows")), step)
+        self.counts[step] = seen.get["rows"]
+        return out
 
 
 def search(questions: DataFrame, vectors: DataFrame, points: DataFrame, docs: DataFrame, index: DataFrame | None, toggles: Toggles, log: StepLog) -> DataFrame:

@@ -174,9 +174,9 @@ def test_toggles_and_step_log(spark, tmp_path):
     vectors = spark.createDataFrame([(1, r, [1.0, 0.0]) for r in (1, 2, 3)], "query_id long, rank long, embedding array<double>")
     log = hybrid.StepLog()
     rows = hybrid.search(asked, vectors, points, docs, index, hybrid.Toggles(synonyms=True), log).collect()
-    assert log.counts() == {"variants": 3, "vector": 2, "keyword": 6, "combined": 7, "cited": 3}
+    assert log.counts == {"variants": 3, "vector": 2, "keyword": 6, "combined": 7, "cited": 3}
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["citation_index"])] == [6, 5, 0]
     log = hybrid.StepLog()
     rows = hybrid.search(asked, vectors, points, docs, index, hybrid.Toggles(vector=False), log).collect()
-    assert log.counts() == {"variants": 1, "keyword": 6, "combined": 6, "cited": 3} and {r["score"] for r in rows} == {0.45}
+    assert log.counts == {"variants": 1, "keyword": 6, "combined": 6, "cited": 3} and {r["score"] for r in rows} == {0.45}
     assert hybrid.search(asked, vectors, points, docs, index, hybrid.Toggles(vector=False, keyword=False), hybrid.StepLog()).count() == 0
