@@ -29,6 +29,9 @@ SALTS = 4
 #: Characters whose documents share postings.
 CHUNK = 1 << 21
 
+#: Bytes of a table that one task reads at least.
+SPLIT = 32 << 20
+
 #: Postings of a term that are intersected, the rarest first.
 RAREST = 3
 
@@ -82,6 +85,10 @@ def build(docs: DataFrame, path: str) -> None:
     characters has no posting.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    # A table of fewer splits than there are cores, which one task or a few would read, is dealt out first.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT:
+        rows = rows.repartition(cores)
     found = rows.mapInArrow(_postings, "gram long, piece int, n long, ids array<long>").withColumn("bucket", _bucket(F.col("gram")))
     dealt = found.repartition("bucket", F.pmod(F.col("piece") + F.spark_partition_id(), F.lit(SALTS))).drop("piece")
     dealt.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)

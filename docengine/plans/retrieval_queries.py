@@ -25,47 +25,72 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """The paragraphs that hold a term of a question, by the index of trigrams that all these queries share."""
+    found = retrieval.keyword_candidates(paragraphs(table(spark, sf, "documents")), _queries(spark))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same paragraphs by the index of trigrams, which all queries of a session share."""
     docs = table(spark, sf, "documents")
     found = trigrams.keyword_candidates(trigrams.open_index(docs, sf), docs, _queries(spark))
     return found.withColumn("score", F.round("score", 6))
 
 
-@query(
-    "keyword_search_topk",
-    f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as rank from k)
-    select query_id, doc_id, paragraph_number, score, rank from r where rank <= 10""",
-)
-def keyword_search_topk(spark: SparkSession, sf: str) -> DataFrame:
-    top = retrieval.rank_by(_candidates(spark, sf), ["query_id"], F.desc("score"), F.col("doc_id"), F.col("paragraph_number"), most=10)
+def _top(found: DataFrame) -> DataFrame:
+    top = retrieval.rank_by(found, ["query_id"], F.desc("score"), F.col("doc_id"), F.col("paragraph_number"), most=10)
     return top.select("query_id", "doc_id", "paragraph_number", "score", "rank")
 
 
-@query(
-    "citations_with_source",
-    f"""with {_HITS}, r as (select k.*, d.source as document_name, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as citation_index from k join documents d using (doc_id) where score >= 0.4)
-    select query_id, citation_index, doc_id, document_name, paragraph_number, score from r where citation_index <= 5""",
-)
-def citations_with_source(spark: SparkSession, sf: str) -> DataFrame:
+def _cited(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
     names = table(spark, sf, "documents").select("doc_id", F.col("source").alias("document_name"))
-    out = retrieval.citations(_candidates(spark, sf), names, 5, 0.4)
-    return out.select("query_id", "citation_index", "doc_id", "document_name", "paragraph_number", "score")
+    return retrieval.citations(found, names, 5, 0.4).select("query_id", "citation_index", "doc_id", "document_name", "paragraph_number", "score")
 
 
-@query(
-    "answer_confidence",
-    f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as n from k where score >= 0.4),
-    c as (select q.query_id, cast(coalesce(floor(avg(score) * 100 + 0.5), 0) as bigint) as confidence, count(n) as n_citations from q left join (select * from r where n <= 5) r using (query_id) group by q.query_id)
-    select *, confidence < 40 as needs_clarification from c""",
-)
-def answer_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "documents").select("doc_id", F.col("source").alias("document_name"))
-    cited = retrieval.citations(_candidates(spark, sf), names, 5, 0.4).select("query_id", "score")
-    out = questions(spark).select("query_id").join(cited, "query_id", "left").groupBy("query_id")
+def _confidence(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
+    out = questions(spark).select("query_id").join(_cited(spark, sf, found).select("query_id", "score"), "query_id", "left").groupBy("query_id")
     out = out.agg(F.coalesce(text.js_round(F.avg("score") * 100), F.lit(0)).alias("confidence"), F.count("score").alias("n_citations"))
     return out.withColumn("needs_clarification", F.col("confidence") < 40)
 
 
+_TOP_SQL = f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as rank from k)
+    select query_id, doc_id, paragraph_number, score, rank from r where rank <= 10"""
+_CITED_SQL = f"""with {_HITS}, r as (select k.*, d.source as document_name, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as citation_index from k join documents d using (doc_id) where score >= 0.4)
+    select query_id, citation_index, doc_id, document_name, paragraph_number, score from r where citation_index <= 5"""
+_CONFIDENCE_SQL = f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as n from k where score >= 0.4),
+    c as (select q.query_id, cast(coalesce(floor(avg(score) * 100 + 0.5), 0) as bigint) as confidence, count(n) as n_citations from q left join (select * from r where n <= 5) r using (query_id) group by q.query_id)
+    select *, confidence < 40 as needs_clarification from c"""
+
+
+@query("keyword_search_topk", _TOP_SQL)
+def keyword_search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(_candidates(spark, sf))
+
+
+@query("indexed_search_topk", _TOP_SQL)
+def indexed_search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(_indexed(spark, sf))
+
+
+@query("citations_with_source", _CITED_SQL)
+def citations_with_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _cited(spark, sf, _candidates(spark, sf))
+
+
+@query("indexed_citations", _CITED_SQL)
+def indexed_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return _cited(spark, sf, _indexed(spark, sf))
+
+
+@query("answer_confidence", _CONFIDENCE_SQL)
+def answer_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _confidence(spark, sf, _candidates(spark, sf))
+
+
+@query("indexed_confidence", _CONFIDENCE_SQL)
+def indexed_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _confidence(spark, sf, _indexed(spark, sf))
+
+
 @query(
     "coverage_confidence",
     f"""with {_HITS}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id, paragraph_number) as n from k),
