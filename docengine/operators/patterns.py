@@ -35,10 +35,6 @@ OPTION_UNITS = (
 #: Confidence of an answer whose number the texts hold. Fixed value.
 NUMERIC_CONFIDENCE = 95
 
-#: Letters with which a text may go on behind a number of a unit, spaces aside.
-_HEADS = {"mm²": ("mm",), "A/mm²": ("a",), "kVA": ("kva",), "kV": ("kv",), "V": ("v",), "A": ("a",), "Ω": ("ω", "Ω", "ohm"), "s": ("s",), "m": ("m",)}
-
-
 @functools.lru_cache(maxsize=4)
 def _automaton(patterns: tuple[str, ...]):
     import ahocorasick
@@ -152,32 +148,43 @@ def _formats(value: Column) -> Column:
     return F.array_distinct(F.array(value, F.replace(value, F.lit("."), F.lit(",")), short, F.format_string("%.0f", F.floor(number + 0.5).cast("double"))))
 
 
-def _regexes(formats: Column, unit: Column) -> Column:
-    """One pattern for all spellings of a number with its unit; a decimal point may be missing."""
-    values = F.array_join(F.transform(formats, lambda f: F.regexp_replace(f, r"\.", r"\\.?")), "|")
-    out = F.lit(None).cast("string")
-    for name, _, spellings in OPTION_UNITS:
-        out = F.when(unit == name, F.concat(F.lit("(?iu)(?:"), values, F.lit(r")(?:" + "|".join(rf"\s*{s}" for s in spellings) + ")"))).otherwise(out)
-    return out
+def _cut(unit: str, longest: int) -> Callable[[Column], Column]:
+    return lambda run: F.struct(F.lit(unit).alias("unit"), F.right(run, F.lit(longest)).alias("run"))
+
+
+def _numbers_of(texts: DataFrame, text: Column, longest: int) -> DataFrame:
+    """The different numbers that stand before a unit in some text: ``unit, number``.
+
+    What stands there is a run of digits, points and commas; a number is an end
+    of it, of at most ``longest`` characters.
+    """
+    low = F.lower(text)
+    either = "|".join(s for _, _, spellings in OPTION_UNITS for s in spellings)
+    rows = texts.select(low.alias("low")).where(F.col("low").rlike(rf"(?iu)[0-9]\s*(?:{either})"))
+    runs = []
+    for unit, _, spellings in OPTION_UNITS:
+        run = rf"(?iu)(?<![0-9.,])[0-9.,]++(?<=[0-9])(?=\s*(?:{'|'.join(spellings)}))"
+        runs.append(F.transform(F.regexp_extract_all("low", F.lit(run), F.lit(0)), _cut(unit, longest)))
+    once = rows.select(F.explode(F.concat(*runs)).alias("r")).select("r.*").distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.char_length("run")), lambda n: F.right("run", n))
+    return once.select("unit", F.explode(F.filter(ends, lambda e: e.rlike("^[0-9]"))).alias("number")).distinct()
 
 
 def first_numeric_hit(options: DataFrame, texts: DataFrame, text: Column) -> DataFrame:
     """The first option whose number some text holds with its unit: ``question_id, letter, value, unit, confidence``.
 
-    Options go by letter, the numbers of an option by unit and place.  Texts in
-    lower case and without white space are searched for all spellings at once,
-    and what holds one is checked by its pattern; questions none of whose
-    numbers is found have no row.
+    Options go by letter, the numbers of an option by unit and place.  Texts are
+    read once, however many options there are: their different numbers before a
+    unit are joined with the spellings of the options' numbers, in which a
+    decimal point may be missing.  Questions none of whose numbers is found have
+    no row.
     """
-    values = option_values(options).withColumn("formats", _formats(F.col("value")))
-    values = values.withColumn("regex", _regexes(F.col("formats"), F.col("unit")))
-    heads = F.create_map(*[x for u, hs in _HEADS.items() for x in (F.lit(u), F.array(*[F.lit(h) for h in hs]))])
+    values = option_values(options)
+    spelt = values.select("value", "unit").distinct().withColumn("formats", _formats(F.col("value")))
     plain = F.flatten(F.transform("formats", lambda f: F.array(f, F.regexp_replace(f, r"\.", ""))))
-    numbers = values.select("value", "unit", "regex", F.explode(F.array_distinct(plain)).alias("number"))
-    known = numbers.select("value", "unit", "regex", F.explode(F.transform(F.element_at(heads, F.col("unit")), lambda h: F.concat("number", h))).alias("pattern")).distinct()
-    low = texts.select(F.lower(text).alias("low"))
-    near = find_patterns(low, F.regexp_replace("low", r"\s", ""), known)
-    held = near.join(known, "pattern").where(F.call_function("rlike", F.col("low"), F.col("regex"))).select("value", "unit").distinct()
+    numbers = spelt.select("value", "unit", F.explode(F.array_distinct(plain)).alias("number"))
+    longest = numbers.agg(F.max(F.char_length("number"))).first()[0] or 0
+    held = _numbers_of(texts, text, longest).join(numbers, ["unit", "number"]).select("value", "unit").distinct()
     first = Window.partitionBy("question_id").orderBy("letter", "place")
     hits = values.join(held, ["value", "unit"]).withColumn("n", F.row_number().over(first)).where("n = 1")
     return hits.select("question_id", "letter", "value", "unit", F.lit(NUMERIC_CONFIDENCE).cast("long").alias("confidence"))
