@@ -32,6 +32,25 @@ def parse_number(raw: Column) -> Column:
     return F.regexp_extract(clean, r"^\d+\.?\d*", 0).try_cast("double")
 
 
+def shown_number(value: Column) -> Column:
+    """A number as text: whole ones as such, others in plain digits; with a power of ten below 0.0001 and for whole ones from 9e18."""
+    said = value.cast("string")
+    plain = lambda kind: F.regexp_replace(said.cast(kind).cast("string"), r"\.?0+$", "")
+    power = F.substring_index(said, "E", -1).cast("int")
+    sign = F.when(power < 0, "e-").otherwise("e+")
+    digits = F.abs(power).cast("string")
+    short = F.concat(F.regexp_replace(F.substring_index(said, "E", 1), r"\.0$", ""), sign, F.lpad(digits, F.greatest(F.char_length(digits), F.lit(2)), "0"))
+    size = F.abs(value)
+    return (
+        F.when((value == F.floor(value)) & (value < 9e18), value.cast("long").cast("string"))
+        .when(said == "Infinity", "inf")
+        .when(~F.contains(said, F.lit("E")), said)
+        .when((size >= 1e7) & (size < 1e16), plain("decimal(38,18)"))
+        .when((size >= 1e-4) & (size < 1), plain("decimal(38,36)"))
+        .otherwise(short)
+    )
+
+
 def numeric_question(text: Column) -> Column:
     """What a question asks about a number: struct of unit, target, minimum, maximum and tolerance in percent; null without one."""
     low = F.lower(text)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.functions import lexicon, similarity, text
+from docengine.functions import lexicon, numeric, similarity, text
 from docengine.operators import patterns, retrieval
 
 #: Stems by which a question asks for bans or duties, without accents. Fixed values.
@@ -137,8 +137,7 @@ def shown_numbers(measured: Column, most: int = 5) -> Column:
     """The first different numbers with units, in bold, one a line."""
     known = F.filter(measured, lambda m: m["value"].isNotNull())
     once = F.array_distinct(F.transform(known, lambda m: F.struct(m["value"].alias("value"), m["unit"].alias("unit"))))
-    number = lambda v: F.when((v == F.floor(v)) & (v < 9e18), v.cast("long").cast("string")).otherwise(v.cast("string"))
-    return F.array_join(F.transform(F.slice(once, 1, most), lambda m: F.concat(F.lit("**"), number(m["value"]), F.lit(" "), m["unit"], F.lit("**"))), "\n")
+    return F.array_join(F.transform(F.slice(once, 1, most), lambda m: F.concat(F.lit("**"), numeric.shown_number(m["value"]), F.lit(" "), m["unit"], F.lit("**"))), "\n")
 
 
 def passthrough(body: Column, words: Column, most: int = 300) -> Column:
