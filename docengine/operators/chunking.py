@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,42 @@ def char_chunks(docs: DataFrame, most: int = 1500, least: int = 200, overlap: in
     return rows.withColumn("char_count", F.char_length("content").cast("long")).where(F.col("char_count") >= least)
 
 
+#: Characters of documents whose chunks a task holds at once.
+HELD_CHARS = 1 << 20
+
+
+def _folded(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], names: tuple[str, ...]) -> DataFrame:
+    """``doc_id, chunk_index`` and what ``cut`` makes of each text: whole numbers, and the ``content`` last.
+
+    A task reads its Arrow batches row by row and gives its chunks away
+    whenever it has cut some characters, so what it holds does not follow the
+    batch's size.
+    """
+    kinds = [pa.int64()] * (len(names) - 1) + [pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+        for batch in batches:
+            ids, texts = batch.columns
+            for at in range(batch.num_rows):
+                body, doc_id = texts[at].as_py() or "", ids[at].as_py()
+                rows += [(doc_id, i, *c) for i, c in enumerate(cut(body))]
+                held += len(body)
+                if held >= HELD_CHARS:
+                    yield flush()
+                    rows, held = [], 0
+        if rows:
+            yield flush()
+
+    schema = ", ".join(f"{n} {'string' if n == 'content' else 'long'}" for n in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
 def _pack(units: list[str], most: int, least: int, overlap: int, joint: str) -> Iterator[str]:
     """Fill chunks with whole units; each new one begins with the last units that fit in ``overlap``."""
     held, size = [], 0
@@ -52,24 +88,18 @@ def _pack(units: list[str], most: int, least: int, overlap: int, joint: str) ->
 def folded_chunks(docs: DataFrame, unit: str = "paragraph", most: int = 1500, least: int = 200, overlap: int = 100) -> DataFrame:
     """Chunks packed from whole sentences or paragraphs: ``doc_id, chunk_index, char_count, word_count, content``.
 
-    Packing depends on what came before, so it is a fold over each document; a
-    task holds one Arrow batch of documents at a time.
+    Packing depends on what came before, so it is a fold over each document.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, body in zip(batch["doc_id"], batch["text"], strict=True):
-                if unit == "sentence":
-                    units = [s.strip() for s in re.findall(r"[^.!?]+[.!?]*", " ".join((body or "").split()))]
-                else:
-                    units = [" ".join(p.split()) for p in (body or "").split("\n")]
-                joint = " " if unit == "sentence" else "\n"
-                for i, chunk in enumerate(_pack([u for u in units if u], most, least, overlap, joint)):
-                    rows.append((doc_id, i, len(chunk), len(chunk.split()), chunk))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_count", "word_count", "content"])
+    def cut(body: str) -> Iterator[tuple]:
+        if unit == "sentence":
+            units = [s.strip() for s in re.findall(r"[^.!?]+[.!?]*", " ".join(body.split()))]
+        else:
+            units = [" ".join(p.split()) for p in body.split("\n")]
+        for chunk in _pack([u for u in units if u], most, least, overlap, " " if unit == "sentence" else "\n"):
+            yield len(chunk), len(chunk.split()), chunk
 
-    return docs.select("doc_id", "text").mapInPandas(pack, "doc_id long, chunk_index long, char_count long, word_count long, content string")
+    return _folded(docs, cut, ("doc_id", "chunk_index", "char_count", "word_count", "content"))
 
 
 def with_previous_tail(chunks: DataFrame, tail: int) -> DataFrame:
@@ -84,8 +114,7 @@ def sentence_page_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100,
 
     A chunk is closed by the sentence that would make it longer than ``size``,
     and begins anew with a fifth of ``overlap`` words; its page is counted from
-    the sentences that came before.  A fold over each document; a task holds one
-    Arrow batch of them.
+    the sentences that came before.  A fold over each document.
     """
 
     def one(body: str) -> Iterator[tuple[int, str]]:
@@ -100,9 +129,4 @@ def sentence_page_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100,
         if held.strip():
             yield seen // page_chars + 1, held.strip()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, i, *c) for d, body in zip(batch["doc_id"], batch["text"], strict=True) for i, c in enumerate(one(body or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "page_number", "content"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, page_number long, content string")
+    return _folded(docs, one, ("doc_id", "chunk_index", "page_number", "content"))
