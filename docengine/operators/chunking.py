@@ -130,3 +130,20 @@ def sentence_page_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100,
             yield seen // page_chars + 1, held.strip()
 
     return _folded(docs, one, ("doc_id", "chunk_index", "page_number", "content"))
+
+
+def best_sentences(docs: DataFrame, asked: DataFrame, longer_than: int = 20) -> DataFrame:
+    """The sentence of each document with the most words of each question, the first of equals: ``query_id, doc_id, score, sentence_sha``.
+
+    ``asked``: a bounded ``query_id, ws``, words in lower case.  A task settles
+    each row of documents by itself and sends the digest of its best sentence
+    alone; rows that share an id are settled by that.
+    """
+    kept = F.filter(text.sentences(F.coalesce("text", F.lit(""))), lambda x: F.char_length(x) > longer_than)
+    s = docs.select("doc_id", kept.alias("ss")).select("doc_id", "ss", F.transform("ss", lambda x: F.lower(x)).alias("low")).join(F.broadcast(asked))
+    each = F.transform("low", lambda x, i: F.struct(F.size(F.filter("ws", lambda w: F.contains(x, w))).cast("long").alias("score"), (-i).alias("at")))
+    top = s.select("query_id", "doc_id", "ss", F.array_max(each).alias("top"))
+    own = F.struct(F.col("top.score").alias("score"), F.col("top.at").alias("at"), F.sha2(F.get("ss", -F.col("top.at")), 256).alias("sha"))
+    best = top.select("query_id", "doc_id", own.alias("own")).groupBy("query_id", "doc_id").agg(F.max("own").alias("best"))
+    # a document without sentences has none
+    return best.where("best.score is not null").select("query_id", "doc_id", F.col("best.score").alias("score"), F.col("best.sha").alias("sentence_sha"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon, text
@@ -269,10 +269,5 @@ def synonym_variants(spark: SparkSession, sf: str) -> DataFrame:
 )
 def best_sentence(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    s = docs.select("doc_id", F.posexplode(F.filter(text.sentences(F.coalesce("text", F.lit(""))), lambda x: F.char_length(x) > 20)).alias("at", "sentence"))
     q = questions(spark).select("query_id", F.filter(text.words_of(F.lower("text")), lambda w: F.char_length(w) > 3).alias("ws"))
-    # the stated questions against all sentences
-    scored = s.join(F.broadcast(q)).withColumn("score", text.count_matching(F.col("sentence"), F.col("ws")).cast("long"))
-    w = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "at")
-    best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
-    return best.select("query_id", "doc_id", "score", F.sha2("sentence", 256).alias("sentence_sha"))
+    return chunking.best_sentences(docs, q)
