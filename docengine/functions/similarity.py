@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon
-from docengine.functions.text import js_round, let, whole_word, words_of
+from docengine.functions.text import js_round, let, words_of
+
+
+def _by_first_letter(terms: tuple[str, ...]) -> str:
+    """The pattern of :func:`whole_word` with its terms under their first letters, longer ones first, which tries few of them at a word."""
+    firsts = sorted({t[0] for t in terms})
+    groups = [re.escape(c) + "(?:" + "|".join(re.escape(t[1:]) for t in sorted(terms, key=len, reverse=True) if t[0] == c) + ")" for c in firsts]
+    return rf"(?<![A-Za-z0-9_])(?:{'|'.join(groups)})(?![A-Za-z0-9_])"
+
+
+_DROPPED = _by_first_letter(tuple(lexicon.DROPPED))
 
 
 def normalize_citation(text: Column) -> Column:
     """Lower case, no accents, no punctuation, no function words; accents go first so that edits count letters."""
-    low = F.translate(F.lower(text), "ăâîșşțţ", "aaisstt")
-    low = F.regexp_replace(F.regexp_replace(low, r"""[.,;:!?()"'\-\[\]{}]""", " "), r"\s+", " ")
-    return F.trim(F.regexp_replace(low, whole_word(lexicon.DROPPED), ""))
+    marks = ".,;:!?()\"'-[]{}"
+    low = F.translate(F.lower(text), "ăâîșşțţ" + marks, "aaisstt" + " " * len(marks))
+    # white space that is one space already is left alone
+    low = F.regexp_replace(low, r"\s{2,}|[^\S ]", " ")
+    return F.trim(F.regexp_replace(low, _DROPPED, ""))
 
 
 def key_terms(text: Column) -> Column:
@@ -131,27 +144,28 @@ def factual_accuracy(extract_terms: Column, original_terms: Column) -> dict[str,
     }
 
 
-def _held(terms: Column, body: Column) -> Column:
-    return F.size(F.filter(terms, lambda t: F.contains(body, t)))
-
-
-def related_concepts(query: Column, content: Column) -> Column:
-    """Best overlap of the two texts within one concept group, as the ratio of the smaller count to the larger."""
+def concept_counts(text: Column) -> Column:
+    """How many terms of each concept group a normalised text holds."""
     groups = F.array(*[F.array(*[F.lit(t) for t in group]) for group in lexicon.RELATED])
+    return F.transform(groups, lambda group: F.size(F.filter(group, lambda t: F.contains(text, t))))
 
-    def overlap(group: Column) -> Column:
-        q, c = _held(group, query), _held(group, content)
-        return F.when((q > 0) & (c > 0), F.least(q, c) / F.greatest(q, c)).otherwise(0.0)
 
-    return F.array_max(F.transform(groups, overlap))
+def related_concepts(query: Column, content: Column) -> Column:
+    """Best overlap of two texts' concept counts within one group, as the ratio of the smaller count to the larger."""
+    overlap = lambda q, c: F.when((q > 0) & (c > 0), F.least(q, c) / F.greatest(q, c)).otherwise(0.0)
+    return F.array_max(F.zip_with(query, content, overlap))
 
 
-def relevance(query: Column, terms: Column, content: Column) -> Column:
+def relevance(query: Column, terms: Column, content: Column, query_counts: Column | None = None, content_counts: Column | None = None) -> Column:
     """Share of the query's key terms in the content, related concepts, and a bonus for the whole phrase.
 
     ``query`` and ``content`` are normalised, ``terms`` are the query's key terms.
+    Where texts meet several queries, their concept counts should be columns of
+    their own, which are computed once for each text.
     """
     n = F.size(terms)
+    either = lambda counts, said: concept_counts(said) if counts is None else counts
+    related = related_concepts(either(query_counts, query), either(content_counts, content))
     hit = F.size(F.filter(terms, lambda t: F.contains(content, t)))
     phrase = F.when(F.contains(content, query), 0.3).otherwise(0.0)
-    return F.when(n == 0, 0.5).otherwise(F.least(F.lit(1.0), hit / n * 0.7 + related_concepts(query, content) * 0.3 + phrase))
+    return F.when(n == 0, 0.5).otherwise(F.least(F.lit(1.0), hit / n * 0.7 + related * 0.3 + phrase))

@@ -246,9 +246,11 @@ _RELEVANCE_SQL = f"""case when len(terms) = 0 then 0.5 else least(1.0, len(list_
 )
 def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark).select("query_id", similarity.normalize_citation(F.col("text")).alias("q"))
-    asked = asked.withColumn("terms", similarity.key_terms(F.col("q")))
-    p = paragraphs(table(spark, sf, "documents")).select("doc_id", similarity.normalize_citation(F.col("content")).alias("c")).join(F.broadcast(asked))
-    scored = p.select("query_id", "doc_id", F.round(similarity.relevance(F.col("q"), F.col("terms"), F.col("c")), 6).alias("relevance"))
+    asked = asked.withColumns({"terms": similarity.key_terms(F.col("q")), "q_counts": similarity.concept_counts(F.col("q"))})
+    p = paragraphs(table(spark, sf, "documents")).select("doc_id", similarity.normalize_citation(F.col("content")).alias("c"))
+    p = p.withColumn("c_counts", similarity.concept_counts(F.col("c"))).join(F.broadcast(asked))
+    relevance = similarity.relevance(F.col("q"), F.col("terms"), F.col("c"), F.col("q_counts"), F.col("c_counts"))
+    scored = p.select("query_id", "doc_id", F.round(relevance, 6).alias("relevance"))
     return scored.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
 
 
