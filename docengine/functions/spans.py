@@ -35,6 +35,11 @@ RESISTANCE = r"(?iu)rezisten[aă]\s+prizei|priz[aă]\s+de\s+p[aă]m[aâ]nt|prote
 AROUND = 100
 
 
+#: Where a rule may match: a number and up to ten more characters, white space aside, over again where a number begins among them.
+#: The rules' units and what may not follow them are shorter, so each match lies in one region with all that it looks at.
+REGION = r"(?:\d[\d.,]*+\s*+(?:[^\d\s]\s*+){0,10}+)++"
+
+
 def matches(text: Column, pattern: str, *groups: int) -> Column:
     """The matches of a pattern: array of struct(start, stop, groups), places from 0 and without the stop."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -55,13 +60,19 @@ def number(raw: Column) -> Column:
     return F.replace(raw, F.lit(","), F.lit(".")).cast("double")
 
 
-def _of_rule(rule: int, unit: str) -> Callable[[Column], Column]:
-    return lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(rule).alias("rule"), F.lit(unit).alias("unit"), number(m["groups"][0]).alias("value"))
+def _of_rule(rule: int, unit: str, pattern: str) -> Callable[[Column], Column]:
+    own = lambda first: lambda m: F.struct((first + m["start"]).alias("start"), (first + m["stop"]).alias("stop"), F.lit(rule).alias("rule"), F.lit(unit).alias("unit"), number(m["groups"][0]).alias("value"))
+    return lambda r: F.transform(matches(r["said"], pattern, 1), own(r["start"]))
 
 
-def unit_spans(text: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
-    """All numbers with units, rule by rule: array of struct(start, stop, rule, unit, value); one number may have several units."""
-    return F.concat(*[F.transform(matches(text, pattern, 1), _of_rule(k, unit)) for k, (unit, pattern) in enumerate(rules)])
+def unit_spans(text: Column, rules: tuple[tuple[str, str], ...] = RULES, region: str = REGION) -> Column:
+    """All numbers with units, rule by rule: array of struct(start, stop, rule, unit, value); one number may have several units.
+
+    The text is looked through for the regions around its numbers, and only
+    these by each rule; ``region`` must hold whatever a rule looks at.
+    """
+    cut = F.transform(matches(text, region, 0), lambda m: F.struct(m["start"].alias("start"), m["groups"][0].alias("said")))
+    return let(cut, lambda regions: F.concat(*[F.flatten(F.transform(regions, _of_rule(k, unit, pattern))) for k, (unit, pattern) in enumerate(rules)]))
 
 
 def resolved(spans: Column) -> Column:
