@@ -42,34 +42,44 @@ SHORTEST = 3
 _BITS = 21
 
 
+def _grams(text: str) -> np.ndarray:
+    """The different trigrams of a text."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if len(points) < SHORTEST:
+        return np.zeros(0, np.int64)
+    gram = points[2:].astype(np.int64)
+    for before in (points[1:-1], points[:-2]):
+        gram <<= _BITS
+        gram |= before
+    gram.sort()
+    return gram[np.append(True, gram[1:] != gram[:-1])]
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, texts, held, piece = [], [], 0, 0
+    """Postings chunk by chunk; of its documents a task holds one text and the different trigrams of a chunk."""
+    ids, grams, held, piece = [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        doc = np.repeat(np.arange(len(texts)), lengths)
-        gram = points[:-2] | points[1:-1] << _BITS | points[2:] << 2 * _BITS if len(points) > 2 else np.zeros(0, np.int64)
-        whole = doc[:-2] == doc[2:] if len(points) > 2 else np.zeros(0, bool)
-        gram, doc = gram[whole], doc[:-2][whole] if len(points) > 2 else doc[:0]
+        gram = np.concatenate(grams)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(g) for g in grams])
+        grams.clear()
         order = np.argsort(gram, kind="stable")  # documents stay in order
         gram, doc = gram[order], doc[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-        gram, doc = gram[new], doc[new]
         starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
         ends = np.append(starts, len(gram)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int64()).take(pa.array(doc)))
         return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(np.full(len(starts), piece, np.int32)), pa.array(np.diff(ends).astype(np.int64)), lists], names=["gram", "piece", "n", "ids"])
 
     for batch in batches:
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("low").to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(text)
+        at, texts = batch.column("doc_id"), batch.column("low")
+        for i in range(batch.num_rows):
+            text = texts[i].as_py()
+            ids.append(at[i].as_py())
+            grams.append(_grams(text))
             held += len(text)
             if held >= CHUNK:
                 yield flush()
-                ids, texts, held, piece = [], [], 0, piece + 1
+                ids, held, piece = [], 0, piece + 1
     if ids:
         yield flush()
 
