@@ -179,7 +179,8 @@ def first_numeric_hit(options: DataFrame, texts: DataFrame, text: Column) -> Dat
     decimal point may be missing.  Questions none of whose numbers is found have
     no row.
     """
-    values = option_values(options)
+    # Options, short rows that may lie in one split, are dealt out before their numbers are looked for.
+    values = option_values(options.repartition(options.sparkSession.sparkContext.defaultParallelism, "question_id"))
     spelt = values.select("value", "unit").distinct().withColumn("formats", _formats(F.col("value")))
     plain = F.flatten(F.transform("formats", lambda f: F.array(f, F.regexp_replace(f, r"\.", ""))))
     numbers = spelt.select("value", "unit", F.explode(F.array_distinct(plain)).alias("number"))
